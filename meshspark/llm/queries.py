@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import mixing, quality_rules, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +16,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op10_simhash": op10_simhash}
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op7_mixing": op7_mixing, "op10_simhash": op10_simhash}
 ORACLE_SQL: dict[str, str] = {}
