@@ -23,15 +23,16 @@ ZERO_BUCKET = -2_000_000
 MIN_ROWS = 200
 #: Quartile distances beyond a quartile at which a measure is out of its group's range.
 REACH = 4.0
-#: Measure: (share of the group's rows is judged on its low side too, least quartile distance).
+#: Measure: (whether its low side is judged too, least quartile distance).
 MEASURES = {
     "symbols_per_word": (False, 0.03),
     "exclaims_per_word": (False, 0.03),
-    "dup_line_share": (False, 0.06),
-    "repeat_share": (False, 0.05),
+    "dup_line_share": (False, 0.1),
+    "repeat_share": (False, 0.075),
     "upper_share": (False, 0.02),
     "mean_word_chars": (True, 0.3),
     "short_word_share": (True, 0.06),
+    "distinct_word_share": (True, 0.05),
 }
 
 
@@ -68,13 +69,14 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_lines").alias("_n_lines"), _stripped_length("_text", "!").alias("_exclaims"), _stripped_length("_text", "A-Z").alias("_upper"),
-        F.size(F.filter("_w", lambda w: F.length(w) <= 3)).alias("_short"),
+        F.size(F.filter("_w", lambda w: F.length(w) <= 3)).alias("_short"), F.size(F.array_distinct("_w")).alias("_distinct"),
     )
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     measures = {
         "symbols_per_word": F.col("n_symbols") / words, "exclaims_per_word": F.col("_exclaims") / words,
         "dup_line_share": F.col("n_dup_lines") / F.greatest("_n_lines", F.lit(1)), "repeat_share": F.col("n_repeat_words") / words,
         "upper_share": F.col("_upper") / chars, "mean_word_chars": F.col("word_chars") / words, "short_word_share": F.col("_short") / words,
+        "distinct_word_share": F.col("_distinct") / words,
     }
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return counts.select(*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *[v.alias(k) for k, v in measures.items()])
