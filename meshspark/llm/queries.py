@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, gam, mixing, packing, quality_rules, simhash, token_output, url_filter
+from . import brown_lm, gam, mixing, packing, pii, quality_rules, simhash, token_output, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,5 +67,5 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_quality_classifier, op5_url_filter, op6_token_output, op7_mixing, op8_brown_lm, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_quality_classifier, op5_url_filter, op6_token_output, op7_mixing, op8_brown_lm, op9_pii, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
