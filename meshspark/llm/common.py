@@ -29,14 +29,14 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def store(df: DataFrame, label: str, rows_per_file: int = 0) -> DataFrame:
+def store(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it reread: cuts lineage and survives lost executors.
 
     Files stay until ``release`` or the end of the driver, because the returned frame reads them lazily.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)  # zstd keeps native buffers beyond the heap for each column
     _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -69,7 +69,7 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_lines").alias("_n_lines"), _stripped_length("_text", "!").alias("_exclaims"), _stripped_length("_text", "A-Z").alias("_upper"),
-        F.size(F.filter("_w", lambda w: F.length(w) <= 3)).alias("_short"), F.size(F.array_distinct("_w")).alias("_distinct"),
+        F.size(F.filter("_w", lambda w: F.length(w) <= 3)).alias("_short"), F.size(F.array_distinct("_w")).alias("_distinct"), _stripped_length("_text", ".").alias("_stops"),
     )
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     measures = {
@@ -77,6 +77,7 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "dup_line_share": F.col("n_dup_lines") / F.greatest("_n_lines", F.lit(1)), "repeat_share": F.col("n_repeat_words") / words,
         "upper_share": F.col("_upper") / chars, "mean_word_chars": F.col("word_chars") / words, "short_word_share": F.col("_short") / words,
         "distinct_word_share": F.col("_distinct") / words,
+        "stops_per_word": F.col("_stops") / words, "words_per_line": F.col("n_words") / F.greatest("_n_lines", F.lit(1)), "log_words": F.log1p("n_words"),
     }
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return counts.select(*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *[v.alias(k) for k, v in measures.items()])
@@ -131,14 +132,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sides = [c for c in limits.columns if c.startswith(("low_", "high_"))]
 
     def level(k: int, prefix: str) -> DataFrame:
-        at = limits.where((F.col("level") == k) & ((F.col("rows") >= MIN_ROWS) | F.lit(k == 2)))
+        at = limits.where((F.col("level") == k) & (F.col("rows") >= MIN_ROWS))
         return at.select(F.col("lang").alias(f"{prefix}_lang"), F.col("source").alias(f"{prefix}_source"), F.struct(*sides).alias(prefix))
 
+    whole = limits.where("level = 2").select(*sides).first()
+    fallback = F.struct(*[F.lit(whole[c] if whole else None).cast("double").alias(c) for c in sides])
     chosen = (
         groups.join(level(0, "a"), F.col("lang").eqNullSafe(F.col("a_lang")) & F.col("source").eqNullSafe(F.col("a_source")), "left")
         .join(level(1, "b"), F.col("lang").eqNullSafe(F.col("b_lang")), "left")
-        .join(level(2, "c"), F.lit(True), "left")
-        .select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.coalesce("a", "b", "c").alias("limit"))
+        .select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.coalesce("a", "b", fallback).alias("limit"))
     )
     joined = measured.join(chosen, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     inside = F.lit(True)
