@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, gam, mixing, packing, pii, quality_rules, simhash, token_output, url_filter
+from . import ann, brown_lm, gam, mixing, packing, pii, quality_rules, simhash, token_output, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.col("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,5 +71,5 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_quality_classifier, op5_url_filter, op6_token_output, op7_mixing, op8_brown_lm, op9_pii, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_ann, op4_quality_classifier, op5_url_filter, op6_token_output, op7_mixing, op8_brown_lm, op9_pii, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
