@@ -110,7 +110,7 @@ def plan(sized: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     goals = store(targets(sized), "targets")
     rows = sized.withColumn("_mix", shuffled(sized))
     placed = offsets(rows, ["_mix", "doc_id", "size"])
-    right = goals.select(F.col("source").alias("_source"), "source_size", "target", "k")
+    right = goals.select(F.col("source").alias("_source"), "source_size", "target", "k")  # a row per source
     placed = placed.join(right, placed.source.eqNullSafe(right._source)).drop("_source", "_mix")
     counts = goals.select(F.col("k").alias("_k"), F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).alias("_blocks"))
     turns = schedule(goals, block).join(counts, F.col("k") == F.col("_k")).where(F.col("rank") < MOST_REPEATS * F.col("_blocks"))
@@ -142,3 +142,26 @@ def taken_before(taken: DataFrame, placed: DataFrame, block: int) -> DataFrame:
     sums = met.groupBy(*key).agg(F.sum(F.col("_inside") * F.col("times")).alias("_taken")).select(F.col("k").alias("_sk"), F.col("start").alias("_ss"), "_taken")
     joined = placed.join(sums, (F.col("k") == F.col("_sk")) & (F.col("start") == F.col("_ss")) & (F.col("size") > 0), "left")
     return joined.select(*placed.columns, F.coalesce("_taken", F.lit(0)).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
+    """``docs`` as the mix takes them, all columns kept: a row for every time a document is taken whole, and one more with
+    its first words if it is also taken in part. A source's stream is taken from its start in every pass, so only the
+    document in which the last pass breaks off, and few at the edges of blocks, are taken in part.
+
+    Documents that the mix does not take are left out. Rows of equal id, source and text are one document here, taken as
+    often as all of them.
+    """
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), key.alias("key"))
+    sized = store(rows, "sizes")
+    placed, taken = plan(sized, block)
+    counts = taken_before(taken, placed, block).where("taken > 0").groupBy("doc_id", "source", "key").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
+    right = counts.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), "_taken", "_size")
+    met = docs.join(right, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & docs[source_col].cast("string").eqNullSafe(F.col("_source")) & (key == F.col("_key")))
+    met = met.dropDuplicates([id_col, source_col, "_key"])
+    copies = F.transform(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")).cast("long")), lambda k: F.least(F.col("_size"), F.col("_taken") - (k - 1) * F.col("_size")))
+    spread = met.withColumn("_words", F.explode(copies))
+    cut = F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(F.array_join(F.slice(words_of(F.col(text_col)), 1, F.col("_words").cast("int")), " "))
+    columns = [cut.alias(c) if c == text_col else F.length(cut).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return spread.select(*columns)
