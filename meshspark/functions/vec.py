@@ -140,14 +140,13 @@ def axis_rotation(axis: Vec, theta: Column) -> list[Column]:
     return [c + x * x * d, x * y * d - z * s, x * z * d + y * s, y * x * d + z * s, c + y * y * d, y * z * d - x * s, z * x * d - y * s, z * y * d + x * s, c + z * z * d]
 
 
-def align(a: Vec, b: Vec) -> list[Column]:
-    """Row-major rotation that takes direction a to direction b; for opposite ones half a turn about a normal of a."""
-    a, b = normalize(a), normalize(b)
+def align(a: Vec, b: Vec, side: Vec) -> list[Column]:
+    """Row-major rotation that takes unit vector a to unit vector b; for opposite ones half a turn about ``side``, a unit
+    normal of a, best a projected column of ``tangent_frame`` since it is used many times."""
     v, c = cross(a, b), dot(a, b)
     k = ratio(F.lit(1.0), 1 + c)
     general = [v[i] * v[j] * k + (c if i == j else (F.lit(0.0))) for i in range(3) for j in range(3)]
     skew = [F.lit(0.0), -v[2], v[1], v[2], F.lit(0.0), -v[0], -v[1], v[0], F.lit(0.0)]
-    side = tangent_frame(a)[0]
     half = [2 * side[i] * side[j] - (1.0 if i == j else 0.0) for i in range(3) for j in range(3)]
     return [F.when(c < -1 + 1e-12, h).otherwise(g + s) for g, s, h in zip(general, skew, half, strict=True)]
 

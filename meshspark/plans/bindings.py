@@ -67,8 +67,8 @@ sql_table(
 sql_table("face_geo", """SELECT *, sqrt(nx*nx+ny*ny+nz*nz)/2 AS area FROM (SELECT *, (by-ay)*(cz-az)-(bz-az)*(cy-ay) AS nx, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) AS ny, (bx-ax)*(cy-ay)-(by-ay)*(cx-ax) AS nz FROM (SELECT fid,v1,v2,v3,ax,ay,az,bx,"by",bz,cx,cy,cz FROM faces))""".replace("(by-", '("by"-'), "faces")
 sql_table("half", "SELECT fid, 0 AS k, v1 AS i, v2 AS j, v3 AS opp FROM tris UNION ALL SELECT fid, 1, v2, v3, v1 FROM tris UNION ALL SELECT fid, 2, v3, v1, v2 FROM tris", "tris")
 sql_table("edges", "SELECT least(i,j) AS i, greatest(i,j) AS j, count(*) AS n_faces FROM half GROUP BY 1, 2", "half")
-sql_table("both", "SELECT i, j, n_faces FROM edges UNION ALL SELECT j, i, n_faces FROM edges", "edges")
-sql_table("lens", "SELECT e.i, e.j, e.n_faces, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d FROM both e JOIN pts a ON a.vid=e.i JOIN pts b ON b.vid=e.j", "both", "pts")
+sql_table("nbrs", "SELECT i, j, n_faces FROM edges UNION ALL SELECT j, i, n_faces FROM edges", "edges")
+sql_table("lens", "SELECT e.i, e.j, e.n_faces, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d FROM nbrs e JOIN pts a ON a.vid=e.i JOIN pts b ON b.vid=e.j", "nbrs", "pts")
 # every corner p of a face with the two others in order
 sql_table(
     "turns",
