@@ -12,7 +12,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Parts kept in a worker before the store of parts is emptied.
-MOST_PARTS = 800_000
+MOST_PARTS = 1_200_000
 #: Parts longer than this are not kept.
 LONGEST_PART = 64
 #: White space other than the space and \n, and the mark used for cutting.
 _OTHER_SPACE = re.compile("[\x00-\x09\x0b-\x1f\x85\xa0  -     　]").search
-_LONG_RUNS = tuple(a + b + c for a in " \n" for b in " \n" for c in " \n")
+_RUNS_OF_2 = tuple(a + b for a in " \n" for b in " \n")
+_RUNS_OF_3 = tuple(a + b for a in " \n" for b in _RUNS_OF_2)
 
 
 def _byte_parts(text: str) -> list[str] | None:
@@ -33,7 +33,9 @@ def _byte_parts(text: str) -> list[str] | None:
 
     Runs of up to two spaces or line breaks are cut singly by the pre-tokenizer unless they end the text.
     """
-    if _OTHER_SPACE(text) or any(run in text for run in _LONG_RUNS) or (text[-2:].isspace() and len(text) > 1) or "<|" in text:
+    if _OTHER_SPACE(text) or "<|" in text:
+        return None
+    if any(run in text for run in _RUNS_OF_2) and (any(run in text for run in _RUNS_OF_3) or (text[-2:].isspace() and len(text) > 1)):
         return None
     return [p for p in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if p]
 
@@ -45,6 +47,18 @@ def _word_parts(text: str) -> list[str] | None:
 
 PARTS = {"byte_bpe_50k.json": _byte_parts, "word_bpe_49k.json": _word_parts}
 
+#: A part that is one run of letters, all composed and with one lower-case form each, and after it maybe a run of signs:
+#: two pre-tokens of either kind of tokenizer. Apostrophes and digits are cut otherwise and left to the tokenizer.
+_LETTERS_SIGNS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
+@lru_cache(maxsize=1)
+def byte_letters() -> dict[int, str]:
+    """Byte -> the letter that byte-level vocabularies write for it: itself if it prints, else the next from U+0100 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
 
 class Encoder:
     """ids(texts) -> one uint32 array per text (null: empty), with the end id appended if given."""
@@ -52,35 +66,79 @@ class Encoder:
     def __init__(self, path: str, end_id: int | None = 1):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts = PARTS.get(os.path.basename(path), lambda text: None)
+        name = os.path.basename(path)
+        self.parts = PARTS.get(name, lambda text: None)
         self.known: dict = {}
         self.end = b"" if end_id is None else np.uint32(end_id).tobytes()
+        # the vocabulary's own merges without its normalizer and pre-tokenizer, for runs of letters put one to a line
+        self.letters = str.maketrans(byte_letters())
+        self.bare = Tokenizer(self.tokenizer.model) if name in PARTS else None
+        self.ends = self.line = None
+        if name == "byte_bpe_50k.json":
+            self.line = self.tokenizer.token_to_id(byte_letters()[10])
+            self.bare.pre_tokenizer = CharDelimiterSplit("\n")
+        elif self.bare:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+            self.bare.pre_tokenizer = CharDelimiterSplit("\n")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters, many at a time."""
+        lines = "\n".join(runs) if self.ends is None else "\n".join(runs).lower()
+        # no merge joins a letter and the line break's own letter, so its id ends a run where no suffix does
+        mark = byte_letters()[10]
+        lines = lines.encode().decode("latin-1").translate(self.letters).replace(mark, mark + "\n" if self.ends is None else "\n")
+        ids = array("I", self.bare.encode_batch_fast([lines], add_special_tokens=False)[0].ids)
+        data, four = ids.tobytes(), np.frombuffer(ids, dtype=np.uint32)
+        if self.ends is None:
+            stops = [*(4 * np.flatnonzero(four == self.line)).tolist(), len(data)]
+            starts = [0, *[e + 4 for e in stops[:-1]]]
+        else:
+            stops = (4 * np.flatnonzero(self.ends[four]) + 4).tolist()
+            starts = [0, *stops[:-1]]
+        return [data[a:b] for a, b in zip(starts, stops, strict=True)]
+
     def _learn(self, parts: list) -> None:
-        for at in range(0, len(parts), 20_000):
-            some = parts[at : at + 20_000]
-            self.known.update(zip(some, self._encode([p.decode() if isinstance(p, bytes) else p for p in some]), strict=True))
+        known, plain, split = self.known, [], []
+        text_of = (lambda p: p.decode()) if parts and isinstance(parts[0], bytes) else (lambda p: p)
+        for p in parts:
+            found = _LETTERS_SIGNS(text_of(p))
+            split.append((p, found[1], found[2])) if found else plain.append(p)
+        key = (lambda t: t.encode()) if parts and isinstance(parts[0], bytes) else (lambda t: t)
+        runs = list({r for _, r, _ in split if key(r) not in known})
+        for at in range(0, len(runs), 2000):
+            known.update(zip(map(key, runs[at : at + 2000]), self._runs(runs[at : at + 2000]), strict=True))
+        plain += [key(s) for s in {s for _, _, s in split if s} if key(s) not in known]
+        known.update(zip(plain, self._encode([text_of(p) for p in plain]), strict=True))
+        for p, run, signs in split:
+            if signs:
+                known[p] = known[key(run)] + known[key(signs)]
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        for at in range(0, len(texts), 64):  # the parts of a few texts at a time
-            some = texts[at : at + 64]
-            cut = [self.parts(t) if t else [] for t in some]
-            seen = set(chain.from_iterable(c for c in cut if c is not None))
-            if len(self.known) + len(seen) > MOST_PARTS:
-                self.known.clear()
-            self._learn(list(seen.difference(self.known)))
-            get = self.known.__getitem__
-            for text, parts in zip(some, cut, strict=True):
-                joined = self._encode([text])[0] if parts is None else b"".join(map(get, parts))
-                out.append(np.frombuffer(joined + self.end, dtype=np.uint32))
-            for p in [p for p in seen if len(p) > LONGEST_PART]:
-                del self.known[p]
+        known = self.known
+        for text in texts:
+            parts = self.parts(text) if text else []
+            if parts is None:
+                joined = self._encode([text])[0]
+            else:
+                fresh = set(parts).difference(known)
+                if len(known) + len(fresh) > MOST_PARTS:
+                    known.clear()
+                    fresh = set(parts)
+                if fresh:
+                    self._learn(list(fresh))
+                joined = b"".join(map(known.__getitem__, parts))
+                for p in [p for p in fresh if len(p) > LONGEST_PART]:
+                    del known[p]
+            out.append(np.frombuffer(joined + self.end, dtype=np.uint32))
         return out
 
 
