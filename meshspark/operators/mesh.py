@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
+from .lineage import cut
 
 
 def corners(triangles: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def clip_ears(triangles: DataFrame, passes: int = 10) -> DataFrame:
         ears = half_edges(now).select("fid", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(rim, ["i", "j"], "left_semi").groupBy("fid").count().where("count > 1")
         if ears.isEmpty():
             break
-        now = now.join(ears.select("fid"), "fid", "left_anti").checkpoint()
+        now = cut(now.join(ears.select("fid"), "fid", "left_anti"))
     return now
 
 
@@ -203,17 +204,17 @@ def boundary_loops(triangles: DataFrame) -> DataFrame:
     """
     h = half_edges(triangles)
     other = h.select(F.col("j").alias("i"), F.col("i").alias("j"))
-    step = h.join(other, ["i", "j"], "left_anti").select(F.col("j").alias("vid"), F.col("i").alias("next")).checkpoint()
+    step = cut(h.join(other, ["i", "j"], "left_anti").select(F.col("j").alias("vid"), F.col("i").alias("next")))
     n = step.count()
     now = step.select("vid", "next", F.least("vid", "next").alias("loop"))
     for _ in range(max(1, math.ceil(math.log2(n + 1)))):
         far = now.select(F.col("vid").alias("next"), F.col("next").alias("next2"), F.col("loop").alias("loop2"))
-        now = now.join(far, "next").select("vid", F.col("next2").alias("next"), F.least("loop", "loop2").alias("loop")).checkpoint()
+        now = cut(now.join(far, "next").select("vid", F.col("next2").alias("next"), F.least("loop", "loop2").alias("loop")))
     named = step.join(now.select("vid", "loop"), "vid")
     # distance to the loop's least vertex, by doubling again; the least vertex points at itself
     reach = named.select("vid", "loop", F.when(F.col("vid") == F.col("loop"), F.col("vid")).otherwise(F.col("next")).alias("next"), F.when(F.col("vid") == F.col("loop"), 0).otherwise(1).cast("long").alias("d"))
     for _ in range(max(1, math.ceil(math.log2(n + 1)))):
         far = reach.select(F.col("vid").alias("next"), F.col("next").alias("next2"), F.col("d").alias("d2"))
-        reach = reach.join(far, "next").select("vid", "loop", F.col("next2").alias("next"), (F.col("d") + F.col("d2")).alias("d")).checkpoint()
+        reach = cut(reach.join(far, "next").select("vid", "loop", F.col("next2").alias("next"), (F.col("d") + F.col("d2")).alias("d")))
     size = F.count("*").over(Window.partitionBy("loop"))
     return reach.select("loop", F.when(F.col("d") == 0, F.lit(0)).otherwise(size - F.col("d")).cast("long").alias("pos"), "vid")

@@ -1 +1,224 @@
-"""graphs"""
+"""Queries of distance joins and graph operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import graph, mesh, spatial
+from .bindings import grid, points
+from .registry import query, sql_table
+
+K, RADIUS, CUTOFF = 8, 0.12, 0.35
+
+sql_table("pairs3", "SELECT a.vid AS i, b.vid AS j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d FROM pts a JOIN pts b ON a.vid <> b.vid", "pts")
+sql_table("near8", "SELECT * FROM (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM pairs3) WHERE r <= 8", "pairs3")
+sql_table("ball", "SELECT i, j, d FROM pairs3 WHERE d < 0.12", "pairs3")
+
+
+def _r(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+@query("SELECT i, j, r::INT AS r, round(d, 6) AS d FROM near8", "near8")
+def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(spatial.knn(points(spark, sf_dir), K), "d").select("i", "j", "r", "d")
+
+
+@query("SELECT i, j, round(d, 6) AS d FROM ball", "ball")
+def eps_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(spatial.eps_ball(points(spark, sf_dir), RADIUS), "d")
+
+
+@query("SELECT i, count(*) AS n, round(sum(d), 4) AS total FROM pairs3 GROUP BY 1", "pairs3")
+def pairwise_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.pairwise(points(spark, sf_dir)).where("i <> j").groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("d"), 4).alias("total"))
+
+
+@query("SELECT vid, round(sqrt(d2), 6) AS d, round(d2, 6) AS d2 FROM (SELECT vid, pow(x-0.1,2)+pow(y-0.05,2)+pow(z+0.1,2) AS d2 FROM pts) ORDER BY d2, vid LIMIT 1", "pts")
+def nearest_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(spatial.nearest_vertex(points(spark, sf_dir), (0.1, 0.05, -0.1)), "d", "d2")
+
+
+def _weights(source: str, name: str, expression: str, mode: str) -> None:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = points(spark, sf_dir)
+        pairs = spatial.knn(p, K) if source == "near8" else spatial.eps_ball(p, RADIUS)
+        return _r(spatial.neighbour_weights(pairs.select("i", "j", "d"), mode), "w")
+
+    f.__name__ = f"{name}_weights_{mode}"
+    query(f"SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 6) AS w FROM (SELECT i, j, {expression} AS w FROM {source})", source)(f)
+
+
+for _source, _name in (("near8", "knn"), ("ball", "eps")):
+    _weights(_source, _name, "1.0::DOUBLE", "uniform")
+    _weights(_source, _name, "1/(d+2.220446049250313e-16)", "invdist")
+    _weights(_source, _name, "1/(d*d+2.220446049250313e-16)", "invdist2")
+    _weights(_source, _name, f"exp(-d*d/(4*(SELECT avg(d) FROM {_source})))", "gaussian")
+
+
+def _faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    return mesh.gather(grid(p), p)
+
+
+# squared distance to each triangle: the least over its inside and its three edges
+_EDGE = "least(1, greatest(0, ((px-{s}x)*({e}x-{s}x)+(py-{s}y)*({e}y-{s}y)+(pz-{s}z)*({e}z-{s}z))/(({e}x-{s}x)*({e}x-{s}x)+({e}y-{s}y)*({e}y-{s}y)+({e}z-{s}z)*({e}z-{s}z))))"
+_FACE = 'SELECT fid, ax, ay, az, bx, "by" AS b_y, bz, cx, cy, cz FROM faces'
+_D = lambda q: f"((px-{q}x)*(px-{q}x)+(py-{q}y)*(py-{q}y)+(pz-{q}z)*(pz-{q}z))"
+sql_table("wide", "SELECT p.vid, p.x AS px, p.y AS py, p.z AS pz, f.* FROM pts p CROSS JOIN (" + _FACE + ") f", "pts", "faces")
+sql_table("wide1", "SELECT *, " + ", ".join(f"{_EDGE.format(s=s, e=e)} AS e{k}".replace("by", "b_y") for k, (s, e) in enumerate((("a", "b"), ("b", "c"), ("c", "a")))) + ", (bx-ax)*(bx-ax)+(b_y-ay)*(b_y-ay)+(bz-az)*(bz-az) AS d00, (bx-ax)*(cx-ax)+(b_y-ay)*(cy-ay)+(bz-az)*(cz-az) AS d01, (cx-ax)*(cx-ax)+(cy-ay)*(cy-ay)+(cz-az)*(cz-az) AS d11, (px-ax)*(bx-ax)+(py-ay)*(b_y-ay)+(pz-az)*(bz-az) AS d20, (px-ax)*(cx-ax)+(py-ay)*(cy-ay)+(pz-az)*(cz-az) AS d21 FROM wide", "wide")
+sql_table("wide2", "SELECT *, (d11*d20-d01*d21)/(d00*d11-d01*d01) AS v, (d00*d21-d01*d20)/(d00*d11-d01*d01) AS w FROM wide1", "wide1")
+sql_table(
+    "wide3",
+    "SELECT vid, fid, v, w, " + ", ".join(f"pow(px-({s}x+e{k}*({e}x-{s}x)),2)+pow(py-({s}y+e{k}*({e}y-{s}y)),2)+pow(pz-({s}z+e{k}*({e}z-{s}z)),2) AS g{k}".replace("by", "b_y") for k, (s, e) in enumerate((("a", "b"), ("b", "c"), ("c", "a"))))
+    + ", pow(px-(ax+v*(bx-ax)+w*(cx-ax)),2)+pow(py-(ay+v*(b_y-ay)+w*(cy-ay)),2)+pow(pz-(az+v*(bz-az)+w*(cz-az)),2) AS gf FROM wide2",
+    "wide2",
+)
+sql_table("tri_dist", "SELECT vid, fid, CASE WHEN v >= 0 AND w >= 0 AND v + w <= 1 THEN gf ELSE least(g0, g1, g2) END AS d2 FROM wide3", "wide3")
+
+
+@query("SELECT vid, fid, round(d2, 6) AS d2 FROM tri_dist WHERE d2 < 0.05*0.05 + 1e-10", "tri_dist")
+def range_join_vertex_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(spatial.near_triangles(points(spark, sf_dir), _faces(spark, sf_dir), 0.05).select("vid", "fid", "d2"), "d2")
+
+
+# queries off the surface: every point moved
+sql_table("tri_dist_off", "SELECT * FROM tri_dist_o", "tri_dist_o")
+for _t, _needs in (("wide", ("pts", "faces")), ("wide1", ("wide_o",)), ("wide2", ("wide1_o",)), ("wide3", ("wide2_o",)), ("tri_dist", ("wide3_o",))):
+    from .registry import TABLES
+
+    _text = TABLES[_t][1].replace("p.x AS px", "p.x + 0.03 AS px").replace("p.y AS py", "p.y - 0.02 AS py")
+    for _w in ("wide3", "wide2", "wide1"):
+        _text = _text.replace(f"FROM {_w}", f"FROM {_w}_o")
+    _text = _text.replace("FROM wide", "FROM wide_o") if _t == "wide1" else _text
+    sql_table(f"{_t}_o", _text, *_needs)
+
+
+@query("SELECT vid, fid, round(d2, 6) AS d2 FROM (SELECT *, min(d2) OVER (PARTITION BY vid) AS m FROM tri_dist_o) WHERE d2 <= m + 1e-10", "tri_dist_o")
+def nearest_triangle_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    off = points(spark, sf_dir).select("vid", (F.col("x") + 0.03).alias("x"), (F.col("y") - 0.02).alias("y"), "z")
+    return _r(spatial.nearest_triangles(off, _faces(spark, sf_dir)).select("vid", "fid", "d2"), "d2")
+
+
+# the grid refined by edge midpoints, ids after the corners'
+sql_table("mids", "SELECT i, j, 100000000 + i * 100000 + j AS vid FROM edges", "edges")
+sql_table("fine_pts", "SELECT vid, x, y, z FROM pts UNION ALL SELECT m.vid, (a.x+b.x)/2, (a.y+b.y)/2, (a.z+b.z)/2 FROM mids m JOIN pts a ON a.vid = m.i JOIN pts b ON b.vid = m.j", "pts", "mids")
+sql_table("members", "SELECT fid AS father, vid FROM corners UNION ALL SELECT h.fid, m.vid FROM half h JOIN mids m ON m.i = least(h.i,h.j) AND m.j = greatest(h.i,h.j)", "corners", "half", "mids")
+sql_table("geo", "SELECT p.i, p.j, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)) AS d FROM (SELECT DISTINCT a.vid AS i, b.vid AS j FROM members a JOIN members b ON a.father = b.father AND a.vid < b.vid) p JOIN fine_pts a ON a.vid = p.i JOIN fine_pts b ON b.vid = p.j", "members", "fine_pts")
+
+
+def _midpoints(faces: DataFrame) -> DataFrame:
+    return mesh.edges(faces).select("i", "j", (100000000 + F.col("i") * 100000 + F.col("j")).alias("vid"))
+
+
+def _fine(vertices: DataFrame, mids: DataFrame) -> DataFrame:
+    a = vertices.select(F.col("vid").alias("i"), *[F.col(d).alias("a" + d) for d in "xyz"])
+    b = vertices.select(F.col("vid").alias("j"), *[F.col(d).alias("b" + d) for d in "xyz"])
+    halves = mids.join(a, "i").join(b, "j").select("vid", *[((F.col("a" + d) + F.col("b" + d)) / 2).alias(d) for d in "xyz"])
+    return vertices.unionByName(halves)
+
+
+def _geodesic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    faces = grid(p)
+    mids = _midpoints(faces)
+    return graph.geodesic_edges(graph.membership(faces, mids), _fine(p, mids))
+
+
+@query("SELECT i, j, round(d, 6) AS d FROM geo", "geo")
+def geodesic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(_geodesic(spark, sf_dir), "d")
+
+
+@query("SELECT i, j, round(d, 6) AS d FROM geo WHERE d < 0.15 + 1e-10 UNION ALL SELECT vid, vid, 0.0::DOUBLE FROM (SELECT i AS vid FROM geo UNION SELECT j FROM geo)", "geo")
+def prune_selfloop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(graph.prune(_geodesic(spark, sf_dir), 0.15), "d")
+
+
+sql_table("sym", "SELECT i, j, min(d) AS d FROM (SELECT i, j, d FROM near8 UNION ALL SELECT j, i, d FROM near8) GROUP BY 1, 2", "near8")
+
+
+@query("SELECT i, j, round(d, 6) AS d FROM sym", "sym")
+def symmetrize_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(graph.symmetrise(spatial.knn(points(spark, sf_dir), K).select("i", "j", "d")), "d")
+
+
+_MESH_EDGES = "SELECT i, j, d FROM lens"
+sql_table(
+    "walks",
+    """SELECT vid AS source, vid, 0.0::DOUBLE AS d, 0 AS hops FROM pts UNION ALL
+    SELECT source, j, min(w.d + e.d), hops + 1 FROM walks w JOIN lens e ON e.i = w.vid WHERE w.d + e.d < 0.35 + 1e-10 AND hops < 12 GROUP BY source, j, hops""",
+    "pts", "lens",
+)
+sql_table("paths", "SELECT source, vid, min(d) AS d FROM walks GROUP BY 1, 2", "walks")
+
+
+def _mesh_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = points(spark, sf_dir)
+    faces = grid(p)
+    return p, faces, mesh.edge_lengths(faces, p).select("i", "j", "d")
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p, faces, edges = _mesh_edges(spark, sf_dir)
+    return faces, graph.shortest_paths(edges, p, CUTOFF)
+
+
+@query("SELECT source, vid, round(d, 6) AS d FROM paths", "paths")
+def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(_paths(spark, sf_dir)[1].select("source", "vid", "d"), "d")
+
+
+sql_table("short", "SELECT i, j FROM lens WHERE d < 0.14", "lens")
+sql_table("labels0", "SELECT vid, vid AS c, 0 AS n FROM pts UNION ALL SELECT vid, min(c), n + 1 FROM (SELECT l.vid, l.c, n FROM labels0 l UNION ALL SELECT s.j, l.c, n FROM labels0 l JOIN short s ON s.i = l.vid) WHERE n < 60 GROUP BY vid, n", "pts", "short")
+
+
+@query("SELECT vid, min(c) AS component FROM labels0 GROUP BY 1", "labels0")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, edges = _mesh_edges(spark, sf_dir)
+    return graph.components(p, edges.where("d < 0.14"))
+
+
+@query("SELECT vid FROM (SELECT vid, min(c) AS c FROM labels0 GROUP BY 1) WHERE c = (SELECT c FROM (SELECT c, count(*) AS n FROM (SELECT vid, min(c) AS c FROM labels0 GROUP BY 1) GROUP BY 1) ORDER BY n DESC, c LIMIT 1)", "labels0")
+def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, edges = _mesh_edges(spark, sf_dir)
+    return graph.largest_component(p, edges.where("d < 0.14"))
+
+
+sql_table("reached", "SELECT DISTINCT c.fid, p.vid FROM corners c JOIN paths p ON p.source = c.vid WHERE p.d < 0.2 + 1e-10", "corners", "paths")
+
+
+@query("SELECT DISTINCT r.fid, c.fid AS neigh FROM reached r JOIN corners c ON c.vid = r.vid", "reached", "corners")
+def geodesic_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces, paths = _paths(spark, sf_dir)
+    return graph.geodesic_neighbourhood(paths, faces, 0.2)
+
+
+sql_table("weights", "SELECT m.fid, c.fid AS neigh, max(exp(-m.d*m.d/(2*0.1*0.1))) AS w FROM (SELECT c.fid, p.vid, min(p.d) AS d FROM corners c JOIN paths p ON p.source = c.vid GROUP BY 1, 2) m JOIN corners c ON c.vid = m.vid GROUP BY 1, 2", "corners", "paths")
+
+
+@query("SELECT fid, neigh, round(w, 6) AS w FROM weights", "weights")
+def smoothing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces, paths = _paths(spark, sf_dir)
+    return _r(graph.smoothing_weights(paths, faces, CUTOFF, 0.1), "w")
+
+
+sql_table("metric", "SELECT fid, area, CASE WHEN fid % 5 <> 0 THEN area * 10 END AS dist FROM face_geo", "face_geo")
+
+
+def _metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    area = mesh.face_area(_faces(spark, sf_dir))
+    return area.select("fid", "area", F.when(F.col("fid") % 5 != 0, F.col("area") * 10).alias("dist"))
+
+
+@query("SELECT w.fid, round(sum(m.area*w.w), 6) AS area, round(sum(coalesce(m.dist*m.area*w.w, 0))/sum(m.area*w.w), 6) AS dist FROM weights w JOIN metric m ON m.fid = w.neigh GROUP BY 1", "weights", "metric")
+def smooth_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces, paths = _paths(spark, sf_dir)
+    return _r(graph.smooth(_metric(spark, sf_dir), graph.smoothing_weights(paths, faces, CUTOFF, 0.1)), "area", "dist")
+
+
+@query("SELECT m.fid, round(coalesce(m.dist, f.v), 6) AS dist FROM metric m LEFT JOIN (SELECT w.fid, sum(k.dist*w.w)/sum(w.w) AS v FROM weights w JOIN metric k ON k.fid = w.neigh WHERE k.dist IS NOT NULL GROUP BY 1) f ON f.fid = m.fid", "metric", "weights")
+def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces, paths = _paths(spark, sf_dir)
+    return _r(graph.fill_missing(_metric(spark, sf_dir), graph.smoothing_weights(paths, faces, CUTOFF, 0.1)), "dist")
