@@ -1 +1,202 @@
-"""linear"""
+"""Queries of sparse operators, distortion, constraints, solves and embeddings over the grid mesh."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import fem, mesh, spatial
+from . import meshes  # noqa: F401  its SQL tables are used here
+from .bindings import WIDTH, grid, points
+from .registry import query, sql_table
+
+sql_table("stiff", "SELECT i, j, sum(w) AS w FROM (SELECT j AS i, o AS j, -dp/cp/2 AS w FROM angles UNION ALL SELECT o, j, -dp/cp/2 FROM angles UNION ALL SELECT j, j, dp/cp/2 FROM angles UNION ALL SELECT o, o, dp/cp/2 FROM angles) GROUP BY 1, 2", "angles")
+sql_table("massm", "SELECT i, j, sum(w) AS w FROM (SELECT i, i AS j, area/6 AS w FROM angles UNION ALL SELECT i, j, area/12 FROM angles UNION ALL SELECT j, i, area/12 FROM angles) GROUP BY 1, 2", "angles")
+sql_table("cotan", "SELECT i, j, sum(w) AS w, sum(wa) AS wa FROM (SELECT j AS i, o AS j, dp/cp AS w, dp/cp/area AS wa FROM angles UNION ALL SELECT o, j, dp/cp, dp/cp/area FROM angles) GROUP BY 1, 2", "angles")
+
+
+def _faces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = points(spark, sf_dir)
+    triangles = grid(p)
+    return p, triangles, mesh.gather(triangles, p)
+
+
+def _r(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+@query("SELECT i, j, round(w, 4) AS w FROM stiff", "stiff")
+def fem_stiffness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(fem.stiffness(_faces(spark, sf_dir)[2]), "w")
+
+
+@query("SELECT i, j, round(w, 8) AS w FROM massm", "massm")
+def fem_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(fem.mass(_faces(spark, sf_dir)[2]), "w", places=8)
+
+
+@query("SELECT i, j, round(w, 4) AS w FROM stiff WHERE i NOT IN (SELECT vid FROM rim) AND j NOT IN (SELECT vid FROM rim)", "stiff", "rim")
+def fem_dirichlet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, triangles, faces = _faces(spark, sf_dir)
+    return _r(fem.dirichlet(fem.stiffness(faces), triangles), "w")
+
+
+@query("SELECT i, j, round(w, 4) AS w FROM cotan", "cotan")
+def cotan_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(fem.cotan_weights(_faces(spark, sf_dir)[2]), "w")
+
+
+@query("SELECT i, j, round(wa, 2) AS w FROM cotan", "cotan")
+def cotan_weights_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(fem.cotan_weights(_faces(spark, sf_dir)[2], area_weighted=True), "w", places=2)
+
+
+sql_table("sides", "SELECT *, pow(qx-px,2)+pow(qy-py,2)+pow(qz-pz,2) AS pq2, pow(rx-px,2)+pow(ry-py,2)+pow(rz-pz,2) AS pr2 FROM angles", "angles")
+sql_table("authalic", "SELECT i, j, sum(w) AS w FROM (SELECT j AS i, i AS j, dp/cp/pq2 AS w FROM sides UNION ALL SELECT o, i, dp/cp/pr2 FROM sides) GROUP BY 1, 2", "sides")
+sql_table("meanv", "SELECT i, j, sum(w) AS w FROM (SELECT i, j, cp/(sqrt(pq2*pr2)+dp)/pq2 AS w FROM sides UNION ALL SELECT i, o, cp/(sqrt(pq2*pr2)+dp)/pr2 FROM sides) GROUP BY 1, 2", "sides")
+
+
+@query("SELECT i, j, round(w, 2) AS w FROM authalic", "authalic")
+def authalic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(fem.cotan_weights(_faces(spark, sf_dir)[2], authalic=True), "w", places=2)
+
+
+@query("SELECT i, j, round(w, 3) AS w FROM meanv", "meanv")
+def meanvalue_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(fem.mean_value_weights(_faces(spark, sf_dir)[2]), "w", places=3)
+
+
+def _ring(mode: str, expression: str, source: str = "lens", *needs: str) -> None:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p, triangles, faces = _faces(spark, sf_dir)
+        return _r(fem.one_ring_weights(faces, triangles, p, mode, normalise=True), "w", places=6)
+
+    f.__name__ = f"onering_weights_{mode}"
+    query(f"SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 6) AS w FROM (SELECT i, j, {expression} AS w FROM {source})", source, *needs)(f)
+
+
+_ring("uniform", "1.0::DOUBLE")
+_ring("invdist", "1/(d+2.220446049250313e-16)")
+_ring("invdist2", "1/(d*d+2.220446049250313e-16)")
+_ring("gaussian", "exp(-d*d/4*(SELECT avg(d) FROM lens))")
+_ring("meanvalue", "w", "meanv")
+
+
+@query("SELECT w.i, w.j, round(w.w / a.area, 2) AS w FROM cotan w JOIN (SELECT i, sum(CASE WHEN NOT obtuse THEN vor WHEN dp < 0 THEN area/2 ELSE area/4 END) AS area FROM areas GROUP BY 1) a ON a.i = w.i", "cotan", "areas")
+def onering_weights_cotan_mixed_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, faces = _faces(spark, sf_dir)
+    return _r(fem.one_ring_weights(faces, triangles, p, "cotan", area="mixed"), "w", places=2)
+
+
+@query("SELECT i AS vid, " + ", ".join(f"round(sum(w.w*q.{d})/sum(w.w) - any_value(p.{d}), 4) AS l{d}" for d in "xyz") + " FROM meanv w JOIN pts q ON q.vid = w.j JOIN pts p ON p.vid = w.i GROUP BY 1", "meanv", "pts")
+def laplacian_meanvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, faces = _faces(spark, sf_dir)
+    return _r(mesh.laplacian(fem.mean_value_weights(faces), p), "lx", "ly", "lz")
+
+
+@query("SELECT i AS vid, " + ", ".join(f"round(sum(w.w*(q.{d}-p.{d})), 4) AS l{d}" for d in "xyz") + " FROM cotan w JOIN pts q ON q.vid = w.j JOIN pts p ON p.vid = w.i GROUP BY 1", "cotan", "pts")
+def laplacian_cotan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, faces = _faces(spark, sf_dir)
+    k = fem.stiffness(faces)
+    parts = [fem.apply(k, p.select("vid", F.col(d).alias("u"))).select("vid", F.round(-2 * F.col("u"), 4).alias("l" + d)) for d in "xyz"]
+    return parts[0].join(parts[1], "vid").join(parts[2], "vid")
+
+
+@query("SELECT k.i AS vid, round(sqrt(kx*kx+ky*ky+kz*kz)/(2*area), 3) AS h FROM (SELECT w.i, sum(w.w*(p.x-q.x)) AS kx, sum(w.w*(p.y-q.y)) AS ky, sum(w.w*(p.z-q.z)) AS kz FROM cotan w JOIN pts q ON q.vid = w.j JOIN pts p ON p.vid = w.i GROUP BY 1) k JOIN (SELECT i, sum(CASE WHEN NOT obtuse THEN vor WHEN dp < 0 THEN area/2 ELSE area/4 END) AS area FROM areas GROUP BY 1) a ON a.i = k.i", "cotan", "areas", "pts")
+def mean_curv_dmc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, faces = _faces(spark, sf_dir)
+    return _r(fem.mean_curvature(faces, p), "h", places=3)
+
+
+@query("SELECT round(sum(a.x*w*b.x)/2, 4) AS energy FROM stiff s JOIN pts a ON a.vid = s.i JOIN pts b ON b.vid = s.j", "stiff", "pts")
+def dirichlet_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, faces = _faces(spark, sf_dir)
+    return fem.quadratic_form(fem.stiffness(faces), p.select("vid", F.col("x").alias("u"))).select(F.round(F.col("value") / 2, 4).alias("energy"))
+
+
+sql_table("uv", "SELECT vid, (vid % 20)::DOUBLE AS u, floor(vid / 20)::DOUBLE AS v FROM pts", "pts")
+# on the unit grid every face has plane area 1/2; its two gradients follow from the corner at the right angle
+sql_table(
+    "maps",
+    """SELECT fid, area, """ + ", ".join(f"""CASE WHEN fid % 2 = 0 THEN {b}-{a} ELSE {b}-{c} END AS s{d}, CASE WHEN fid % 2 = 0 THEN {c}-{a} ELSE {b}-{a} END AS t{d}""" for d, a, b, c in (("x", "ax", "bx", "cx"), ("y", "ay", '"by"', "cy"), ("z", "az", "bz", "cz")))
+    + ", ax, ay, az, bx, \"by\", bz, cx, cy, cz FROM face_geo",
+    "face_geo",
+)
+sql_table("abc", "SELECT fid, area, sx*sx+sy*sy+sz*sz AS a, sx*tx+sy*ty+sz*tz AS b, tx*tx+ty*ty+tz*tz AS c FROM maps", "maps")
+sql_table("stretched", "SELECT fid, area, 0.5::DOUBLE AS area_uv, sqrt((a+c)/2) AS l2, sqrt((a+c+sqrt((a-c)*(a-c)+4*b*b))/2) AS linf, sqrt(greatest((a+c-sqrt((a-c)*(a-c)+4*b*b))/2, 0)) AS smin FROM abc", "abc")
+# cotangents at the three corners against squared opposite plane edges: 1, 1 and 2 by the corner's angle
+sql_table(
+    "distorted",
+    """SELECT fid, any_value(area) AS area, sum(dp/cp * (CASE WHEN right_angle THEN 2 ELSE 1 END)) AS e_angle, any_value(area)/0.5 + 0.5/any_value(area) AS e_area FROM
+    (SELECT a.*, CASE WHEN fid % 2 = 0 THEN i = (SELECT v1 FROM tris t WHERE t.fid = a.fid) ELSE i = (SELECT v2 FROM tris t WHERE t.fid = a.fid) END AS right_angle FROM angles a) GROUP BY fid""",
+    "angles", "tris",
+)
+
+
+def _uv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, faces = _faces(spark, sf_dir)
+    return fem.with_uv(faces, p.select("vid", (F.col("vid") % WIDTH).cast("double").alias("u"), F.floor(F.col("vid") / WIDTH).cast("double").alias("v")))
+
+
+@query("SELECT fid, round(area, 6) AS area, area_uv, round(l2, 6) AS l2, round(linf, 6) AS linf, round(smin, 4) AS smin FROM stretched", "stretched")
+def stretch_l2_linf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(_r(fem.stretch(_uv(spark, sf_dir)), "area", "l2", "linf", places=6), "smin")
+
+
+@query("SELECT fid, round(linf/smin, 3) AS qc, round(l2*l2*area_uv, 6) AS dirichlet FROM stretched", "stretched")
+def face_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fem.stretch(_uv(spark, sf_dir))
+    return s.select("fid", F.round(F.col("linf") / F.col("smin"), 3).alias("qc"), F.round(F.col("l2") * F.col("l2") * F.col("area_uv"), 6).alias("dirichlet"))
+
+
+@query("SELECT fid, round(area, 6) AS area, round(e_angle, 4) AS e_angle, round(e_area, 3) AS e_area FROM distorted", "distorted")
+def face_distortion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fem.face_distortion(_uv(spark, sf_dir))
+    return d.select("fid", F.round("area", 6).alias("area"), F.round("e_angle", 4).alias("e_angle"), F.round("e_area", 3).alias("e_area"))
+
+
+@query("SELECT round(sum(e_angle*d.area)/sum(d.area), 5) AS e_angle, round(sum(e_area*d.area)/sum(d.area), 4) AS e_area, round(sum(l2*d.area)/sum(d.area), 6) AS l2, round(max(linf), 6) AS linf FROM distorted d JOIN stretched s ON s.fid = d.fid", "distorted", "stretched")
+def mesh_distortion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fem.mesh_distortion(_uv(spark, sf_dir))
+    return d.select(F.round("e_angle", 5).alias("e_angle"), F.round("e_area", 4).alias("e_area"), F.round("l2", 6).alias("l2"), F.round("linf", 6).alias("linf"))
+
+
+def _constraints(p: DataFrame) -> DataFrame:
+    return p.where("vid % 50 = 0").select("vid", F.col("x").alias("value"), F.lit(2.0).alias("weight"))
+
+
+@query("SELECT i, j, round(sum(w), 4) AS w FROM (SELECT i, j, w FROM stiff UNION ALL SELECT vid, vid, 4.0 FROM pts WHERE vid % 50 = 0) GROUP BY 1, 2", "stiff", "pts")
+def soft_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, faces = _faces(spark, sf_dir)
+    return _r(fem.soft_constraints(fem.stiffness(faces), p.select("vid", F.lit(0.0).alias("u")), _constraints(p))[0], "w")
+
+
+@query("SELECT i, j, round(w, 4) AS w FROM stiff WHERE i % 50 <> 0 UNION ALL SELECT vid, vid, 1.0 FROM pts WHERE vid % 50 = 0", "stiff", "pts")
+def hard_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, faces = _faces(spark, sf_dir)
+    return _r(fem.hard_constraints(fem.stiffness(faces), p.select("vid", F.lit(0.0).alias("u")), _constraints(p))[0], "w")
+
+
+@query("SELECT p.vid, round(-coalesce(sum(s.w*q.x), 0), 4) AS u FROM pts p LEFT JOIN stiff s ON s.i = p.vid AND s.j % 50 = 0 LEFT JOIN pts q ON q.vid = s.j WHERE p.vid % 50 <> 0 GROUP BY 1", "stiff", "pts")
+def hard_constraints_rhs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, faces = _faces(spark, sf_dir)
+    right = fem.hard_constraints(fem.stiffness(faces), p.select("vid", F.lit(0.0).alias("u")), _constraints(p), eliminate=True)[1]
+    return right.select("vid", (F.round("u", 4) + 0.0).alias("u"))
+
+
+@query("SELECT 'stiffness' AS name, true AS symmetric UNION ALL SELECT 'meanvalue', false")
+def is_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, faces = _faces(spark, sf_dir)
+    tests = [fem.is_symmetric(op, 1e-6).select(F.lit(n).alias("name"), "symmetric") for n, op in (("stiffness", fem.stiffness(faces)), ("meanvalue", fem.mean_value_weights(faces)))]
+    return tests[0].unionByName(tests[1])
+
+
+@query("SELECT i, j, round(w/sum(w) OVER (PARTITION BY i), 6) AS w FROM meanv", "meanv")
+def row_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(spatial.normalise_rows(fem.mean_value_weights(_faces(spark, sf_dir)[2])), "w", places=6)
+
+
+@query("SELECT a.i, b.j, round(sum(a.w*b.w), 3) AS w FROM meanv a JOIN meanv b ON b.i = a.j GROUP BY 1, 2", "meanv")
+def operator_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = fem.mean_value_weights(_faces(spark, sf_dir)[2])
+    return _r(fem.multiply(w, w), "w", places=3)
