@@ -1 +1,118 @@
-"""metrics"""
+"""Queries of surface sampling and deviation metrics: the grid mesh as nominal, and moved a little as scan."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import graph, mesh, metrics as M, sampling, spatial
+from . import graphs  # noqa: F401  its SQL tables are used here
+from .bindings import grid, points, uniform, uniform_sql
+from .registry import TABLES, query, sql_table
+
+U0, U1 = uniform_sql("sid", 0), uniform_sql("sid", 1)
+sql_table("alloc", "SELECT *, ceil(area / (SELECT sum(area) FROM face_geo) * 1200)::INT AS n FROM face_geo", "face_geo")
+sql_table("spread", "SELECT *, fid * 100000 + k AS sid FROM (SELECT *, unnest(range(0, n)) AS k FROM alloc)", "alloc")
+sql_table("folded", f"SELECT *, CASE WHEN u + w > 1 THEN 1 - u ELSE u END AS s, CASE WHEN u + w > 1 THEN 1 - w ELSE w END AS t FROM (SELECT *, {U0} AS u, {U1} AS w FROM spread)", "spread")
+sql_table("samples", 'SELECT sid, fid, ax+s*(bx-ax)+t*(cx-ax) AS x, ay+s*("by"-ay)+t*(cy-ay) AS y, az+s*(bz-az)+t*(cz-az) AS z FROM folded', "folded")
+# the scan: every vertex moved by its own small offset
+_MOVE = f"x + 0.02*({uniform_sql('vid', 6)} - 0.5)", f"y + 0.02*({uniform_sql('vid', 7)} - 0.5)"
+sql_table("scan_pts", f"SELECT vid, {_MOVE[0]} AS x, {_MOVE[1]} AS y, z FROM pts", "pts")
+sql_table("scan_faces", TABLES["faces"][1].replace("JOIN pts", "JOIN scan_pts"), "tris", "scan_pts")
+for _t, _needs in (("wide", ("samples", "scan_faces")), ("wide1", ("wide_s",)), ("wide2", ("wide1_s",)), ("wide3", ("wide2_s",)), ("tri_dist", ("wide3_s",))):
+    _text = TABLES[_t][1].replace("SELECT p.vid, p.x", "SELECT p.sid AS vid, p.x").replace("FROM pts p", "FROM samples p").replace("FROM faces", "FROM scan_faces")
+    for _w in ("wide3", "wide2", "wide1"):
+        _text = _text.replace(f"FROM {_w}", f"FROM {_w}_s")
+    sql_table(f"{_t}_s", _text.replace("FROM wide", "FROM wide_s") if _t == "wide1" else _text, *_needs)
+sql_table("forward", "SELECT s.fid, count(*) AS weight, sum(sqrt(d.d2)) AS weighted_dist FROM samples s JOIN (SELECT vid, min(d2) AS d2 FROM tri_dist_s GROUP BY 1) d ON d.vid = s.sid GROUP BY 1", "samples", "tri_dist_s")
+
+
+def _nominal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = points(spark, sf_dir)
+    triangles = grid(p)
+    return p, triangles, mesh.gather(triangles, p)
+
+
+def _scan(p: DataFrame, triangles: DataFrame) -> DataFrame:
+    moved = p.select("vid", (F.col("x") + 0.02 * (uniform(F.col("vid"), 6) - 0.5)).alias("x"), (F.col("y") + 0.02 * (uniform(F.col("vid"), 7) - 0.5)).alias("y"), "z")
+    return mesh.gather(triangles, moved)
+
+
+def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, faces = _nominal(spark, sf_dir)
+    return M.forward(faces, _scan(p, triangles), 1200, uniform)
+
+
+@query("SELECT sid, fid, round(x, 7) AS x, round(y, 7) AS y, round(z, 7) AS z FROM samples", "samples")
+def area_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sampling.sample(_nominal(spark, sf_dir)[2], 1200, uniform)
+    return s.select("sid", "fid", *[F.round(d, 7).alias(d) for d in "xyz"])
+
+
+@query("SELECT fid, weight, round(weighted_dist, 6) AS weighted_dist FROM forward", "forward")
+def forward_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forward(spark, sf_dir).withColumn("weighted_dist", F.round("weighted_dist", 6))
+
+
+@query("SELECT fid, weight::DOUBLE AS area, round(weighted_dist/weight, 6) AS dist FROM forward", "forward")
+def metric_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.ratio(_forward(spark, sf_dir)).withColumn("dist", F.round("dist", 6))
+
+
+@query("SELECT f.fid, round(greatest(weighted_dist/weight, area/20), 6) AS dist FROM forward f JOIN face_geo g ON g.fid = f.fid", "forward", "face_geo")
+def max_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = mesh.face_area(_nominal(spark, sf_dir)[2]).select("fid", (F.col("area") / 20).alias("dist"))
+    return M.larger(M.ratio(_forward(spark, sf_dir)), other).withColumn("dist", F.round("dist", 6))
+
+
+def _children(p: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    fine, kids = M.subdivide(triangles, p, lambda i, j: 100000000 + (F.col(i) if isinstance(i, str) else i) * 100000 + j)
+    faces = mesh.gather(kids, fine).join(kids.select("fid", "father_id"), "fid")
+    corner = mesh.corners(kids)
+    return faces, kids, corner.select("fid", "vid").join(corner.select(F.col("fid").alias("neigh"), "vid"), "vid").select("fid", "neigh").distinct()
+
+
+@query(
+    """SELECT 4*fid + k AS fid, fid AS father_id, CASE k WHEN 0 THEN v1 WHEN 1 THEN m1 WHEN 2 THEN m3 ELSE m1 END AS v1, CASE k WHEN 0 THEN m1 WHEN 1 THEN v2 WHEN 2 THEN m2 ELSE m2 END AS v2,
+    CASE k WHEN 0 THEN m3 WHEN 1 THEN m2 WHEN 2 THEN v3 ELSE m3 END AS v3, k IN (0, 1) AS e1, k IN (1, 2) AS e2, k IN (0, 2) AS e3
+    FROM (SELECT *, 100000000 + least(v1,v2)*100000 + greatest(v1,v2) AS m1, 100000000 + least(v2,v3)*100000 + greatest(v2,v3) AS m2, 100000000 + least(v3,v1)*100000 + greatest(v3,v1) AS m3, unnest(range(0, 4)) AS k FROM tris)""",
+    "tris",
+)
+def midpoint_subdivision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, _ = _nominal(spark, sf_dir)
+    return _children(p, triangles)[1].select("fid", "father_id", "v1", "v2", "v3", "e1", "e2", "e3")
+
+
+@query("SELECT fid AS father_id, 4::BIGINT AS n_children FROM tris", "tris")
+def children_per_father(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, _ = _nominal(spark, sf_dir)
+    return _children(p, triangles)[1].groupBy("father_id").agg(F.count("*").alias("n_children"))
+
+
+@query()
+def backward_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, faces = _nominal(spark, sf_dir)
+    children, _, neighbours = _children(p, triangles)
+    return M.backward(faces, children, neighbours, _scan(p, triangles), 40.0, 0.005, uniform)[0]
+
+
+_GAUSS = "sqrt(-2*ln(1-{0}))*cos(2*pi()*{1})"
+
+
+@query("SELECT vid, " + ", ".join(f"round({d} + 0.1*" + _GAUSS.format(uniform_sql("vid", 2 + 2 * k), uniform_sql("vid", 3 + 2 * k)) + f", 6) AS {d}" for k, d in enumerate("xyz")) + " FROM pts", "pts")
+def vertex_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.perturb(points(spark, sf_dir), 0.1, uniform, "vid").select("vid", *[F.round(d, 6).alias(d) for d in "xyz"])
+
+
+@query(
+    """SELECT vid, round(cos(0.3)*x2 - sin(0.3)*y1 + 1, 6) AS x, round(sin(0.3)*x2 + cos(0.3)*y1 - 2, 6) AS y, round(z2 + 0.5, 6) AS z FROM (SELECT vid, y1, cos(-0.2)*x + sin(-0.2)*z1 AS x2, -sin(-0.2)*x + cos(-0.2)*z1 AS z2
+    FROM (SELECT vid, x, cos(0.1)*y - sin(0.1)*z AS y1, sin(0.1)*y + cos(0.1)*z AS z1 FROM pts))""",
+    "pts",
+)
+def rigid_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.rigid_motion(points(spark, sf_dir), (0.1, -0.2, 0.3), (1.0, -2.0, 0.5)).select("vid", *[F.round(d, 6).alias(d) for d in "xyz"])
+
+
+@query(f"SELECT r AS vid, round((r % 16)/15.0 + 0.5*({uniform_sql('r', 0)} - 0.5)/15, 7) AS x, round(floor(r/16)/15.0 + 0.5*({uniform_sql('r', 1)} - 0.5)/15, 7) AS y, 0.0::DOUBLE AS z FROM range(256) t(r)")
+def generated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.grid_points(16, spark, 0.5, uniform).select("vid", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"), "z")
