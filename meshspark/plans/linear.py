@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fem, mesh, spatial
+from ..operators import deform, embed, fem, linalg, mesh, spatial
+from ..operators.lineage import cut
 from . import meshes  # noqa: F401  its SQL tables are used here
 from .bindings import WIDTH, grid, points
 from .registry import query, sql_table
@@ -200,3 +201,170 @@ def row_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def operator_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = fem.mean_value_weights(_faces(spark, sf_dir)[2])
     return _r(fem.multiply(w, w), "w", places=3)
+
+
+# --- solves and embeddings: no SQL, rows only; tests hold them against invariants
+
+
+@query()
+def lbs_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = _faces(spark, sf_dir)[2]
+    return linalg.spectrum(fem.stiffness(faces), fem.mass(faces), 15)
+
+
+@query()
+def poisson_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, faces = _faces(spark, sf_dir)
+    a, b = fem.soft_constraints(fem.stiffness(faces), p.select("vid", F.lit(0.0).alias("u")), _constraints(p))
+    return linalg.solve(a, b)
+
+
+@query()
+def conjugate_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, faces = _faces(spark, sf_dir)
+    return linalg.conjugate_gradient(fem.mass(faces), p.select("vid", F.col("x").alias("u")), 1e-6)
+
+
+@query()
+def tutte_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, _ = _faces(spark, sf_dir)
+    return embed.tutte(triangles, p)
+
+
+@query()
+def dncp_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, faces = _faces(spark, sf_dir)
+    return embed.dncp(faces, triangles, p)
+
+
+@query()
+def scp_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, triangles, faces = _faces(spark, sf_dir)
+    return embed.scp(faces, triangles)
+
+
+@query()
+def lem_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, triangles, _ = _faces(spark, sf_dir)
+    return embed.laplacian_eigenmaps(mesh.uniform_neighbours(triangles))
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = points(spark, sf_dir)
+    return p, cut(spatial.knn(p, 8).select("i", "j", "d"))
+
+
+@query()
+def lle_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, pairs = _neighbours(spark, sf_dir)
+    return embed.optimal_weights(pairs, p)
+
+
+@query()
+def lle_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, pairs = _neighbours(spark, sf_dir)
+    return embed.lle(pairs, p)
+
+
+@query()
+def ltsa_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, pairs = _neighbours(spark, sf_dir)
+    return embed.ltsa(pairs, p)
+
+
+@query()
+def hlle_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, pairs = _neighbours(spark, sf_dir)
+    return embed.hessian_lle(pairs, p)
+
+
+@query()
+def isomap_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, pairs = _neighbours(spark, sf_dir)
+    return embed.isomap(pairs, p)[0]
+
+
+@query()
+def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.pca(points(spark, sf_dir))
+
+
+@query()
+def diffusion_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.diffusion_map(_neighbours(spark, sf_dir)[1], 0.01)
+
+
+@query()
+def oneringexpmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, _ = _faces(spark, sf_dir)
+    return embed.one_ring_map(triangles, p)
+
+
+@query()
+def expmap_uv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, faces = _faces(spark, sf_dir)
+    edges = mesh.edge_lengths(triangles, p).select("i", "j", "d")
+    return embed.exponential_map(edges, p, mesh.vertex_normals(faces), p.where("vid % 100 = 50").select("vid"), 0.6)
+
+
+@query()
+def tps_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    return embed.thin_plate(p, p.select("vid", (F.col("x") + 0.01).alias("x"), "y"))
+
+
+@query()
+def rigid_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, faces = _faces(spark, sf_dir)
+    return embed.register_rigid(p.select("vid", (F.col("x") + 0.01).alias("x"), "y", "z"), faces, 2)
+
+
+@query()
+def mips_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, faces = _faces(spark, sf_dir)
+    start = p.select("vid", (F.col("vid") % WIDTH).cast("double").alias("u"), F.floor(F.col("vid") / WIDTH).cast("double").alias("v"))
+    return embed.mips(triangles, faces, start, 20)
+
+
+def _handles(p: DataFrame) -> DataFrame:
+    return p.where("vid % 50 = 0").select("vid", "x", "y", (F.col("z") + 0.1).alias("z"), F.lit(10.0).alias("weight"))
+
+
+@query()
+def deform_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, faces = _faces(spark, sf_dir)
+    return deform.laplacian(fem.stiffness(faces), p, _handles(p))
+
+
+@query()
+def deform_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, faces = _faces(spark, sf_dir)
+    return deform.poisson(faces, _handles(p))
+
+
+@query()
+def fair_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _, faces = _faces(spark, sf_dir)
+    return deform.fair_laplacian(fem.stiffness(faces), p, _handles(p))
+
+
+@query("SELECT i AS vid, " + ", ".join(f"round(any_value(p.{d}) + 0.5*(avg(q.{d}) - any_value(p.{d})), 6) AS {d}" for d in "xyz") + " FROM nbrs b JOIN pts q ON q.vid = b.j JOIN pts p ON p.vid = b.i GROUP BY 1", "nbrs", "pts")
+def fair_lflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, _ = _faces(spark, sf_dir)
+    return _r(deform.flow(mesh.uniform_neighbours(triangles), p, 0.5, 1), "x", "y", "z", places=6)
+
+
+@query()
+def fair_curvature_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, _ = _faces(spark, sf_dir)
+    return deform.curvature_flow(triangles, p, 1e-3, 2)
+
+
+sql_table("loop_at", "SELECT w.pos, w.vid, p.x, p.y, p.z, lead(p.x) OVER o AS bx, lead(p.y) OVER o AS b_y, lead(p.z) OVER o AS bz FROM rim_walk w JOIN pts p ON p.vid = w.vid WINDOW o AS (ORDER BY w.pos)", "rim_walk", "pts")
+sql_table("loop_len", "SELECT pos, vid, sqrt(pow(coalesce(bx, f.x)-l.x,2)+pow(coalesce(b_y, f.y)-l.y,2)+pow(coalesce(bz, f.z)-l.z,2)) AS d FROM loop_at l CROSS JOIN (SELECT x, y, z FROM loop_at WHERE pos = 0) f", "loop_at")
+
+
+@query("SELECT vid, round(cos(2*pi()*(c-d)/s), 6) AS u, round(sin(2*pi()*(c-d)/s), 6) AS v FROM (SELECT vid, d, sum(d) OVER (ORDER BY pos) AS c, sum(d) OVER () AS s FROM loop_len)", "loop_len")
+def embed_boundary_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, _ = _faces(spark, sf_dir)
+    return _r(embed.embed_boundary(mesh.boundary_loops(triangles), p), "u", "v", places=6)
