@@ -137,8 +137,8 @@ def id_counts(coded: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for packed in batch.column(0):
-                one = np.bincount(unpack_ids(packed.as_py()))
+            for low in range(0, batch.num_rows, 512):
+                one = np.bincount(np.concatenate([unpack_ids(p) for p in batch.column(0).slice(low, 512).to_pylist()]))
                 if len(one) > len(total):
                     total = np.concatenate([total, np.zeros(len(one) - len(total), dtype=np.int64)])
                 total[: len(one)] += one

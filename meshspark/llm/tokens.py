@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts kept in a worker before the store of parts is emptied.
-MOST_PARTS = 1_200_000
+#: Parts kept in a worker's newer store before it becomes the older one, whose parts go unless they are met again.
+MOST_PARTS = 450_000
 #: Parts longer than this are not kept.
 LONGEST_PART = 64
 #: White space other than the space and \n, and the mark used for cutting.
@@ -72,6 +72,7 @@ class Encoder:
         name = os.path.basename(path)
         self.parts = PARTS.get(name, lambda text: None)
         self.known: dict = {}
+        self.older: dict = {}
         self.end = b"" if end_id is None else np.uint32(end_id).tobytes()
         # the vocabulary's own merges without its normalizer and pre-tokenizer, for runs of letters put one to a line
         self.letters = str.maketrans(byte_letters())
@@ -123,18 +124,20 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        known = self.known
         for text in texts:
             parts = self.parts(text) if text else []
             if parts is None:
                 joined = self._encode([text])[0]
             else:
+                known = self.known
                 fresh = set(parts).difference(known)
                 if len(known) + len(fresh) > MOST_PARTS:
-                    known.clear()
-                    fresh = set(parts)
+                    self.older, self.known = known, {}
+                    known, fresh = self.known, set(parts)
                 if fresh:
-                    self._learn(list(fresh))
+                    older = self.older
+                    known.update({p: older[p] for p in fresh if p in older})
+                    self._learn([p for p in fresh if p not in older])
                 joined = b"".join(map(known.__getitem__, parts))
                 for p in [p for p in fresh if len(p) > LONGEST_PART]:
                     del known[p]
