@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, brown_lm, gam, mixing, packing, pii, quality_rules, simhash, token_output, url_filter
+from . import ann, brown_lm, gam, mixing, oracle, packing, pii, quality_rules, simhash, token_output, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,7 +60,7 @@ URL_RULES = (
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("ratio")
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,5 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_ann, op4_quality_classifier, op5_url_filter, op6_token_output, op7_mixing, op8_brown_lm, op9_pii, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+#: The others use XXH64, public tokenizers, boosting, exchange clustering or graph search, which SQL lacks.
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": oracle.quality_rules_sql(), "op5_url_filter": oracle.url_filter_sql(URL_RULES), "op7_mixing": oracle.mixing_sql()}
