@@ -78,19 +78,28 @@ def cut(packets: DataFrame, total: int, length: int = LENGTH) -> DataFrame:
 
 
 def _with_ids(digest: bool):
+    """(doc_id, n_tokens, ids, pieces) -> a row per piece."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.to_pydict()
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
-            for doc_id, tokens, packed, pieces in zip(data["doc_id"], data["n_tokens"], data["ids"], data["pieces"], strict=True):
-                ids = unpack_ids(packed).astype("<u4")
-                for p in pieces:
-                    part = ids[p["start"] : p["start"] + p["length"]]
-                    for k, v in (("doc_id", doc_id), ("start", p["start"]), ("length", p["length"]), ("doc_tokens", tokens), ("sequence_id", p["sequence_id"]), ("offset", p["offset"])):
-                        out[k].append(v)
-                    out["ids"].append(zlib.crc32(part.tobytes()) if digest else part.astype(np.int32))
-            arrays = [pa.array(out[k], pa.int64()) for k in list(out)[:-1]]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(out["ids"], pa.int64() if digest else pa.list_(pa.int32()))], names=list(out))
+            lists = batch.column("pieces")
+            places = lists.offsets.to_numpy()
+            fields = [lists.values.field(f).slice(int(places[0]), int(places[-1] - places[0])) for f in ("start", "length", "sequence_id", "offset")]
+            starts, lengths = fields[0].to_numpy(), fields[1].to_numpy()
+            per_row = np.diff(places)
+            last: list = []
+            at = 0
+            for packed, n in zip(batch.column("ids"), per_row.tolist(), strict=True):
+                ids = unpack_ids(packed.as_py()).astype("<u4")
+                for a, k in zip(starts[at : at + n].tolist(), lengths[at : at + n].tolist(), strict=True):
+                    last.append(zlib.crc32(ids[a : a + k]) if digest else ids[a : a + k].astype(np.int32))
+                at += n
+            row = pa.array(np.repeat(np.arange(batch.num_rows), per_row))
+            columns = {
+                "doc_id": batch.column("doc_id").take(row), "start": fields[0], "length": fields[1], "doc_tokens": batch.column("n_tokens").take(row),
+                "sequence_id": fields[2], "offset": fields[3], "ids": pa.array(last, pa.int64() if digest else pa.list_(pa.int32())),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 

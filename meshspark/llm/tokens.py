@@ -41,8 +41,8 @@ def _byte_parts(text: str) -> list[str] | None:
 
 
 def _word_parts(text: str) -> list[str] | None:
-    """Parts of a tokenizer that drops white space: no token spans ASCII white space."""
-    return None if "<|" in text else text.encode().split()
+    """Parts of a tokenizer that drops white space and case: no token spans ASCII white space."""
+    return None if "<|" in text else text.encode().lower().split()
 
 
 PARTS = {"byte_bpe_50k.json": _byte_parts, "word_bpe_49k.json": _word_parts}
@@ -73,6 +73,7 @@ class Encoder:
         self.parts = PARTS.get(name, lambda text: None)
         self.known: dict = {}
         self.older: dict = {}
+        self.signs: dict[str, bytes] = {"": b""}
         self.end = b"" if end_id is None else np.uint32(end_id).tobytes()
         # the vocabulary's own merges without its normalizer and pre-tokenizer, for runs of letters put one to a line
         self.letters = str.maketrans(byte_letters())
@@ -107,41 +108,41 @@ class Encoder:
         return [data[a:b] for a, b in zip(starts, stops, strict=True)]
 
     def _learn(self, parts: list) -> None:
-        known, plain, split = self.known, [], []
-        text_of = (lambda p: p.decode()) if parts and isinstance(parts[0], bytes) else (lambda p: p)
-        for p in parts:
-            found = _LETTERS_SIGNS(text_of(p))
-            split.append((p, found[1], found[2])) if found else plain.append(p)
-        key = (lambda t: t.encode()) if parts and isinstance(parts[0], bytes) else (lambda t: t)
-        runs = list({r for _, r, _ in split if key(r) not in known})
-        for at in range(0, len(runs), 2000):
-            known.update(zip(map(key, runs[at : at + 2000]), self._runs(runs[at : at + 2000]), strict=True))
-        plain += [key(s) for s in {s for _, _, s in split if s} if key(s) not in known]
-        known.update(zip(plain, self._encode([text_of(p) for p in plain]), strict=True))
-        for p, run, signs in split:
-            if signs:
-                known[p] = known[key(run)] + known[key(signs)]
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Encode parts not met before: a run of letters and the signs after it apart, all others whole."""
+        texts = [p.decode() for p in parts] if isinstance(parts[0], bytes) else parts
+        cut = [found.groups() if found else None for found in map(_LETTERS_SIGNS, texts)]
+        runs = list({c[0] for c in cut if c})
+        ids = dict(zip(runs, self._runs(runs), strict=True)) if runs else {}
+        signs = {c[1] for c in cut if c}.difference(self.signs)
+        plain = [t for t, c in zip(texts, cut, strict=True) if not c]
+        others = dict(zip(plain, self._encode(plain), strict=True))
+        if len(self.signs) > LONGEST_PART * 1000:
+            self.signs, signs = {"": b""}, {c[1] for c in cut if c and c[1]}
+        self.signs.update(zip(signs, self._encode(list(signs)), strict=True))
+        of = self.signs
+        self.known.update({p: ids[c[0]] + of[c[1]] if c else others[t] for p, t, c in zip(parts, texts, cut, strict=True)})
+
+    def ids(self, texts: list[str | None], together: int = 16) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        for text in texts:
-            parts = self.parts(text) if text else []
-            if parts is None:
-                joined = self._encode([text])[0]
-            else:
-                known = self.known
-                fresh = set(parts).difference(known)
-                if len(known) + len(fresh) > MOST_PARTS:
-                    self.older, self.known = known, {}
-                    known, fresh = self.known, set(parts)
-                if fresh:
-                    older = self.older
-                    known.update({p: older[p] for p in fresh if p in older})
-                    self._learn([p for p in fresh if p not in older])
-                joined = b"".join(map(known.__getitem__, parts))
-                for p in [p for p in fresh if len(p) > LONGEST_PART]:
-                    del known[p]
-            out.append(np.frombuffer(joined + self.end, dtype=np.uint32))
+        for at in range(0, len(texts), together):
+            some = texts[at : at + together]
+            cut = [self.parts(t) if t else [] for t in some]
+            met = set().union(*[c for c in cut if c])
+            known = self.known
+            fresh = met.difference(known)
+            if len(known) + len(fresh) > MOST_PARTS:
+                self.older, self.known = known, {}
+                known, fresh = self.known, met
+            if fresh:
+                older = self.older
+                known.update({p: older[p] for p in fresh if p in older})
+                if unknown := [p for p in fresh if p not in known]:
+                    self._learn(unknown)
+            for text, parts in zip(some, cut, strict=True):
+                joined = self._encode([text])[0] if parts is None else b"".join(map(known.__getitem__, parts))
+                out.append(np.frombuffer(joined + self.end, dtype=np.uint32))
+            for p in [p for p in fresh if len(p) > LONGEST_PART]:
+                del known[p]
         return out
 
 
