@@ -136,32 +136,39 @@ def _boxed(faces: DataFrame, radius: float, size: float) -> DataFrame:
     return cells.select("fid", *[n + d for n in "abc" for d in "xyz"], "_c.*")
 
 
-def near_triangles(points: DataFrame, faces: DataFrame, radius: float) -> DataFrame:
+def _mean_edge(faces: DataFrame) -> float:
+    return faces.agg(F.avg(F.sqrt(V.mag2(V.sub(V.vec("b"), V.vec("a"))))).alias("edge")).first().edge or 1.0
+
+
+def near_triangles(points: DataFrame, faces: DataFrame, radius: float, cell: float | None = None) -> DataFrame:
     """(vid, fid, d2, qx, qy, qz): faces within ``radius`` of each point, by d2 < radius**2 + slack.
 
-    A point lies in one cell and a face stands once in each of its cells, so no pair is met twice.
+    A point lies in one cell and a face stands once in each of its cells, so no pair is met twice; pairs whose boxes
+    are apart are dropped before the exact distance. ``cell`` is a third of the mean edge unless given.
     """
-    size = max(radius, 1e-12)
+    size = max(radius, cell if cell is not None else _mean_edge(faces) / 3, 1e-12)
     p = points.select("vid", *[F.col(d).alias("p" + d) for d in "xyz"], *[_cell(F.col(d), size).alias("g" + d) for d in "xyz"])
     met = p.join(_boxed(faces, radius + 1e-9, size), ["gx", "gy", "gz"]).drop("gx", "gy", "gz")
+    for d in "xyz":
+        corners = [F.col(n + d) for n in "abc"]
+        met = met.where((F.col("p" + d) >= F.least(*corners) - (radius + 1e-9)) & (F.col("p" + d) <= F.greatest(*corners) + (radius + 1e-9)))
     return distances(met, radius * radius + SLACK)
 
 
 def nearest_triangles(points: DataFrame, faces: DataFrame, radius: float | None = None, farthest: float = math.inf) -> DataFrame:
     """(vid, fid, d2, qx, qy, qz): for each point every face within the slack of the least squared distance.
 
-    Points with no face within the radius are tried again with twice the radius, until the box of all is covered or
-    ``farthest`` is reached; beyond that they have no row.
+    Points with no face within the radius, at first a sixteenth of the mean edge, are tried again with three times the
+    radius, until the box of all is covered or ``farthest`` is reached; beyond that they have no row.
     """
-    if radius is None:
-        row = faces.agg(F.avg(F.sqrt(V.mag2(V.sub(V.vec("b"), V.vec("a"))))).alias("edge")).first()
-        radius = max((row.edge or 1.0) / 2, 1e-9)
+    edge = _mean_edge(faces)
+    radius = radius if radius is not None else max(edge / 16, 1e-9)
     corners = faces.select(F.explode(F.array(*[F.struct(*[F.col(n + d).alias(d) for d in "xyz"]) for n in "abc"])).alias("s")).select("s.*")
     _, extent = _extent(points.select("x", "y", "z").unionByName(corners))
     left, done = points.select("vid", "x", "y", "z"), None
     while True:
         radius = min(radius, farthest)
-        near = near_triangles(left, faces, radius)
+        near = near_triangles(left, faces, radius, edge / 3)
         best = cut(near.withColumn("_least", F.min("d2").over(Window.partitionBy("vid"))).where(F.col("d2") <= F.col("_least") + SLACK).drop("_least"))
         done = best if done is None else done.unionByName(best)
         if radius > extent * math.sqrt(3) + 1e-9 or radius >= farthest:
@@ -169,7 +176,7 @@ def nearest_triangles(points: DataFrame, faces: DataFrame, radius: float | None
         left = cut(left.join(best.select("vid").distinct(), "vid", "left_anti"))
         if left.isEmpty():
             return done
-        radius *= 2
+        radius *= 3
 
 
 def neighbour_weights(pairs: DataFrame, mode: str, t: float | None = None, normalise: bool = True) -> DataFrame:

@@ -16,14 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _with(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def uniform(key: Column, stream: int = 0) -> Column:
     """A replayable uniform number in [0, 1) from an integer key below 1e14; the same in any SQL engine."""
-    k = (key * 8 + stream).cast("long")
-    h = (k * 48271 + 11) % PRIME
-    h = (h * h + 12345) % PRIME
-    h = (h * 16807 + 7) % PRIME
-    h = (h * h + k) % PRIME
-    return h / float(PRIME)
+    last = lambda k: lambda h: _with((h * 16807 + 7) % PRIME, lambda m: (m * m + k) % PRIME / float(PRIME))
+    return _with((key * 8 + stream).cast("long"), lambda k: _with((k * 48271 + 11) % PRIME, lambda h: _with((h * h + 12345) % PRIME, last(k))))
 
 
 def uniform_sql(key: str, stream: int = 0) -> str:
