@@ -199,12 +199,14 @@ def one_ring(triangles: DataFrame) -> DataFrame:
 def boundary_loops(triangles: DataFrame) -> DataFrame:
     """(loop, pos, vid): the boundary edges walked against their faces; a loop is named by its least vertex.
 
+    Where several boundary edges leave a vertex, the one to the least id is followed.
+
     Loops are found by pointer doubling: after k steps every vertex knows the one 2**k further on and the least on the
     way, so the number of joins grows with the logarithm of the longest loop.
     """
     h = half_edges(triangles)
     other = h.select(F.col("j").alias("i"), F.col("i").alias("j"))
-    step = cut(h.join(other, ["i", "j"], "left_anti").select(F.col("j").alias("vid"), F.col("i").alias("next")))
+    step = cut(h.join(other, ["i", "j"], "left_anti").groupBy(F.col("j").alias("vid")).agg(F.min("i").alias("next")))
     n = step.count()
     now = step.select("vid", "next", F.least("vid", "next").alias("loop"))
     for _ in range(max(1, math.ceil(math.log2(n + 1)))):

@@ -197,21 +197,19 @@ def permutation_limits_rank(obs: DataFrame, m0: int, kmax: int, permutations: in
 
 
 def joint_limits(stats: np.ndarray, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
-    """(lo, hi) of statistics (permutations, stats) at the least depth whose joint coverage is at most 1 - alpha, less one.
+    """(lo, hi) of statistics (permutations, stats) at the greatest common depth whose joint coverage exceeds 1 - alpha.
 
-    The depth of a permutation is its least distance from either end over all statistics, in ranks; a common cut at
-    depth d keeps exactly those deeper than d, so its quantile replaces shrinking the cut step by step.
+    The depth of a permutation is its least distance from either end over all statistics, in ranks; limits at depth d
+    hold exactly those of depth d or more, so counting depths replaces shrinking the limits step by step.
     """
     n = len(stats)
     ranks = _ranks(stats)
-    depth = np.minimum(ranks, n + 1 - ranks).min(axis=1)
+    depth = np.sort(np.minimum(ranks, n + 1 - ranks).min(axis=1))
     cut = 1
-    kept = np.sort(depth)
-    while cut < n // 2 and (n - np.searchsorted(kept, cut, side="right")) / n > 1 - alpha:
+    while cut < n // 2 and (n - np.searchsorted(depth, cut + 1)) / n > 1 - alpha:
         cut += 1
-    cut = max(1, cut - 1)
     ordered = np.sort(stats, axis=0)
-    return ordered[cut - 1], ordered[n - cut]
+    return ordered[cut - 1] - 1e-12, ordered[n - cut] + 1e-12
 
 
 def permutation_limits_joint(obs: DataFrame, m0: int, kmax: int, permutations: int = 500, alpha: float = ALPHA, lam: float = LAMBDA, longest: int = WINDOW, most_draws: int = 50, seed: int = 1) -> DataFrame:
