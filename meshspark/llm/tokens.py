@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Parts kept in a worker's newer store before it becomes the older one, whose parts go unless they are met again.
-MOST_PARTS = 450_000
+MOST_PARTS = 500_000
 #: Parts longer than this are not kept.
 LONGEST_PART = 64
 #: White space other than the space and \n, and the mark used for cutting.
