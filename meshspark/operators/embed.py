@@ -414,3 +414,66 @@ def mips(triangles: DataFrame, faces: DataFrame, start: DataFrame, steps: int =
         return pd.DataFrame({"vid": index.ids, "u": x[:n], "v": x[n:]})
 
     return gathered({"t": triangles.select("fid", "v1", "v2", "v3"), "p": faces.select("fid", *[k + d for k in "abc" for d in "xyz"]), "s": start}, f, UV)
+
+
+def one_ring_optimal_weights(triangles: DataFrame, vertices: DataFrame, plane: bool = False, regular: float = 1e-2) -> DataFrame:
+    """(i, j, w): optimal weights over the one-ring in space, or with ``plane`` over its flattened ring of inner vertices."""
+    if not plane:
+        return optimal_weights(mesh.uniform_neighbours(triangles).select("i", "j"), vertices, regular)
+
+    def f(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows[["u", "v"]].to_numpy()
+        gram = x @ x.T
+        gram += np.eye(len(gram)) * regular * max(np.trace(gram), 1e-300)
+        w = np.linalg.solve(gram, np.ones(len(gram)))
+        return pd.DataFrame({"i": rows["vid"], "j": rows["nbr"], "w": w / w.sum()})
+
+    return one_ring_map(triangles, vertices).groupBy("vid").applyInPandas(f, "i long, j long, w double")
+
+
+def neighbour_normals(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """(vid, nx, ny, nz): the direction of least spread of a point's neighbours, its largest part positive."""
+
+    def f(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows[["bx", "by", "bz"]].to_numpy()
+        n = np.linalg.svd(x - x.mean(axis=0))[2][2]
+        n = n * (1.0 if n[np.abs(n).argmax()] >= 0 else -1.0)
+        return pd.DataFrame({"vid": [rows["i"].iloc[0]], "nx": [n[0]], "ny": [n[1]], "nz": [n[2]]})
+
+    return local_rows(pairs, points).groupBy("i").applyInPandas(f, "vid long, nx double, ny double, nz double")
+
+
+def local_mean_curvature(pairs: DataFrame, points: DataFrame, normals: DataFrame) -> DataFrame:
+    """(vid, h): mean curvature of the quadric height field a x^2 / 2 + b x y + c y^2 / 2 that fits a point's neighbours in
+    its tangent frame by least squares."""
+    rows = local_rows(pairs, points).join(normals.withColumnRenamed("vid", "i"), "i")
+
+    def f(group: pd.DataFrame) -> pd.DataFrame:
+        n = group[["nx", "ny", "nz"]].iloc[0].to_numpy()
+        side = np.cross(n, np.eye(3)[np.argmin(np.abs(n))])
+        side /= np.linalg.norm(side)
+        q = (group[["bx", "by", "bz"]].to_numpy() - group[["ax", "ay", "az"]].to_numpy()) @ np.stack([side, np.cross(n, side), n]).T
+        fit = np.linalg.lstsq(np.column_stack([q[:, 0] ** 2 / 2, q[:, 0] * q[:, 1], q[:, 1] ** 2 / 2]), q[:, 2], rcond=None)[0]
+        return pd.DataFrame({"vid": [group["i"].iloc[0]], "h": [(fit[0] + fit[2]) / 2]})
+
+    return rows.groupBy("i").applyInPandas(f, "vid long, h double")
+
+
+def turning_number(loops: DataFrame, uv: DataFrame) -> DataFrame:
+    """(loop, turns): how often the tangent of each closed plane loop turns round."""
+    at = loops.join(uv, "vid")
+    order = Window.partitionBy("loop").orderBy("pos")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edge = at.select("loop", "pos", *[(F.coalesce(F.lead(d).over(order), F.first(d).over(whole)) - F.col(d)).alias("e" + d) for d in "uv"])
+    ahead = edge.select("loop", "eu", "ev", *[F.coalesce(F.lead("e" + d).over(order), F.first("e" + d).over(whole)).alias("f" + d) for d in "uv"])
+    turn = F.atan2(F.col("eu") * F.col("fv") - F.col("ev") * F.col("fu"), F.col("eu") * F.col("fu") + F.col("ev") * F.col("fv"))
+    return ahead.groupBy("loop").agg(V.turning(F.sum(turn)).alias("turns"))
+
+
+def conformal_energy(faces: DataFrame, triangles: DataFrame, uv: DataFrame) -> DataFrame:
+    """(dirichlet, area, conformal): half the quadratic form of the cotangents, the plane area, and their difference."""
+    k = fem.stiffness(faces)
+    total = [fem.quadratic_form(k, uv.select("vid", F.col(d).alias("u"))).select((F.col("value") / 2).alias(d)) for d in "uv"]
+    at = _rim(triangles).join(uv.select(F.col("vid").alias("i"), F.col("u").alias("a"), F.col("v").alias("b")), "i").join(uv.select(F.col("vid").alias("j"), F.col("u").alias("c"), F.col("v").alias("d")), "j")
+    area = at.agg((F.sum(F.col("a") * F.col("d") - F.col("b") * F.col("c")) / 2).alias("area"))
+    return total[0].join(total[1]).join(area).select((F.col("u") + F.col("v")).alias("dirichlet"), "area", (F.col("u") + F.col("v") - F.col("area")).alias("conformal"))

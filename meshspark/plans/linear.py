@@ -368,3 +368,42 @@ sql_table("loop_len", "SELECT pos, vid, sqrt(pow(coalesce(bx, f.x)-l.x,2)+pow(co
 def embed_boundary_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, triangles, _ = _faces(spark, sf_dir)
     return _r(embed.embed_boundary(mesh.boundary_loops(triangles), p), "u", "v", places=6)
+
+
+@query("SELECT 0::BIGINT AS loop, round(sum(atan2(eu*fv-ev*fu, eu*fu+ev*fv))/(2*pi())) AS turns FROM (SELECT eu, ev, coalesce(lead(eu) OVER (ORDER BY pos), first_value(eu) OVER (ORDER BY pos)) AS fu, coalesce(lead(ev) OVER (ORDER BY pos), first_value(ev) OVER (ORDER BY pos)) AS fv FROM (SELECT pos, coalesce(lead(u) OVER (ORDER BY pos), first_value(u) OVER (ORDER BY pos)) - u AS eu, coalesce(lead(v) OVER (ORDER BY pos), first_value(v) OVER (ORDER BY pos)) - v AS ev FROM rim_walk w JOIN uv ON uv.vid = w.vid))", "rim_walk", "uv")
+def turning_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, _ = _faces(spark, sf_dir)
+    uv = p.select("vid", (F.col("vid") % WIDTH).cast("double").alias("u"), F.floor(F.col("vid") / WIDTH).cast("double").alias("v"))
+    return embed.turning_number(mesh.boundary_loops(triangles), uv)
+
+
+@query("SELECT round(e, 3) AS dirichlet, round(a, 6) AS area, round(e - a, 3) AS conformal FROM (SELECT sum((p.u*q.u + p.v*q.v)*w)/2 AS e FROM stiff s JOIN uv p ON p.vid = s.i JOIN uv q ON q.vid = s.j), (SELECT count(*) * 0.5 AS a FROM tris)", "stiff", "uv", "tris")
+def conformal_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, faces = _faces(spark, sf_dir)
+    uv = p.select("vid", (F.col("vid") % WIDTH).cast("double").alias("u"), F.floor(F.col("vid") / WIDTH).cast("double").alias("v"))
+    e = embed.conformal_energy(faces, triangles, uv)
+    return e.select(F.round("dirichlet", 3).alias("dirichlet"), F.round("area", 6).alias("area"), F.round("conformal", 3).alias("conformal"))
+
+
+@query()
+def onering_weights_optimal3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, _ = _faces(spark, sf_dir)
+    return embed.one_ring_optimal_weights(triangles, p)
+
+
+@query()
+def onering_weights_optimal2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, _ = _faces(spark, sf_dir)
+    return embed.one_ring_optimal_weights(triangles, p, plane=True)
+
+
+@query()
+def vertex_normals_nbrsvd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, pairs = _neighbours(spark, sf_dir)
+    return embed.neighbour_normals(pairs, p)
+
+
+@query()
+def mean_curv_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, faces = _faces(spark, sf_dir)
+    return embed.local_mean_curvature(mesh.uniform_neighbours(triangles), p, mesh.vertex_normals(faces))

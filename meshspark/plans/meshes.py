@@ -236,3 +236,16 @@ def align_to_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = unit.select("*", *[c.alias("s" + a) for c, a in zip(V.tangent_frame(V.vec("u"))[0], "xyz", strict=True)])
     turned = V.matvec(V.align(V.vec("u"), V.lit(1.0, 0.0, 0.0), V.vec("s")), p)
     return unit.select("vid", *[(F.round(c, 6) + 0.0).alias(a) for c, a in zip(turned, "xyz", strict=True)])
+
+
+@query("SELECT vid, round((x+z)/2 - sqrt((1 - d/4)/d)*(x-y), 6) AS u1, round((y+x)/2 + sqrt((1 - d/4)/d)*(z-x), 6) AS v1 FROM (SELECT *, (z-x)*(z-x)+(x-y)*(x-y) AS d FROM pts)", "pts")
+def circle_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (F.col("x"), F.col("y")), (F.col("z"), F.col("x"))
+    centre = V.circle_centres(a, b, F.lit(1.0))[0]
+    return _round(points(spark, sf_dir).select("vid", centre[0].alias("u1"), centre[1].alias("v1")))
+
+
+@query("SELECT vid, round(-b - sqrt(b*b - c), 6) AS t1, round(-b + sqrt(b*b - c), 6) AS t2 FROM (SELECT vid, x*0.6 + y*0.8 AS b, x*x + y*y - 1 AS c FROM pts)", "pts")
+def line_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t1, t2 = V.line_circle((F.col("x"), F.col("y")), V.lit(0.6, 0.8), V.lit(0.0, 0.0), F.lit(1.0))
+    return _round(points(spark, sf_dir).select("vid", t1.alias("t1"), t2.alias("t2")))

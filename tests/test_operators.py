@@ -316,3 +316,17 @@ def test_gathered_tables_keep_empty_ones(spark):
     none = spark.createDataFrame([], "i long, w double")
     out = linalg.gathered({"a": none}, lambda a: pd.DataFrame({"n": [len(a)]}), "n long")
     assert out.collect() == [(0,)]
+
+
+def test_normals_and_curvature_of_a_sphere(spark):
+    vertices, triangles = plane(spark, 9, lambda a, b: math.sqrt(4 - (a - 0.5) ** 2 - (b - 0.5) ** 2))
+    centred = vertices.select("vid", (F.col("x") - 0.5).alias("x"), (F.col("y") - 0.5).alias("y"), "z")
+    pairs = mesh.uniform_neighbours(triangles)
+    true = centred.select("vid", *[(F.col(d) / 2).alias("n" + d) for d in "xyz"])
+    h = table(embed.local_mean_curvature(pairs, centred, true), "vid", "h")
+    inner = [9 * r + c for r in range(1, 8) for c in range(1, 8)]
+    assert all(h[v][0] == pytest.approx(-0.5, rel=0.02) for v in inner)
+    got, want = table(embed.neighbour_normals(pairs, centred), "vid", "nx", "ny", "nz"), table(true, "vid", "nx", "ny", "nz")
+    assert all(abs(np.dot(got[v], want[v])) > 0.99 for v in inner)
+    weights = embed.one_ring_optimal_weights(triangles, centred, plane=True).groupBy("i").agg(F.sum("w").alias("s"))
+    assert all(r.s == pytest.approx(1.0) for r in weights.collect())
