@@ -38,7 +38,18 @@ def store(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)  # zstd keeps native buffers beyond the heap for each column
     _stored.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that ``store`` returned; call only when it and what reads it are done with."""
+    spark, path = df.sparkSession, df._stored_at
+    if path in _stored:
+        _stored.remove(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -118,6 +118,33 @@ def test_exchange_finds_planted_classes_and_never_gets_worse():
     assert last == pytest.approx(likelihood(kind))
 
 
+def test_rare_words_are_exchanged_by_their_own_counts(spark, monkeypatch):
+    """Words that share ending and length, none of them frequent, are told apart by the words they stand by."""
+    rng = random.Random(7)
+    kinds = [[f"{k}{j:03}zz" for j in range(1200)] for k in "ab"]
+    rows = [(k, " ".join(w for _ in range(15) for w in ("the", rng.choice(kinds[0]), "of", rng.choice(kinds[1]))), "x") for k in range(700)]
+    monkeypatch.setattr(brown_lm, "BLOCK", 4000)
+    got = [r for r in brown_lm.score(spark.createDataFrame(rows, DOCS).repartition(3)).collect() if r.held_out]
+    rare, tokens = 30 * len(got), sum(r.n_tokens for r in got)
+    # one of 1,200 words, not of 2,400, and smoothing; by ending and length alone it is 12.5 bits a rare word
+    spent = -sum(r.score for r in got) / np.log10(2)
+    assert len(got) > 40 and tokens == 61 * len(got) and spent < rare * (np.log2(1200) + 1.7)
+
+
+def test_exchange_by_neighbours_brings_a_word_to_its_class():
+    rng = np.random.default_rng(4)
+    kind = np.arange(40) % 4
+    bigrams = rng.poisson(np.where((kind[:, None] + 1) % 4 == kind[None, :], 6.0, 0.3)).astype(int)
+    for u in range(40):
+        for start in range(4):
+            place = np.where(np.arange(40) == u, start, kind)
+            table = np.zeros((4, 4))
+            np.add.at(table, (place[:, None], place[None, :]), bigrams)
+            n = np.concatenate([np.bincount(place, bigrams[:, u], 4), np.bincount(place, bigrams[u], 4)]).astype(int)
+            used = np.flatnonzero(n)
+            assert brown_lm.Exchange(table).best(np.array([0]), used, n[used], place[u : u + 1], np.array([u]))[0] == kind[u]
+
+
 def vectors():
     rng = np.random.default_rng(5)
     x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 16))).astype(np.float32)
