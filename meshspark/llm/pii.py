@@ -1,12 +1,13 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms that reveal them.
 
-The base finds e-mail addresses, IP addresses, card numbers and phone numbers. Each is a protected entity. A term near
-mentions of an entity reveals it in so far as seeing the term makes the entity likely: with document frequencies over the
-whole corpus, PMI(entity; term) = log2(p(entity, term) / (p(entity) p(term))) bits of the entity's IC = -log2 p(entity)
-are disclosed. A term that discloses at least DISCLOSED of the entity in at least SUPPORT different contexts becomes a
-span of kind ``term`` wherever it stands near a mention of that entity, and is removed or generalised with the others.
-
-Contexts that share their least word hash count as one, so copies of a text are no evidence.
+The base finds e-mail addresses, IP addresses, card numbers and phone numbers. Each is a protected entity. A term in the
+texts that hold an entity reveals it in so far as seeing the term makes the entity likely: with frequencies over the
+corpus's different texts, PMI(entity; term) = log2(p(entity, term) / (p(entity) p(term))) bits of the entity's
+IC = -log2 p(entity) are disclosed. A term that discloses at least DISCLOSED of the entity, and whose texts with the entity
+chance would not bring (CHANCE, over all pairs looked at), becomes a span of kind ``term`` wherever it stands in a text
+that holds that entity, and is removed or generalised with the others.
+
+Texts of one hash count once everywhere, so copies of a text are no evidence.
 """
 
 from __future__ import annotations
@@ -25,10 +26,9 @@ from .common import store
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words on either side of a mention, and the characters within which they are looked for.
-CONTEXT_WORDS, CONTEXT_CHARS = 6, 200
-SUPPORT = 5
 DISCLOSED = 0.8
+#: Bound of the probability that any term that is independent of its entity is taken.
+CHANCE = 0.01
 #: Bits of the filter through which words pass to be counted; the exact join comes after.
 FILTER_BITS = 1 << 22
 
@@ -86,83 +86,98 @@ def term_of(word: str) -> str:
     return word.translate(_LOWER).strip(_EDGES)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, list[tuple[str, int, int]]]]:
-    """Per mention (entity, signature, terms with their places): the words around it that lie outside all spans."""
-    taken = [(a, b) for _, a, b in spans]
-    out = []
-    for kind, start, end in spans:
-        low, high = max(0, start - CONTEXT_CHARS), min(len(text), end + CONTEXT_CHARS)
-        left = [m.span() for m in _WORD.finditer(text, low, start) if m.start() > low or low == 0][-CONTEXT_WORDS:]
-        right = [m.span() for m in _WORD.finditer(text, end, high) if m.end() < high or high == len(text)][:CONTEXT_WORDS]
-        terms = []
-        for a, b in left + right:
-            word = text[a:b]
-            if (term := term_of(word)) and not any(a < y and x < b for x, y in taken):
-                skip = len(word) - len(word.translate(_LOWER).lstrip(_EDGES))
-                terms.append((term, a + skip, a + skip + len(term)))
-        signature = min((xxhash.xxh64_intdigest(t.encode()) >> 1 for t, _, _ in terms), default=0)
-        entity = text[start:end].translate(_LOWER) if kind in ("email", "ip") else _NO_DIGIT.sub("", text[start:end])
-        out.append((f"{kind} {entity}", signature, terms))
+def entity_of(kind: str, text: str) -> str:
+    return f"{kind} {text.translate(_LOWER) if kind in ('email', 'ip') else _NO_DIGIT.sub('', text)}"
+
+
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all words of a text that lie outside all spans."""
+    out, at, end = [], 0, 0
+    taken = sorted((a, b) for _, a, b in spans)
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while at < len(taken) and taken[at][0] < b:
+            end = max(end, taken[at][1])
+            at += 1
+        word = m[0]
+        if end <= a and (term := term_of(word)):
+            skip = len(word) - len(word.translate(_LOWER).lstrip(_EDGES))
+            out.append((term, a + skip, a + skip + len(term)))
     return out
 
 
+def text_key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode()) >> 1
+
+
 SPAN = "struct<kind:string,start:long,end:long>"
-FOUND = f"doc_id long, task long, at long, spans array<{SPAN}>, mentions array<struct<entity:string,signature:long,terms:array<struct<term:string,start:long,end:long>>>>"
+FOUND = f"doc_id long, task long, at long, copy long, spans array<{SPAN}>, entities array<string>, terms array<struct<term:string,start:long,end:long>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, task, text, other columns) -> FOUND and the other columns."""
+    """(doc_id, task, text, other columns) -> FOUND and the other columns; terms only of texts that hold an entity."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     term = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-    mention = pa.struct([("entity", pa.string()), ("signature", pa.int64()), ("terms", pa.list_(term))])
     at = 0
-    for batch in batches:
-        spans, mentions = [], []
-        for text in batch.column(2):
-            text = text.as_py() or ""
-            own = base_spans(text)
-            spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in own])
-            mentions.append([{"entity": e, "signature": g, "terms": [dict(zip(("term", "start", "end"), t, strict=True)) for t in terms]} for e, g, terms in contexts(text, own)])
-        own_columns = [batch.column(0), batch.column(1), pa.array(range(at, at + len(spans)), pa.int64()), pa.array(spans, pa.list_(span)), pa.array(mentions, pa.list_(mention))]
-        yield pa.RecordBatch.from_arrays([*own_columns, *batch.columns[3:]], names=["doc_id", "task", "at", "spans", "mentions", *batch.schema.names[3:]])
-        at += batch.num_rows
+    for whole in batches:
+        for low in range(0, whole.num_rows, 500):
+            batch = whole.slice(low, 500)
+            copies, spans, entities, terms = [], [], [], []
+            for text in batch.column(2):
+                text = text.as_py() or ""
+                own = base_spans(text)
+                copies.append(text_key(text))
+                spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in own])
+                entities.append(sorted({entity_of(k, text[a:b]) for k, a, b in own}))
+                terms.append([dict(zip(("term", "start", "end"), t, strict=True)) for t in terms_of(text, own)] if own else [])
+            found = [pa.array(range(at, at + len(spans)), pa.int64()), pa.array(copies, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(term))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found, *batch.columns[3:]], names=["doc_id", "task", "at", "copy", "spans", "entities", "terms", *batch.schema.names[3:]])
+            at += batch.num_rows
 
 
 def _slot(term: str) -> int:
     return xxhash.xxh64_intdigest(term.encode()) % FILTER_BITS
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df): in how many texts each of ``terms`` occurs.
+def _bits(slots: DataFrame) -> bytes:
+    """The bit filter of (slot)."""
+    word = slots.groupBy(F.floor(F.col("slot") / 32).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 AS int))")).alias("word"))
+    whole = np.zeros(FILTER_BITS // 32, dtype="<u4")
+    for row in word.collect():  # at most FILTER_BITS / 32 rows
+        whole[row["at"]] = row["word"]
+    return whole.tobytes()
+
+
+def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text", copied: DataFrame | None = None) -> DataFrame:
+    """(term, df): in how many different texts each of ``terms`` occurs; ``copied`` (copy, rows) has the repeated ones.
 
-    Words reach the shuffle only through a bit filter of fixed size made from the terms, counted per task.
+    Words reach the shuffle only through a bit filter of fixed size made from the terms, counted per task. A text of n
+    rows counts 1/n in each; every task holds the repeated texts' keys and rows, 16 bytes each.
     """
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([_slot(t) for t in batch.column(0).to_pylist()], pa.int64())], names=["slot"])
 
-    word = terms.mapInArrow(slots, "slot long").groupBy(F.floor(F.col("slot") / 32).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 AS int))")).alias("word"))
-    whole = np.zeros(FILTER_BITS // 32, dtype="<u4")
-    for row in word.collect():  # at most FILTER_BITS / 32 rows
-        whole[row["at"]] = row["word"]
-    bits = whole.view(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(_bits(terms.mapInArrow(slots, "slot long")))
+    twice = copied.select("copy", "rows").toPandas().sort_values("copy") if copied is not None else None
+    repeated = context.broadcast((twice["copy"].to_numpy(np.int64), twice["rows"].to_numpy(np.int64)) if twice is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits, (keys, rows) = shared.value, repeated.value
         known: dict[str, str] = {}  # words seen -> their term, or empty if it cannot be asked for
         counts: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], names=["term", "n"])
             counts.clear()
             return out
 
         for batch in batches:
             for text in batch.column(0):
-                found = set()
-                for word in set(_WORD.findall(text.as_py() or "")):
+                found, text = set(), text.as_py() or ""
+                for word in set(_WORD.findall(text)):
                     term = known.get(word)
                     if term is None:
                         term = term_of(word)
@@ -171,39 +186,54 @@ def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -
                         known[word] = term
                     if term:
                         found.add(term)
-                counts.update(found)
+                if found:
+                    key = text_key(text)
+                    at = int(np.searchsorted(keys, key))
+                    share = 1 / int(rows[at]) if at < len(keys) and keys[at] == key else 1
+                    for term in found:
+                        counts[term] += share
                 if len(known) > 60_000:
                     known.clear()
                 if len(counts) > 50_000:
                     yield flush()
         yield flush()
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("df"))
     return terms.join(counted, "term")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(pairs (entity, term) that disclose too much, all mentions' terms (task, at, entity, term, start, end))."""
-    near = found.select("task", "at", F.explode("mentions").alias("m")).select("task", "at", "m.entity", "m.signature", F.explode("m.terms").alias("t")).select("task", "at", "entity", "signature", "t.term", "t.start", "t.end")
-    # in two steps, so that a very common entity is counted in many tasks
-    apart = near.groupBy("entity", "term", "signature").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
-    apart = store(apart, "support")
-    terms = apart.select("term").distinct()
-    n_docs = max(1, found.count())
-    rows = near.join(apart.select("entity", "term"), ["entity", "term"])
-    both = rows.groupBy("entity", "term", "task", "at").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("both"))
-    entities = found.select("task", "at", F.explode(F.array_distinct(F.transform("mentions", lambda m: m.entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_df"))
-    joined = both.join(entities, "entity").join(document_counts(docs, terms, text_col), "term")
-    pmi = F.log2(F.col("both") * float(n_docs) / (F.col("entity_df") * F.col("df")))
-    ic = F.log2(float(n_docs) / F.col("entity_df"))
-    return joined.where((ic > 0) & (pmi >= DISCLOSED * ic)).select("entity", "term"), near
+def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+    """The pairs (entity, term) that disclose too much."""
+    seen = store(found.groupBy("copy").agg(F.count("*").alias("rows")), "copies")
+    n_docs = float(max(1, seen.count()))
+    # a term in one text alone may stand there by chance, whatever it is
+    holding = found.where(F.size("entities") > 0).select("copy", "entities", F.array_distinct(F.transform("terms", lambda t: t.term)).alias("terms")).dropDuplicates(["copy"])
+    holding = store(holding, "holding")
+    each = holding.select("copy", F.explode("entities").alias("entity"))
+    entities = store(each.groupBy("entity").agg(F.count("*").alias("entity_df")).where("entity_df > 1"), "entities")
+    of = each.join(entities, "entity").groupBy("copy").agg(F.collect_list("entity").alias("recurring"))
+    both = holding.join(of, "copy").select(F.explode("recurring").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
+    both = store(both, "both")
+    bound = float(np.log(CHANCE / max(1, both.count())))
+    xlogx = lambda x: x * F.log(F.greatest(x, F.lit(1)))
+    e, b = F.col("entity_df"), F.col("both")
+    ways = xlogx(e) - xlogx(b) - xlogx(e - b)  # at least the logarithm of the ways to choose the texts
+    apart = both.where("both > 1").join(entities, "entity").where(ways + b * F.log(b / n_docs) <= bound)  # df is at least both
+    apart = store(apart, "apart")
+    counts = document_counts(docs, apart.select("term").distinct(), text_col, seen.where("rows > 1"))
+    pmi, ic = F.log2(b * n_docs / (e * F.col("df"))), F.log2(n_docs / e)
+    met = apart.join(counts, "term").where((ic > 0) & (pmi >= DISCLOSED * ic) & (ways + b * F.log(F.col("df") / n_docs) <= bound))
+    return met.select("entity", "term")
 
 
 def term_spans(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """(task, at, terms): the spans that the method adds, in order; only rows that have some."""
-    pairs, near = disclosing(docs, found, text_col)
-    hits = near.join(pairs, ["entity", "term"]).select("task", "at", F.struct(F.lit(TERM).alias("kind"), "start", "end").alias("s"))
-    return hits.groupBy("task", "at").agg(F.array_sort(F.collect_set("s")).alias("terms"))
+    pairs = store(disclosing(docs, found, text_col), "pairs")
+    holding = found.where(F.size("entities") > 0)
+    asked = holding.select("task", "at", F.explode("entities").alias("entity")).join(pairs, "entity").groupBy("task", "at").agg(F.collect_set("term").alias("asked"))
+    hits = F.filter("terms", lambda t: F.array_contains("asked", t.term))
+    spans = F.array_sort(F.transform(hits, lambda t: F.struct(F.lit(TERM).alias("kind"), t.start.alias("start"), t.end.alias("end"))))
+    return holding.select("task", "at", "terms").join(asked, ["task", "at"]).select("task", "at", spans.alias("terms"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,7 +246,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = store(rows.mapInArrow(_find, FOUND), "found")
     terms = store(term_spans(docs, found, text_col), "terms")
     empty = F.array().cast(f"array<{SPAN}>")
-    return found.drop("mentions").join(terms, ["task", "at"], "left").select("doc_id", F.concat("spans", F.coalesce("terms", empty)).alias("spans"))
+    return found.select("doc_id", "task", "at", "spans").join(terms, ["task", "at"], "left").select("doc_id", F.concat("spans", F.coalesce("terms", empty)).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:

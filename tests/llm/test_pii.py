@@ -86,3 +86,16 @@ def test_counts_pass_the_filter_exactly(spark):
     frame = spark.createDataFrame([(k, f"alpha {'beta' if k % 3 else 'Beta,'} beta w{k}", "") for k in range(50)], DOCS)
     terms = spark.createDataFrame([("beta",), ("w7",), ("absent",)], "term string")
     assert {r.term: r.df for r in pii.document_counts(frame, terms).collect()} == {"beta": 50, "w7": 1}
+
+
+def test_terms_far_from_the_entity_and_few_texts(spark):
+    """A name 20 words and more from an address that three texts hold, all with a shared word that has the least hash."""
+    rng = random.Random(6)
+    filler = lambda n: [f"v{rng.randrange(40_000)}" for _ in range(n)]
+    rows = [(k, " ".join(["contact", *filler(40)]), "s") for k in range(1500)]
+    rows += [(2000 + k, " ".join(["contact", "Quillfeather", *filler(20), "eve@x.example.net", *filler(20), "(quillfeather)"]), "s") for k in range(3)]
+    rows += [(3000 + k, rows[0][1] + " onlycopies ann@x.example.net", "s") for k in range(50)]
+    frame = spark.createDataFrame(rows, DOCS).repartition(4)
+    more = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == pii.TERM] for r in pii.find(frame).collect()}
+    of = {r[0]: r[1] for r in rows}
+    assert {k: [of[k][a:b] for a, b in v] for k, v in more.items() if v} == {2000 + k: ["Quillfeather", "quillfeather"] for k in range(3)}
