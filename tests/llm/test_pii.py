@@ -99,3 +99,10 @@ def test_terms_far_from_the_entity_and_few_texts(spark):
     more = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == pii.TERM] for r in pii.find(frame).collect()}
     of = {r[0]: r[1] for r in rows}
     assert {k: [of[k][a:b] for a, b in v] for k, v in more.items() if v} == {2000 + k: ["Quillfeather", "quillfeather"] for k in range(3)}
+
+
+def test_copies_count_once(spark):
+    frame = spark.createDataFrame([(k, "alpha same" if k < 30 else f"alpha other{k}", "") for k in range(40)], DOCS)
+    terms = spark.createDataFrame([("alpha",), ("same",)], "term string")
+    copied = spark.createDataFrame([(pii.text_key("alpha same"), 30)], "copy long, rows long")
+    assert {r.term: r.df for r in pii.document_counts(frame, terms, copied=copied).collect()} == {"alpha": 11, "same": 1}
