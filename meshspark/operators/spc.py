@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LAMBDA, ALPHA, WINDOW = 0.01, 0.005, 10
+#: Accepted permutations of a limit, as many as the reference draws.
+PERMUTATIONS = 25_000
 KEYS = ["sim_id", "feature_id"]
 
 
@@ -145,7 +147,7 @@ def _rank_statistic(window: np.ndarray, n: int, lam: float, use_mean: bool) -> n
     return score.mean(axis=1) if use_mean else score.max(axis=1)
 
 
-def permutation_limits_rank(obs: DataFrame, m0: int, kmax: int, permutations: int = 1000, alpha: float = ALPHA, lam: float = LAMBDA, longest: int = WINDOW, use_mean: bool = False, most_draws: int = 50, seed: int = 1) -> DataFrame:
+def permutation_limits_rank(obs: DataFrame, m0: int, kmax: int, permutations: int = PERMUTATIONS, alpha: float = ALPHA, lam: float = LAMBDA, longest: int = WINDOW, use_mean: bool = False, most_draws: int = 50, seed: int = 1) -> DataFrame:
     """(sim_id, t, stat, t_stat, lo, hi, acceptance): the rank chart with its conditional permutation limits.
 
     At each time permutations of all parts so far are drawn; those that would have alarmed at an earlier time whose window
@@ -212,7 +214,7 @@ def joint_limits(stats: np.ndarray, alpha: float = ALPHA) -> tuple[np.ndarray, n
     return ordered[cut - 1] - 1e-12, ordered[n - cut] + 1e-12
 
 
-def permutation_limits_joint(obs: DataFrame, m0: int, kmax: int, permutations: int = 500, alpha: float = ALPHA, lam: float = LAMBDA, longest: int = WINDOW, most_draws: int = 50, seed: int = 1) -> DataFrame:
+def permutation_limits_joint(obs: DataFrame, m0: int, kmax: int, permutations: int = PERMUTATIONS, alpha: float = ALPHA, lam: float = LAMBDA, longest: int = WINDOW, most_draws: int = 50, seed: int = 1) -> DataFrame:
     """(sim_id, t, stat, t_stat, lo, hi, acceptance): the moment chart's eight statistics with joint two-sided limits.
 
     As for the rank chart, permutations that would have left the limits at an earlier overlapping time are refused.

@@ -1,5 +1,6 @@
 """Invariants of operators that SQL does not express, on meshes with known answers."""
 
+import inspect
 import math
 
 import numpy as np
@@ -330,3 +331,13 @@ def test_normals_and_curvature_of_a_sphere(spark):
     assert all(abs(np.dot(got[v], want[v])) > 0.99 for v in inner)
     weights = embed.one_ring_optimal_weights(triangles, centred, plane=True).groupBy("i").agg(F.sum("w").alias("s"))
     assert all(r.s == pytest.approx(1.0) for r in weights.collect())
+
+
+def test_permutation_limits_draw_as_many_as_the_reference():
+    """25,000, at which the joint limits of eight statistics do more than hold the whole sample."""
+    for limits in (spc.permutation_limits_rank, spc.permutation_limits_joint):
+        assert inspect.signature(limits).parameters["permutations"].default == 25_000
+    sample = np.random.default_rng(2).normal(size=(spc.PERMUTATIONS, 8))
+    lo, hi = spc.joint_limits(sample)
+    assert (lo > sample.min(axis=0)).all() and (hi < sample.max(axis=0)).all()
+    assert ((sample >= lo) & (sample <= hi)).all(axis=1).mean() > 1 - spc.ALPHA
