@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from meshspark.llm import packing, token_output
 from meshspark.llm.tokens import Encoder, pack_ids, unpack_ids
 
-ODD = ["", "a", " a", "a ", "a  b", "a   b", "a\n\nb", "a \nb", "a\n b", "a\n\n\nb", "x  ", "x\n\n", "\tq", "a\xa0b", "it's we'll", "don't 've", "é ñ ß", "Σίσυφος ΣΑΣ", "<|endoftext|>x", "x" * 3000, None, "1 2.3,4", "a\x00b", "日本 語", "e\u0301 x", "A\x1cB c", "\u3000x y", "THE,!! of%%% ##"]
+ODD = ["", "a", " a", "a ", "a  b", "a   b", "a\n\nb", "a \nb", "a\n b", "a\n\n\nb", "x  ", "x\n\n", "\tq", "a\xa0b", "it's we'll", "don't 've", "é ñ ß", "Σίσυφος ΣΑΣ", "<|endoftext|>x", "x" * 3000, None, "1 2.3,4", "a\x00b", "日本 語", "e\u0301 x", "A\x1cB c", "\u3000x y", "THE,!! of%%% ##", "a\u2003b c", "“q” – r…", "x\n\n\n", "\n", " ", "\n a", "Ünï÷code ×Ñ", "İI\u0307", "12 345\n6"]
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,8 @@ def test_ids_are_the_tokenizers(name, texts, monkeypatch):
     plain = Tokenizer.from_file(path)
     want = [plain.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
     assert [x.tolist() for x in Encoder(path).ids(texts)] == want
-    monkeypatch.setattr("meshspark.llm.tokens.MOST_PARTS", 60)  # stores turn over all the time
+    monkeypatch.setattr("meshspark.llm.tokens.STORE_BYTES", 2000)  # stores turn over all the time
+    monkeypatch.setattr("meshspark.llm.tokens.SLICE_BYTES", 50)
     assert [x.tolist() for x in Encoder(path).ids(texts)] == want
     assert all(unpack_ids(pack_ids(np.array(w, dtype=np.uint32))).tolist() == w for w in [*want[:20], [70_000, 1]])
 
@@ -118,3 +119,32 @@ def test_rounds_hold_the_mixture(spark):
     for _, w in list(p.groupby("window"))[:-1]:
         got = w.groupby("source")["size"].sum() / w["size"].sum()
         assert (abs(got - share) < 0.1).all()
+
+
+def test_windows_hold_given_proportions(spark):
+    weights = {"s0": 0.6, "s2": 0.1}
+    sized = spark.createDataFrame([(k, k, ["s0", "s1", "s1", "s2", None][k % 5], 100 + k % 900) for k in range(4000)], "rid long, doc_id long, source string, size long")
+    packets, total = packing.rounds(sized, 2048, 16 * 2048, weights)
+    p = packets.toPandas()
+    assert p["size"].sum() == total and sorted(p["position"]) == np.cumsum([0, *p.sort_values("position")["size"]])[:-1].tolist()
+    p["source"] = p["source"].fillna("none")
+    size = p.groupby("source")["size"].sum()
+    weight = {s: weights.get(s, size[s] / total) for s in size.index}
+    p["window"] = p["position"] // (16 * 2048)
+    done = {s: 0.0 for s in size.index}
+    for _, w in p.sort_values("position").groupby("window"):
+        # credit goes to the queues that still hold packets; what a window leaves is carried on
+        room = float(w["size"].sum())
+        while room > 1e-6:
+            active = [s for s in size.index if done[s] < size[s] - 1e-6]
+            if not active:
+                break
+            whole = sum(weight[s] for s in active)
+            step = min([room, *[(size[s] - done[s]) * whole / weight[s] for s in active]])
+            for s in active:
+                done[s] += step * weight[s] / whole
+            room -= step
+        out = p[p["window"] <= w["window"].iloc[0]].groupby("source")["size"].sum()
+        assert all(abs(out.get(s, 0) - done[s]) < 2 * 2048 for s in size.index)
+    with pytest.raises(ValueError):
+        packing.rounds(sized, weights={"s0": 0.0})
