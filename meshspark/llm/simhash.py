@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from .common import store
+from .common import join_hot, quoted, store, unwrapped, wrapped
 from .components import connected_components
 
 SEED = 42
@@ -51,16 +52,20 @@ def fingerprint(words: list[bytes], shingle: int = 3) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(0).cast(pa.binary())
             marks = np.fromiter((fingerprint((t.as_py() or b"").lower().split(), shingle) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(marks.view(np.int64))], names=[*batch.schema.names[1:], "fp"])
 
     return run
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per input row; fp is the fingerprint's 64 bits as a signed long. Null texts count as empty."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keys: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, k0, k1 .., fp): one row per input row; fp is the fingerprint's 64 bits as a signed long, k0 .. are ``keys``,
+    longs. Null texts count as empty."""
+    more = [k.cast("long").alias(f"k{n}") for n, k in enumerate(keys)]
+    rows = docs.select(quoted(text_col).cast("string").alias("text"), quoted(id_col).cast("long").alias("doc_id"), *more)
+    schema = ", ".join(f"{c} long" for c in [*rows.columns[1:], "fp"])
+    return rows.mapInArrow(_fingerprints(shingle), schema)
 
 
 def _segment(fp: Column, k: int) -> Column:
@@ -101,6 +106,12 @@ def hamming_links(fps: DataFrame, bucket: int = PAIR_BUCKET) -> DataFrame:
     return pairs.union(hubs).distinct()
 
 
+def groups(fps: DataFrame) -> DataFrame:
+    """Distinct ``fp`` with other columns -> those and root, a fingerprint that names the component."""
+    comps = connected_components(hamming_links(fps.select("fp")))
+    return fps.join(comps.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row.
 
@@ -109,21 +120,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id and joins its component without naming it (null only if no member has an id). An empty table gives none.
     """
     marks = store(simhash(docs, id_col, text_col, shingle), "simhash")
-    fps = store(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    comps = connected_components(hamming_links(fps.select("fp")))
-    linked = comps.join(fps, comps.node == fps.fp).select("fp", "root", "least")
-    roots = linked.groupBy("root").agg(F.min("least").alias("component"))
-    named = linked.join(roots, "root").select("fp", "component")
-    final = fps.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return marks.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = store(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fps")
+    rooted = groups(fps)
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    final = store(rooted.select("fp", "root", "n").join(named, "root").select("fp", "n", "component_id"), "named")
+    total = marks.count()
+    return join_hot(marks, final, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _without_maps(kind: DataType) -> bool:
+    return "map<" not in kind.simpleString() and "variant" not in kind.simpleString()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row of the smallest id, all columns unchanged.
+    """The rows of ``docs`` that stay, all columns unchanged: one of each component, of the smallest id, null last.
 
-    Repeated rows of that id collapse to one. Rows without an id cannot be named and always stay.
+    Rows are told apart by two hashes of their columns (map columns aside), never by their id alone, so repeated ids with
+    different texts are documents of their own. Of several rows with the smallest id that of the smallest hash stays; rows
+    equal throughout are one document.
     """
-    marks = near_duplicates(docs, id_col, text_col)
-    stay = marks.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_near_id")).distinct()
-    kept = docs.join(stay, docs[id_col].cast("long") == stay._near_id).dropDuplicates([id_col]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    fields = [F.col("doc").getField(f.name) for f in docs.schema.fields if _without_maps(f.dataType)]
+    keys = (F.xxhash64(*fields), F.xxhash64(F.lit("second"), *fields))
+    rows = wrapped(docs, F.col("doc").getField(id_col).alias("id"), F.col("doc").getField(text_col).alias("text"), *[k.alias(f"h{n}") for n, k in enumerate(keys)])
+    marks = store(simhash(rows, "id", "text", keys=(F.col("h0"), F.col("h1"))), "simhash")
+    # a component's rows are added up by fingerprint first, so no task gets all copies of a text
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("k0").alias("k0"), F.col("k1").alias("k1"))
+    fps = store(marks.groupBy("fp").agg(F.min(order).alias("best")), "fps")
+    best = store(groups(fps).groupBy("root").agg(F.min("best").alias("best")).select("best.k0", "best.k1"), "best")
+    repeated = marks.groupBy("k0", "k1").agg(F.count("*").alias("n")).where("n > 1").select("k0", "k1", F.lit(True).alias("repeated"))
+    stay = store(best.join(repeated, ["k0", "k1"], "left").select(F.col("k0").alias("s0"), F.col("k1").alias("s1"), F.col("repeated").isNotNull().alias("repeated")), "stay")
+    kept = rows.join(stay, (F.col("h0") == F.col("s0")) & (F.col("h1") == F.col("s1")))
+    if not stay.where("repeated").isEmpty():
+        one = kept.where("repeated").dropDuplicates(["h0", "h1"])
+        kept = kept.where("not repeated").unionByName(one)
+    return unwrapped(kept, docs.columns)

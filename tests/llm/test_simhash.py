@@ -71,4 +71,28 @@ def test_empty_nulls_and_kept_rows(spark):
     rows = [(3, "a b c d", "p"), (2, "a b c d", "q"), (2, "a b c d", "q"), (None, "a b c d", "r"), (9, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
     assert {(r.doc_id, r.component_id) for r in S.near_duplicates(docs).collect()} == {(3, 2), (2, 2), (None, 2), (9, 9)}
-    assert sorted(S.keep_one(docs).collect(), key=str) == sorted([(2, "a b c d", "q"), (9, None, None), (None, "a b c d", "r")], key=str)
+    assert sorted(S.keep_one(docs).collect(), key=str) == sorted([(2, "a b c d", "q"), (9, None, None)], key=str)
+
+
+def test_keep_one_goes_by_row(spark):
+    a, b = "one text of its own with several words in it", "another text that stands in two rows of this table"
+    schema = "doc_id long, text string, `a.b` string, _near_id long, fp string, doc string, k0 int, root int, m map<string,int>"
+    extra = ("x", 1, "y", "z", 3, 4, {"k": 1})
+    frame = spark.createDataFrame([(5, a, *extra), (5, b, *extra), (3, b, *extra)], schema)
+    got = S.keep_one(frame)
+    assert got.columns == frame.columns and sorted((r.doc_id, r.text) for r in got.collect()) == [(3, b), (5, a)]
+    # without ids one of each group stays too; rows equal throughout are one document
+    frame = spark.createDataFrame([(None, a), (None, a), (None, b), (7, b), (7, b), (None, None), (8, ""), (9, "  ")], "doc_id long, text string").repartition(3)
+    assert sorted(map(str, map(tuple, S.keep_one(frame).collect()))) == sorted(map(str, [(None, a), (7, b), (8, "")]))
+
+
+def test_a_hot_fingerprint_is_joined_whole(spark, monkeypatch):
+    from meshspark.llm import common
+
+    rows = [(k, "the same text again and again" if k % 3 else f"text number {k} of many {k * k} others {k + 7}") for k in range(6000)]
+    got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == 6000 and {r.component_id for r in got if r.doc_id % 3} == {1}
+    left = spark.createDataFrame([(k % 3, k) for k in range(9000)], "key long, v long")
+    right = spark.createDataFrame([(0, 3000, "a"), (1, 3000, "b")], "key long, n long, name string")
+    assert common.join_hot(left, right, "key", "n", 9000).count() == 6000
+    assert common.join_hot(left, right, "key", "n", 9000, "left").where("name is null").count() == 3000
