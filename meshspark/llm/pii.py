@@ -1,11 +1,13 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms that reveal them.
 
-The base finds e-mail addresses, IP addresses, card numbers and phone numbers. Each is a protected entity. A term in the
-texts that hold an entity reveals it in so far as seeing the term makes the entity likely: with frequencies over the
-corpus's different texts, PMI(entity; term) = log2(p(entity, term) / (p(entity) p(term))) bits of the entity's
-IC = -log2 p(entity) are disclosed. A term that discloses at least DISCLOSED of the entity, and whose texts with the entity
-chance would not bring (CHANCE, over all pairs looked at), becomes a span of kind ``term`` wherever it stands in a text
-that holds that entity, and is removed or generalised with the others.
+The base finds e-mail addresses, IP addresses, card numbers and phone numbers; the method adds machine-made secrets (runs
+of at least 16 letters, digits and ``+/_-`` in which letters and digits change at least four times). What a text holds is
+protected at three levels: the value itself, the part of it that others share (domain, network, issuer, exchange) and its
+kind. A term in the texts that hold such an entity reveals it in so far as seeing the term makes the entity likely: with
+frequencies over the corpus's different texts, PMI(entity; term) = log2(p(entity, term) / (p(entity) p(term))) bits of the
+entity's IC = -log2 p(entity) are disclosed. A term that discloses at least DISCLOSED of the entity, and whose texts with
+the entity chance would not bring (CHANCE, over all pairs looked at), becomes a span of kind ``term`` wherever it stands
+in a text that holds that entity. Sanitising generalises spans: values to their kind, terms to the class of their writing.
 
 Texts of one hash count once everywhere, so copies of a text are no evidence.
 """
@@ -13,7 +15,7 @@ Texts of one hash count once everywhere, so copies of a text are no evidence.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +23,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
-from .common import store
+from .common import join_hot, quoted, slices, split_words, store, unwrapped, wrapped
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = "term"
+SECRET, TERM = "secret", "term"
 DISCLOSED = 0.8
 #: Bound of the probability that any term that is independent of its entity is taken.
 CHANCE = 0.01
 #: Bits of the filter through which words pass to be counted; the exact join comes after.
-FILTER_BITS = 1 << 22
+FILTER_BITS = 1 << 23
+#: Terms are first counted in these parts of all texts, which bounds their frequency from below and rules most out.
+PARTS = (64, 8)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,6 +44,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NO_DIGIT = re.compile("[^0-9]+")
+_LONG = re.compile("[A-Za-z0-9+/_-]{16,}+")
+_CHANGES = re.compile("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]")
+_MIXED = re.compile("[0-9][A-Za-z]").search
+LEAST_CHANGES = 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -81,13 +90,40 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def secret_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Runs that look machine-made and lie outside all spans of the base."""
+    out = []
+    for m in _LONG.finditer(text) if _MIXED(text) else ():
+        a, b = m.span()
+        if sum(1 for _ in _CHANGES.finditer(m[0])) >= LEAST_CHANGES and not any(x < b and a < y for _, x, y in base):
+            out.append((SECRET, a, b))
+    return out
+
+
 def term_of(word: str) -> str:
     """A word as a term: A-Z lower-cased, without ASCII punctuation at its ends; empty if nothing is left."""
     return word.translate(_LOWER).strip(_EDGES)
 
 
 def entity_of(kind: str, text: str) -> str:
-    return f"{kind} {text.translate(_LOWER) if kind in ('email', 'ip') else _NO_DIGIT.sub('', text)}"
+    return f"{kind} {text.translate(_LOWER) if kind in ('email', 'ip') else text if kind == SECRET else _NO_DIGIT.sub('', text)}"
+
+
+def entities_of(kind: str, text: str) -> tuple[str, ...]:
+    """The value, the part that other values share, and the kind."""
+    whole = entity_of(kind, text)
+    value = whole[len(kind) + 1 :]
+    if kind == "email":
+        part = value[value.index("@") :]
+    elif kind == "ip":
+        part = value[: value.rindex(".") + 1]
+    elif kind == "card":
+        part = value[:6]
+    elif kind == "phone":
+        part = value[:-4]
+    else:
+        return whole, kind
+    return whole, f"{kind} part {part}", kind
 
 
 def terms_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -106,41 +142,82 @@ def terms_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, in
     return out
 
 
-def text_key(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode()) >> 1
+def text_key_of(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
 
 
 SPAN = "struct<kind:string,start:long,end:long>"
 FOUND = f"doc_id long, task long, at long, copy long, spans array<{SPAN}>, entities array<string>, terms array<struct<term:string,start:long,end:long>>"
 
 
+def _structs(offsets: list[int], **columns: pa.Array) -> pa.Array:
+    """A list of structs for each row, from flat columns and where each row's begin."""
+    flat = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, task, text, other columns) -> FOUND and the other columns; terms only of texts that hold an entity."""
-    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-    term = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     at = 0
     for whole in batches:
-        for low in range(0, whole.num_rows, 500):
-            batch = whole.slice(low, 500)
-            copies, spans, entities, terms = [], [], [], []
-            for text in batch.column(2):
-                text = text.as_py() or ""
+        for low, texts in slices(whole.column(2), 2 << 20, 2_000):
+            copies: list[int] = []
+            entities: list[list[str]] = []
+            # flat columns, for a long text has very many terms
+            span_of, term_of_, spans, starts, ends, words = [0], [0], [], array("q"), array("q"), []
+            for raw in texts:
+                raw = raw.as_py()
+                text = raw.decode()
                 own = base_spans(text)
-                copies.append(text_key(text))
-                spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in own])
-                entities.append(sorted({entity_of(k, text[a:b]) for k, a, b in own}))
-                terms.append([dict(zip(("term", "start", "end"), t, strict=True)) for t in terms_of(text, own)] if own else [])
-            found = [pa.array(range(at, at + len(spans)), pa.int64()), pa.array(copies, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(term))]
+                own += secret_spans(text, own)
+                copies.append(text_key_of(raw))
+                spans += own
+                entities.append(sorted({e for k, a, b in own for e in entities_of(k, text[a:b])}))
+                for word, a, b in terms_of(text, own) if own else ():
+                    words.append(word)
+                    starts.append(a)
+                    ends.append(b)
+                span_of.append(len(spans))
+                term_of_.append(len(words))
+            batch = whole.slice(low, len(copies))
+            kinds, firsts, lasts = zip(*spans, strict=True) if spans else ((), (), ())
+            found = [
+                pa.array(np.arange(at, at + len(copies)), pa.int64()), pa.array(copies, pa.int64()),
+                _structs(span_of, kind=pa.array(kinds, pa.string()), start=pa.array(firsts, pa.int64()), end=pa.array(lasts, pa.int64())),
+                pa.array(entities, pa.list_(pa.string())),
+                _structs(term_of_, term=pa.array(words, pa.string()), start=pa.array(np.frombuffer(starts, dtype=np.int64)), end=pa.array(np.frombuffer(ends, dtype=np.int64))),
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found, *batch.columns[3:]], names=["doc_id", "task", "at", "copy", "spans", "entities", "terms", *batch.schema.names[3:]])
             at += batch.num_rows
 
 
-def _slot(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.encode()) % FILTER_BITS
+def hash_of(data: bytes) -> int:
+    """As Spark's xxhash64 has it."""
+    return (xxhash.xxh64_intdigest(data, 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def _slots(*keys: np.ndarray) -> np.ndarray:
+    """The filter's slot of 64-bit keys, mixed one after the other."""
+    mixed = np.zeros((), dtype=np.uint64)
+    for key in keys:
+        mixed = (mixed ^ key.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = mixed ^ (mixed >> np.uint64(32))
+    return (mixed % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def _bits(slots: DataFrame) -> bytes:
-    """The bit filter of (slot)."""
+def _passes(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _filter(keys: DataFrame) -> bytes:
+    """The bit filter of rows of long keys, of a fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = _slots(*[batch.column(k).to_numpy() for k in range(batch.num_columns)]) if batch.num_rows else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slots)], names=["slot"])
+
+    slots = keys.mapInArrow(run, "slot long")
     word = slots.groupBy(F.floor(F.col("slot") / 32).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 AS int))")).alias("word"))
     whole = np.zeros(FILTER_BITS // 32, dtype="<u4")
     for row in word.collect():  # at most FILTER_BITS / 32 rows
@@ -148,101 +225,141 @@ def _bits(slots: DataFrame) -> bytes:
     return whole.tobytes()
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text", copied: DataFrame | None = None) -> DataFrame:
-    """(term, df): in how many different texts each of ``terms`` occurs; ``copied`` (copy, rows) has the repeated ones.
+def _term_hashes(words: pa.Array) -> np.ndarray:
+    """The hash of each word's term; 0 where nothing is left of it."""
+    edges = _EDGES.encode()
+    out = np.zeros(len(words), dtype=np.int64)
+    for k, word in enumerate(words.to_pylist()):
+        if term := word.lower().strip(edges):
+            out[k] = hash_of(term)
+    return out
 
-    Words reach the shuffle only through a bit filter of fixed size made from the terms, counted per task. A text of n
-    rows counts 1/n in each; every task holds the repeated texts' keys and rows, 16 bytes each.
-    """
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_slot(t) for t in batch.column(0).to_pylist()], pa.int64())], names=["slot"])
+COUNTED = "copy long, t long, n long, terms array<long>"
+
+
+def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text", copied: DataFrame | None = None) -> DataFrame:
+    """(t, df): in how many different texts each term of hash ``t`` occurs; ``copied`` (copy) has the keys of repeated texts.
 
+    Words reach the shuffle only through a bit filter of fixed size made from the terms, counted per task. A second such
+    filter holds the repeated texts' keys: what passes it gives one row with its terms, and such rows of one key count once.
+    """
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(_bits(terms.mapInArrow(slots, "slot long")))
-    twice = copied.select("copy", "rows").toPandas().sort_values("copy") if copied is not None else None
-    repeated = context.broadcast((twice["copy"].to_numpy(np.int64), twice["rows"].to_numpy(np.int64)) if twice is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    shared = context.broadcast((_filter(terms.select("t")), _filter(copied.select("copy")) if copied is not None else bytes(FILTER_BITS // 8)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, (keys, rows) = shared.value, repeated.value
-        known: dict[str, str] = {}  # words seen -> their term, or empty if it cannot be asked for
-        counts: Counter = Counter()
+        asked, twice = (np.frombuffer(x, dtype=np.uint8) for x in shared.value)
+        once: list[np.ndarray] = []
+        kept: dict[int, list[int]] = {}  # the terms of texts that may be repeated
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], names=["term", "n"])
-            counts.clear()
-            return out
-
+            t, n = np.unique(np.concatenate(once) if once else np.zeros(0, dtype=np.int64), return_counts=True)
+            m = len(kept)
+            none = [None] * m
+            columns = [[None] * len(t) + list(kept), [*t.tolist(), *none], [*n.tolist(), *none], [None] * len(t) + list(kept.values())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            once.clear(), kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["copy", "t", "n", "terms"])
+
+        size = 0
         for batch in batches:
-            for text in batch.column(0):
-                found, text = set(), text.as_py() or ""
-                for word in set(_WORD.findall(text)):
-                    term = known.get(word)
-                    if term is None:
-                        term = term_of(word)
-                        slot = _slot(term)
-                        term = term if bits[slot >> 3] >> (slot & 7) & 1 else ""
-                        known[word] = term
-                    if term:
-                        found.add(term)
-                if found:
-                    key = text_key(text)
-                    at = int(np.searchsorted(keys, key))
-                    share = 1 / int(rows[at]) if at < len(keys) and keys[at] == key else 1
-                    for term in found:
-                        counts[term] += share
-                if len(known) > 60_000:
-                    known.clear()
-                if len(counts) > 50_000:
+            for _, texts in slices(batch.column(0)):
+                words, per_text = split_words(texts)
+                coded = words.dictionary_encode()
+                terms = _term_hashes(coded.dictionary)
+                hit = _passes(asked, _slots(terms)) & (terms != 0) if len(terms) else np.zeros(0, dtype=bool)
+                place = coded.indices.to_numpy(zero_copy_only=False)
+                use = np.flatnonzero(hit[place]) if len(terms) else place[:0]
+                if not len(use):
+                    continue
+                text = np.repeat(np.arange(len(per_text)), per_text)[use]
+                distinct, term = np.unique(terms[place[use]], return_inverse=True)
+                pair = np.unique(text * len(distinct) + term)
+                text, term = pair // len(distinct), distinct[pair % len(distinct)]
+                some, starts = np.unique(text, return_index=True)
+                keys = np.array([text_key_of(texts[int(k)].as_py()) for k in some], dtype=np.int64)
+                again = _passes(twice, _slots(keys))
+                once.append(term[~np.repeat(again, np.diff(np.append(starts, len(term))))])
+                for k in np.flatnonzero(again):
+                    kept[int(keys[k])] = term[starts[k] : starts[k + 1] if k + 1 < len(starts) else len(term)].tolist()
+                size += len(term)
+                if size > 1_000_000 or len(kept) > 1_000:
                     yield flush()
+                    size = 0
         yield flush()
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("df"))
-    return terms.join(counted, "term")
+    counted = store(docs.select(quoted(text_col).cast("string")).mapInArrow(run, COUNTED), "counted")
+    again = counted.where("copy is not null").dropDuplicates(["copy"]).select(F.explode("terms").alias("t"), F.lit(1).cast("long").alias("n"))
+    sums = counted.where("copy is null").select("t", "n").unionByName(again).groupBy("t").agg(F.sum("n").alias("df"))
+    return terms.join(sums, "t")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """The pairs (entity, term) that disclose too much."""
+    """(e, t): the hashes of the pairs of an entity and a term that discloses too much of it."""
     seen = store(found.groupBy("copy").agg(F.count("*").alias("rows")), "copies")
     n_docs = float(max(1, seen.count()))
-    # a term in one text alone may stand there by chance, whatever it is
-    holding = found.where(F.size("entities") > 0).select("copy", "entities", F.array_distinct(F.transform("terms", lambda t: t.term)).alias("terms")).dropDuplicates(["copy"])
+    hashes = lambda column: F.array_distinct(F.transform(column, lambda x: F.xxhash64(x)))
+    holding = found.where(F.size("entities") > 0).select("copy", hashes("entities").alias("entities"), hashes(F.transform("terms", lambda t: t.term)).alias("terms")).dropDuplicates(["copy"])
     holding = store(holding, "holding")
-    each = holding.select("copy", F.explode("entities").alias("entity"))
-    entities = store(each.groupBy("entity").agg(F.count("*").alias("entity_df")).where("entity_df > 1"), "entities")
-    of = each.join(entities, "entity").groupBy("copy").agg(F.collect_list("entity").alias("recurring"))
-    both = holding.join(of, "copy").select(F.explode("recurring").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
-    both = store(both, "both")
+    # an entity or a term in one text alone tells nothing: whatever stands there may do so by chance
+    each = holding.select("copy", F.explode("entities").alias("e"))
+    entities = store(each.groupBy("e").agg(F.count("*").alias("entity_df")).where("entity_df > 1"), "entities")
+    of = join_hot(each, entities, "e", "entity_df", each.count()).groupBy("copy").agg(F.collect_list("e").alias("recurring"))
+    pairs = holding.join(of, "copy").select(F.explode("recurring").alias("e"), "terms").select("e", F.explode("terms").alias("t"))
+    both = store(pairs.groupBy("e", "t").agg(F.count("*").alias("both")), "both")
     bound = float(np.log(CHANCE / max(1, both.count())))
     xlogx = lambda x: x * F.log(F.greatest(x, F.lit(1)))
     e, b = F.col("entity_df"), F.col("both")
     ways = xlogx(e) - xlogx(b) - xlogx(e - b)  # at least the logarithm of the ways to choose the texts
-    apart = both.where("both > 1").join(entities, "entity").where(ways + b * F.log(b / n_docs) <= bound)  # df is at least both
-    apart = store(apart, "apart")
-    counts = document_counts(docs, apart.select("term").distinct(), text_col, seen.where("rows > 1"))
     pmi, ic = F.log2(b * n_docs / (e * F.col("df"))), F.log2(n_docs / e)
-    met = apart.join(counts, "term").where((ic > 0) & (pmi >= DISCLOSED * ic) & (ways + b * F.log(F.col("df") / n_docs) <= bound))
-    return met.select("entity", "term")
+    enough = (ic > 0) & (pmi >= DISCLOSED * ic) & (ways + b * F.log(F.col("df") / n_docs) <= bound)
+    # a term is in as many texts at least as in those that hold an entity, and as in any part of all texts; what these
+    # bounds leave is few, and is counted in all texts
+    least = holding.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    more = both.where("both > 1").join(entities, "e").where(ways + b * F.log(b / n_docs) <= bound)
+    apart = store(more.join(least, "t").where(enough).drop("df"), "apart")
+    repeated = seen.where("rows > 1")
+    for part in PARTS:
+        some = docs.where(F.pmod(F.xxhash64(quoted(text_col).cast("string")), F.lit(part)) == 0)
+        fewer = document_counts(some, apart.select("t").distinct(), text_col, repeated)
+        apart = store(apart.join(fewer, "t", "left").where(F.col("df").isNull() | enough).drop("df"), "apart")
+    counts = document_counts(docs, apart.select("t").distinct(), text_col, repeated)
+    return apart.join(counts, "t").where(enough).select("e", "t")
 
 
 def term_spans(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """(task, at, terms): the spans that the method adds, in order; only rows that have some."""
     pairs = store(disclosing(docs, found, text_col), "pairs")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(pairs.select("e", "t")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, dtype=np.uint8)
+        for batch in batches:
+            rows: list[list[np.ndarray]] = [[], [], []]
+            for k, (entities, terms) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                e, t = entities.values.to_numpy(), np.unique(terms.values.to_numpy())
+                a, b = np.nonzero(_passes(bits, _slots(e[:, None], t[None, :])))
+                for column, values in zip(rows, (np.full(len(a), k), e[a], t[b]), strict=True):
+                    column.append(values)
+            at, e, t = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(e), pa.array(t)], names=["task", "at", "e", "t"])
+
     holding = found.where(F.size("entities") > 0)
-    asked = holding.select("task", "at", F.explode("entities").alias("entity")).join(pairs, "entity").groupBy("task", "at").agg(F.collect_set("term").alias("asked"))
-    hits = F.filter("terms", lambda t: F.array_contains("asked", t.term))
+    hashes = lambda column: F.transform(column, lambda x: F.xxhash64(x))
+    met = holding.select("task", "at", hashes("entities").alias("e"), hashes(F.transform("terms", lambda t: t.term)).alias("t")).mapInArrow(run, "task long, at long, e long, t long")
+    asked = met.join(pairs, ["e", "t"]).groupBy("task", "at").agg(F.collect_set("t").alias("asked"))
+    hits = F.filter("terms", lambda t: F.array_contains("asked", F.xxhash64(t.term)))
     spans = F.array_sort(F.transform(hits, lambda t: F.struct(F.lit(TERM).alias("kind"), t.start.alias("start"), t.end.alias("end"))))
     return holding.select("task", "at", "terms").join(asked, ["task", "at"]).select("task", "at", spans.alias("terms"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans): all spans of every row, base ones by kind and start, then the terms by start.
+    """(doc_id, spans): all spans of every row, base ones by kind and start, then secrets and terms by start.
 
     Null texts count as empty. Repeated rows and null ids get a row each; copies of a text are no evidence that a term
     reveals anything. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.spark_partition_id().cast("long").alias("task"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.spark_partition_id().cast("long").alias("task"), quoted(text_col).cast("string").alias("text"))
     found = store(rows.mapInArrow(_find, FOUND), "found")
     terms = store(term_spans(docs, found, text_col), "terms")
     empty = F.array().cast(f"array<{SPAN}>")
@@ -250,45 +367,52 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, counts per base kind, base_sha256 and spans as text."""
+    """doc_id, counts per base kind, base_sha256, spans as text, and the counts of secrets, terms and all spans."""
     named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
-    base = F.filter("spans", lambda s: s.kind != TERM)
-    of_kind = lambda kind: F.filter("spans", lambda s: s.kind == kind)
-    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(named(base).cast("binary"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+    base = F.filter("spans", lambda s: s.kind.isin(*KINDS))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    more = [number(SECRET), number(TERM), F.size("spans").cast("long").alias("n_spans")]
+    return found.select("doc_id", *[number(k) for k in KINDS], F.sha2(named(base).cast("binary"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"), *more)
+
+
+def class_of(kind: str, text: str) -> str:
+    """What a span is generalised to: its kind, and for a term the class of its writing."""
+    if kind != TERM:
+        return f"<{kind.upper()}>"
+    return "<NUMBER>" if any(c.isdigit() for c in text) else "<NAME>" if text[:1].isupper() else "<WORD>"
 
 
 def replace(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """The text with each span generalised to its kind; of overlapping ones the first to begin stands for all."""
+    """The text with each span generalised to its class; of overlapping ones the first to begin stands for all."""
     out, at = [], 0
     for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
         if start >= at:
-            out += [text[at:start], f"<{kind.upper()}>"]
+            out += [text[at:start], class_of(kind, text[start:end])]
         at = max(at, end)
     return "".join(out) + text[at:]
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all spans of the text generalised to <EMAIL>, <IP>, <CARD>, <PHONE> or <TERM>; null texts stay null.
+    """``docs`` with all spans of the text generalised, values to <EMAIL>, <IP>, <CARD>, <PHONE> or <SECRET>, terms to
+    <NAME>, <NUMBER> or <WORD>; null texts stay null, all other columns as they are.
 
-    A text's spans depend on the text and the corpus alone, so rows meet the added spans by two hashes of the text.
+    Rows are stored beside what is found in them, so only those that hold an entity are dealt to meet their terms.
     """
-    keys = [F.xxhash64(F.col(text_col).cast("string")), F.xxhash64(F.lit("second"), F.col(text_col).cast("string"))]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.spark_partition_id().cast("long").alias("task"), F.col(text_col).cast("string").alias("text"), keys[0].alias("key1"), keys[1].alias("key2"))
-
-    found = store(rows.mapInArrow(_find, f"{FOUND}, key1 long, key2 long"), "found")
-    terms = term_spans(docs, found, text_col)
-    added = store(found.select("task", "at", "key1", "key2").join(terms, ["task", "at"]).groupBy("key1", "key2").agg(F.first("terms").alias("_terms")).select(F.col("key1").alias("_key1"), F.col("key2").alias("_key2"), "_terms"), "added")
-    met = docs.join(added, (keys[0] == F.col("_key1")) & (keys[1] == F.col("_key2")), "left")
-    packed = met.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).cast("string").alias("text"), "_terms")
+    text = F.col("doc").getField(text_col).cast("string")
+    rows = wrapped(docs).select(F.lit(None).cast("long").alias("doc_id"), F.spark_partition_id().cast("long").alias("task"), text.alias("text"), "doc")
+    found = store(rows.mapInArrow(_find, StructType([*_parse_datatype_string(FOUND).fields, rows.schema["doc"]])), "found")
+    terms = store(term_spans(docs, found, text_col), "terms")
+    held = found.where(F.size("entities") > 0)
+    packed = held.select("task", "at", "doc", "spans").join(terms, ["task", "at"], "left").select("doc", text.alias("text"), "spans", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                texts.append(None if text is None else replace(text, base_spans(text) + [(TERM, t["start"], t["end"]) for t in terms or []]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc", "text"])
-
-    kind = packed.schema["doc"].dataType.simpleString()
-    cleaned = packed.mapInArrow(run, f"doc {kind}, text string")
-    return cleaned.select(*[F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+            for text, spans, terms in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+                every = [*spans.as_py(), *(terms.as_py() or [])]
+                texts.append(replace(text.as_py(), [(s["kind"], s["start"], s["end"]) for s in every]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=pa.schema([batch.schema.field(0), ("text", pa.string())]))
+
+    cleaned = packed.mapInArrow(run, StructType([packed.schema["doc"], StructField("text", StringType())]))
+    same = found.where(F.size("entities") == 0).select("doc", text.alias("text"))
+    return unwrapped(same.unionByName(cleaned), docs.columns, {text_col: F.col("text")})

@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from meshspark.llm import pii
 
 DOCS = "doc_id long, text string, spans string"
@@ -76,7 +79,7 @@ def test_sanitised_texts(spark):
     assert got.columns == frame.columns
     rows = {(r.doc_id, r.spans): r.text for r in got.collect()}
     assert len(rows) == 432 and rows[(9, None)] is None or rows[(9, "s")]
-    assert "<TERM>, <EMAIL>" in rows[(40, "s")] and rows[(40, "again")] == rows[(40, "s")] and "common <EMAIL>" in rows[(41, "s")]
+    assert "<NAME>, <EMAIL>" in rows[(40, "s")] and rows[(40, "again")] == rows[(40, "s")] and "common <EMAIL>" in rows[(41, "s")]
     assert rows[(1000, "s")] == "hello unique words here <EMAIL> follow these rare terms" and rows[(2, "s")] == evidence()[2][1]
     empty = spark.createDataFrame([], DOCS)
     assert pii.find(empty).collect() == [] and pii.sanitise(empty).collect() == []
@@ -85,7 +88,8 @@ def test_sanitised_texts(spark):
 def test_counts_pass_the_filter_exactly(spark):
     frame = spark.createDataFrame([(k, f"alpha {'beta' if k % 3 else 'Beta,'} beta w{k}", "") for k in range(50)], DOCS)
     terms = spark.createDataFrame([("beta",), ("w7",), ("absent",)], "term string")
-    assert {r.term: r.df for r in pii.document_counts(frame, terms).collect()} == {"beta": 50, "w7": 1}
+    hashed = terms.select("term", F.xxhash64("term").alias("t"))
+    assert {r.term: r.df for r in pii.document_counts(frame, hashed).collect()} == {"beta": 50, "w7": 1}
 
 
 def test_terms_far_from_the_entity_and_few_texts(spark):
@@ -104,5 +108,72 @@ def test_terms_far_from_the_entity_and_few_texts(spark):
 def test_copies_count_once(spark):
     frame = spark.createDataFrame([(k, "alpha same" if k < 30 else f"alpha other{k}", "") for k in range(40)], DOCS)
     terms = spark.createDataFrame([("alpha",), ("same",)], "term string")
-    copied = spark.createDataFrame([(pii.text_key("alpha same"), 30)], "copy long, rows long")
-    assert {r.term: r.df for r in pii.document_counts(frame, terms, copied=copied).collect()} == {"alpha": 11, "same": 1}
+    copied = spark.createDataFrame([(pii.text_key_of(b"alpha same"),)], "copy long")
+    hashed = terms.select("term", F.xxhash64("term").alias("t"))
+    assert {r.term: r.df for r in pii.document_counts(frame, hashed, copied=copied).collect()} == {"alpha": 11, "same": 1}
+
+
+def brute_force(rows):
+    """(entity, term) pairs that disclose too much, counted in plain Python from the definition."""
+    texts = {t for _, t in rows if t is not None}
+    n = len({*texts, *([""] if any(t is None for _, t in rows) else [])})
+    df, entity_df, both = {}, {}, {}
+    for t in texts:
+        own = pii.base_spans(t)
+        own += pii.secret_spans(t, own)
+        entities = {e for k, a, b in own for e in pii.entities_of(k, t[a:b])}
+        words = {pii.term_of(w) for w in re.findall(r"[^\x20\x09-\x0D]+", t)} - {""}
+        outside = {w for w, _, _ in pii.terms_of(t, own)}
+        for w in words:
+            df[w] = df.get(w, 0) + 1
+        for e in entities:
+            entity_df[e] = entity_df.get(e, 0) + 1
+            for w in outside:
+                both[e, w] = both.get((e, w), 0) + 1
+    many = {p: b for p, b in both.items() if entity_df[p[0]] > 1}
+    bound = math.log(pii.CHANCE / max(1, len(many)))
+    xlogx = lambda x: x * math.log(max(x, 1))
+    out = set()
+    for (e, w), b in many.items():
+        k, ic = entity_df[e], math.log2(n / entity_df[e])
+        ways = xlogx(k) - xlogx(b) - xlogx(k - b)
+        if b > 1 and ic > 0 and math.log2(b * n / (k * df[w])) >= pii.DISCLOSED * ic and ways + b * math.log(df[w] / n) <= bound:
+            out.add((e, w))
+    return out
+
+
+def test_pairs_against_brute_force_on_unplanted_text(spark):
+    """Texts drawn at random: addresses of three domains, secrets after one word that nothing else uses."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(900):
+        words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(5, 60))]
+        if k % 5 == 0:
+            words.insert(3, f"u{rng.randrange(60)}@d{rng.randrange(3)}.example.com")
+        if k % 9 == 0:
+            words[2:2] = ["token", "=", f'"{rng.getrandbits(160):040x}"']
+        rows.append((k, " ".join(words)))
+    rows += [(2000 + k, rows[k % 4][1]) for k in range(40)] + [(3000, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_force(rows)
+    assert ("secret", "token") in want
+    asked = frame.selectExpr("doc_id", "cast(spark_partition_id() as long) as task", "text")
+    found = asked.mapInArrow(pii._find, pii.FOUND).cache()
+    assert {(r.e, r.t) for r in pii.disclosing(frame, found).collect()} == {tuple(pii.hash_of(x.encode()) for x in pair) for pair in want}
+    spans = pii.find(frame).collect()
+    of = dict(rows)
+    for r in spans:
+        text = of[r.doc_id] or ""
+        own = pii.base_spans(text)
+        secrets = pii.secret_spans(text, own)
+        entities = {e for k, a, b in own + secrets for e in pii.entities_of(k, text[a:b])}
+        terms = [(pii.TERM, a, b) for w, a, b in pii.terms_of(text, own + secrets) if any((e, w) in want for e in entities)]
+        assert [tuple(x) for x in r.spans] == own + secrets + sorted(terms)
+
+
+def test_secrets_and_classes():
+    text = 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" password=b7db7aa4a5fcc78305, plain-words-and-2020 internationalisation me@mail7a8b9c0d1e2f3.example.com'
+    own = pii.base_spans(text)
+    assert [text[a:b] for _, a, b in pii.secret_spans(text, own)] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962", "b7db7aa4a5fcc78305"]
+    assert pii.replace("Ann 12b me", [(pii.TERM, 0, 3), (pii.TERM, 4, 7), (pii.TERM, 8, 10)]) == "<NAME> <NUMBER> <WORD>"
+    assert pii.entities_of("ip", "1.2.3.4") == ("ip 1.2.3.4", "ip part 1.2.3.", "ip") and pii.entities_of("email", "A@B.c")[1] == "email part @b.c"
