@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, whole_number_crc
+from .common import store, unwrapped, whole_number_crc, wrapped
 from .quality_rules import MEASURES, base_measures
 
 FEATURES = (*MEASURES, "stops_per_word", "words_per_line", "log_words")
@@ -179,14 +179,18 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score reaches the cutoff, all columns unchanged; no row leaves its partition."""
-    known = labels.select(F.col("doc_id").cast("long").alias("_label_id")).distinct()
-    model = train(store(features(docs.join(known, F.col(id_col).cast("long") == F.col("_label_id"), "left_semi"), id_col, text_col), "features"), labels)
-    measured = base_measures(docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).cast("string").alias("text"))).select("doc", *FEATURES)
+    """The rows of ``docs`` whose score reaches the cutoff, all columns unchanged; no row leaves its partition.
+
+    Features are worked out once and stored beside the rows.
+    """
+    rows = wrapped(docs, F.col("doc").getField(text_col).cast("string").alias("text"), F.col("doc").getField(id_col).cast("long").alias("doc_id"))
+    measured = store(base_measures(rows).select("doc", "doc_id", *FEATURES), "features")
+    model = train(measured.select("doc_id", *FEATURES), labels)
+    measured = measured.select("doc", *FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stay = pa.array(model.score(_matrix(batch)) >= CUTOFF)
             yield pa.RecordBatch.from_arrays([batch.column(0)], schema=pa.schema([batch.schema.field(0)])).filter(stay)
 
-    return measured.mapInArrow(run, measured.select("doc").schema).select("doc.*")
+    return unwrapped(measured.mapInArrow(run, measured.select("doc").schema), docs.columns)
