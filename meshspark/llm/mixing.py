@@ -7,10 +7,12 @@ into blocks of equal token count; the r-th slot of a source takes its block r, b
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store, words_of
+from .common import quoted, store, unwrapped, words_of, wrapped
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -26,22 +28,28 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
-def shuffled(docs: DataFrame) -> Column:
+def shuffled(*content: Column) -> Column:
     """A fixed pseudo-random order of documents within their source, the same in any SQL engine."""
-    return F.md5(F.concat(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    parts = [x for c in content for x in (F.lit(" "), F.coalesce(c.cast("string"), F.lit("")))]
+    return F.md5(F.concat(F.lit("mix"), *parts[1:]).cast("binary"))
+
 
+#: Rows of a shard aimed at, and hexadecimal digits of a shard's name at most.
+SHARD, MOST_DIGITS = 1 << 16, 6
 
-def offsets(sized: DataFrame, order: list[str], key: str = "source") -> DataFrame:
-    """``sized`` with ``start``, the sum of ``size`` before the row within its source, in order of ``order``.
 
-    The order's first column is a hexadecimal hash; its first digits make 4096 shards, so no task needs a whole source:
-    sums of shards are added up first, then rows within a shard.
+def offsets(sized: DataFrame, order: list[str], rows: int, key: str = "source") -> DataFrame:
+    """``sized``, of so many ``rows``, with ``start``, the sum of ``size`` before the row within its source, by ``order``.
+
+    The order's first column is a hexadecimal hash of the row's content; its first digits make shards, as many as the
+    rows need, so no task needs a whole source: sums of shards are added up first, then rows within a shard.
     """
-    rows = sized.withColumn("_shard", F.substring(order[0], 1, 3))
-    sums = rows.groupBy(key, "_shard").agg(F.sum("size").alias("_sum"))
+    digits = min(MOST_DIGITS, max(2, math.ceil(math.log(max(1, rows / SHARD), 16)) + 1))
+    rows_ = sized.withColumn("_shard", F.substring(order[0], 1, digits))
+    sums = rows_.groupBy(key, "_shard").agg(F.sum("size").alias("_sum"))
     before = sums.select(F.col(key).alias("_key"), F.col("_shard").alias("_at"), (F.sum("_sum").over(Window.partitionBy(key).orderBy("_shard")) - F.col("_sum")).alias("_before"))
     own = F.sum("size").over(Window.partitionBy(key, "_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    local = rows.withColumn("_own", F.coalesce(own, F.lit(0)))
+    local = rows_.withColumn("_own", F.coalesce(own, F.lit(0)))
     met = local.join(before, local[key].eqNullSafe(before._key) & (local._shard == before._at))
     return met.select(*sized.columns, (F.col("_own") + F.col("_before")).alias("start"))
 
@@ -102,20 +110,23 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def size_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(source_col).cast("string").alias("source"), quoted(text_col).cast("string").alias("text"))
+    return rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffled(F.col("doc_id"), F.col("text")).alias("_mix"))
+
 
+def plan(sized: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with source_size, target, start, k; turns (slot, k, pass, block); (k, blocks, turns) of each source).
 
-def plan(sized: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(rows with source_size, target, start, k; blocks (k, block, times)): what the schedule takes of each source's stream."""
+    ``sized`` has _mix, the shuffled order's hash. A source's turns end after MOST_REPEATS passes.
+    """
     goals = store(targets(sized), "targets")
-    rows = sized.withColumn("_mix", shuffled(sized))
-    placed = offsets(rows, ["_mix", "doc_id", "size"])
+    placed = offsets(sized, ["_mix", "doc_id", "size"], sized.count())
     right = goals.select(F.col("source").alias("_source"), "source_size", "target", "k")  # a row per source
-    placed = placed.join(right, placed.source.eqNullSafe(right._source)).drop("_source", "_mix")
+    placed = placed.join(right, placed.source.eqNullSafe(right._source)).drop("_source")
     counts = goals.select(F.col("k").alias("_k"), F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).alias("_blocks"))
     turns = schedule(goals, block).join(counts, F.col("k") == F.col("_k")).where(F.col("rank") < MOST_REPEATS * F.col("_blocks"))
-    taken = turns.groupBy("k", (F.col("rank") % F.col("_blocks")).alias("block")).agg(F.count("*").alias("times"))
-    return placed, taken
+    turns = turns.select("slot", "k", F.floor(F.col("rank") / F.col("_blocks")).cast("int").alias("pass"), (F.col("rank") % F.col("_blocks")).alias("block"), "_blocks")
+    return placed, turns, turns.groupBy("k").agg(F.first("_blocks").alias("blocks"), F.count("*").alias("turns"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
@@ -126,7 +137,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     with null ids take part like others. Documents without words are taken 0 times. An empty table gives no rows.
     """
     sized = store(size_documents(docs, id_col, text_col, source_col), "sizes")
-    placed, taken = plan(sized, block)
+    placed, turns, _ = plan(sized, block)
+    taken = turns.groupBy("k", "block").agg(F.count("*").alias("times"))
     # each document joins the blocks that hold its ends; the blocks between are summed through running totals
     running = taken_before(taken, placed, block)
     return running.select("doc_id", "size", "source_size", "target", "taken")
@@ -144,24 +156,41 @@ def taken_before(taken: DataFrame, placed: DataFrame, block: int) -> DataFrame:
     return joined.select(*placed.columns, F.coalesce("_taken", F.lit(0)).alias("taken"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word, with its own white space."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
-    """``docs`` as the mix takes them, all columns kept: a row for every time a document is taken whole, and one more with
-    its first words if it is also taken in part. A source's stream is taken from its start in every pass, so only the
-    document in which the last pass breaks off, and few at the edges of blocks, are taken in part.
+    """``docs`` in the order of the schedule, all columns kept: a row for every time a document is taken, where the slot of
+    the block that holds its first word is due, range-partitioned and sorted by that slot.
 
-    Documents that the mix does not take are left out. Rows of equal id, source and text are one document here, taken as
-    often as all of them.
+    A source gives its blocks in the order of its stream, so in each pass the blocks due are those up to some block, and
+    only the document in which a source's last pass breaks off is cut: it gives the words of its blocks that are due.
+    Documents that the mix does not take, and those without words, are left out. Rows are told apart by hashes of their
+    columns (map columns aside); rows equal throughout are each taken like the others.
     """
-    key = F.xxhash64(F.col(text_col).cast("string"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), key.alias("key"))
-    sized = store(rows, "sizes")
-    placed, taken = plan(sized, block)
-    counts = taken_before(taken, placed, block).where("taken > 0").groupBy("doc_id", "source", "key").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
-    right = counts.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), "_taken", "_size")
-    met = docs.join(right, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & docs[source_col].cast("string").eqNullSafe(F.col("_source")) & (key == F.col("_key")))
-    met = met.dropDuplicates([id_col, source_col, "_key"])
-    copies = F.transform(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")).cast("long")), lambda k: F.least(F.col("_size"), F.col("_taken") - (k - 1) * F.col("_size")))
-    spread = met.withColumn("_words", F.explode(copies))
-    cut = F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(F.array_join(F.slice(words_of(F.col(text_col)), 1, F.col("_words").cast("int")), " "))
-    columns = [cut.alias(c) if c == text_col else F.length(cut).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return spread.select(*columns)
+    fields = [F.col("doc").getField(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    own = lambda c: F.col("doc").getField(c)
+    keys = [F.xxhash64(*fields).alias("h0"), F.xxhash64(F.lit("second"), *fields).alias("h1")]
+    text = own(text_col).cast("string")
+    rows = wrapped(docs, text.alias("text"), own(id_col).cast("long").alias("doc_id"), own(source_col).cast("string").alias("source"), *keys)
+    sized = rows.select("doc_id", "source", "h0", "h1", word_count(F.col("text")).alias("size"), shuffled(F.col("doc_id"), F.col("text")).alias("_mix"))
+    sized = store(sized, "sizes")
+    placed, turns, ends = plan(sized, block)
+    ends = ends.select(F.col("k").alias("_k"), "blocks", "turns")
+    begun = placed.where("size > 0").select("h0", "h1", "k", "start", "size", F.floor(F.col("start") / block).alias("block"))
+    due = begun.join(turns.select("k", "block", "pass", "slot"), ["k", "block"]).join(ends, F.col("k") == F.col("_k"))
+    last = F.col("pass") == F.floor(F.col("turns") / F.col("blocks"))
+    words = F.when(last, F.least("size", (F.col("turns") % F.col("blocks")) * block - F.col("start"))).otherwise(F.col("size"))
+    taken = store(due.select("h0", "h1", "slot", "start", "size", words.alias("words")), "taken")
+    repeated = not sized.groupBy("h0", "h1").count().where("count > 1").isEmpty()
+    unique = rows.select("doc", "text", "h0", "h1")
+    met = (unique.dropDuplicates(["h0", "h1"]) if repeated else unique).join(taken, ["h0", "h1"])
+    cut = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(first_words(F.col("text"), F.col("words")))
+    met = met.select("doc", cut.alias("text"), "slot", "start").repartitionByRange("slot", "start").sortWithinPartitions("slot", "start")
+    replaced = {text_col: F.col("text")}
+    for f in docs.schema.fields:
+        if f.name == "n_chars" and f.name not in (id_col, source_col, text_col):
+            replaced[f.name] = F.length("text").cast(f.dataType)
+    return unwrapped(met, docs.columns, replaced)

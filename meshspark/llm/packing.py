@@ -1,16 +1,18 @@
 """Mixture-controlled packing: deficit round-robin over source queues, laid into sequences of a fixed length.
 
 Each source has a queue of packets, its documents in shuffled order, long ones cut. Every round (a window of WINDOW
-tokens) adds the source's share to its credit; a packet at the head of the queue goes out in the first round whose credit
-covers it, and what is left is carried on. With credit after k rounds = floor(k * size / rounds), that round follows
-from the packet's end in its queue alone, so every task finds it by itself and the deficits carry across windows and
-partitions. Rounds are laid end to end and cut into sequences. The last, short sequence is cut into power-of-two ones.
+tokens) adds to a source's credit its target proportion of the window, among the sources whose queues still hold packets;
+a packet at the head of the queue goes out in the first round whose credit covers it, and what is left is carried on. A
+source of weight w has credit for w * v tokens once the stream is T(v) = sum over sources of min(size, w * v) tokens long,
+so the round of a packet follows from its end in its queue and the few points where a queue runs out. Every task finds it
+by itself, and the deficits carry across windows, partitions and the ends of queues. Rounds are laid end to end and cut
+into sequences. The last, short sequence is cut into power-of-two ones.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +40,47 @@ def tail_sequences(total: int, length: int = LENGTH) -> list[tuple[int, int, int
     return out
 
 
-def rounds(sized: DataFrame, length: int = LENGTH, window: int = WINDOW) -> tuple[DataFrame, int]:
-    """(rid, doc_id, source, size) -> packets with ``round`` and ``position`` in the laid-out stream, and the stream's size."""
-    sums = store(sized.groupBy("source").agg(F.sum("size").alias("queue_size")), "queues")
-    total = sums.agg(F.sum("queue_size")).first()[0] or 0
-    n_rounds = max(1, -(-total // window))
+def _phases(queues: DataFrame) -> list[tuple[float, float, float]]:
+    """(v, T(v), weight of the queues that last beyond v) where queues run out, from 0 on; at most one for each weight
+    that was given and one for all other sources, whose queues end together."""
+    ends = queues.groupBy("v_end").agg(F.sum("weight").alias("weight")).orderBy("v_end").collect()
+    left, v, done, out = sum(r.weight for r in ends), 0.0, 0.0, []
+    for r in ends:
+        out.append((v, done, left))
+        done += (r.v_end - v) * left
+        v, left = r.v_end, left - r.weight
+    return out
+
+
+def rounds(sized: DataFrame, length: int = LENGTH, window: int = WINDOW, weights: Mapping[str | None, float] | None = None) -> tuple[DataFrame, int]:
+    """(rid, doc_id, source, size) -> packets with ``round`` and ``position`` in the laid-out stream, and the stream's size.
+
+    ``weights`` are the target proportions of sources, as parts of one; a source without weighs its part of all tokens.
+    """
+    sums = sized.groupBy("source").agg(F.sum("size").alias("queue_size"))
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    # v runs to 1 for a source that weighs its own part
+    weight = F.col("queue_size").cast("double") / float(total or 1)
+    v_end = F.lit(1.0)
+    for name, given in (weights or {}).items():
+        if not given > 0:
+            raise ValueError("weights must be above 0")
+        here = F.col("source").eqNullSafe(F.lit(name).cast("string"))
+        v_end = F.when(here, weight / float(given)).otherwise(v_end)
+        weight = F.when(here, F.lit(float(given))).otherwise(weight)
+    sums = store(sums.select("source", "queue_size", weight.alias("weight"), v_end.alias("v_end")), "queues")
+    phases = _phases(sums)
     packet = F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_tokens") - 1, F.lit(length).cast("long")))
     packets = sized.withColumnRenamed("size", "doc_tokens").select("*", packet.alias("first"))
-    packets = packets.select("*", F.least(F.lit(length).cast("long"), F.col("doc_tokens") - F.col("first")).alias("size"), shuffled(packets).alias("_mix"))
-    queued = offsets(packets, ["_mix", "doc_id", "rid", "first"])
-    right = sums.select(F.col("source").alias("_source"), "queue_size")
+    packets = packets.select("*", F.least(F.lit(length).cast("long"), F.col("doc_tokens") - F.col("first")).alias("size"), shuffled(F.col("doc_id"), F.col("rid")).alias("_mix"))
+    queued = offsets(packets, ["_mix", "doc_id", "rid", "first"], sized.count())
+    right = sums.select(F.col("source").alias("_source"), "queue_size", "v_end")
     queued = queued.join(right, queued.source.eqNullSafe(right._source))
-    wide = lambda c: c.cast("decimal(19,0)")
-    credit_due = wide(F.col("start") + F.col("size")) * F.lit(n_rounds).cast("decimal(18,0)")
-    served = queued.withColumn("round", F.ceil(credit_due / wide(F.col("queue_size"))).cast("long") - 1)
+    v = F.col("v_end") * ((F.col("start") + F.col("size")) / F.col("queue_size"))
+    credit_due = F.lit(0.0)
+    for begin, done, left in phases:
+        credit_due = F.when(v > begin, F.lit(done) + (v - F.lit(begin)) * F.lit(left)).otherwise(credit_due)
+    served = queued.withColumn("round", F.greatest(F.ceil(F.round(credit_due * float(total or 1) / window, 9)).cast("long") - 1, F.lit(0)))
     served = served.withColumn("span", F.floor(F.col("round") / SPAN)).select("rid", "doc_id", "source", "doc_tokens", "first", "size", "start", "round", "span")
     served = store(served, "served")
     spans = served.groupBy("span").agg(F.sum("size").alias("_sum"))
@@ -104,16 +133,17 @@ def _with_ids(digest: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = LENGTH, window: int = WINDOW, end_id: int = 1, digest: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = LENGTH, window: int = WINDOW, end_id: int = 1, digest: bool = False, weights: Mapping[str | None, float] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (the piece's ids; with digest their crc32).
 
     A null text counts as empty and is the end id alone; a null source is a queue of its own. Null or repeated doc_ids
     are packed row by row, each row being a document. Every id lies in one piece and no sequence needs padding: all have
-    ``length`` ids but the last few, which have powers of two. An empty table gives no rows.
+    ``length`` ids but the last few, which have powers of two. ``weights`` give sources target proportions; without, every
+    window has the proportions of the whole. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")).withColumn("rid", F.monotonically_increasing_id())
     coded = store(encode_documents(rows.select("doc_id", "source", "rid", "text"), tokenizer, end_id), "ids")
-    packets, total = rounds(coded.select("rid", "doc_id", "source", F.col("n_tokens").alias("size")), length, window)
+    packets, total = rounds(coded.select("rid", "doc_id", "source", F.col("n_tokens").alias("size")), length, window, weights)
     pieces = cut(packets, total, length)
     lists = pieces.groupBy("rid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
     kind = "long" if digest else "array<int>"
