@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Centroids come from a bounded sample, split by halves at the median so that lists are balanced. An in-memory graph over
-the centroids finds those near a vector. Every vector goes into the list of its nearest centroid, and a boundary vector
-also into those of other centroids nearly as near, unless a chosen centroid is nearer to that centroid than the vector is.
-A query visits the lists whose centroids are within a ratio of its nearest one's distance. Lists are dealt in blocks of
-bounded size on both sides, so a crowded list needs no task of its own.
+Centroids come from a sample, split by halves at the median so that lists are balanced; their number grows with the table.
+An in-memory graph over the centroids finds those near a vector. Every vector goes into the list of its nearest centroid,
+and a boundary vector also into those of other centroids nearly as near, unless a chosen centroid is nearer to that
+centroid than the vector is. A query visits the lists whose centroids are within a ratio of its nearest one's distance.
+That ratio is the least at which some queries, searched by brute force first, find the share of their neighbours that was
+asked for; a share of 1 visits all lists. Lists are dealt in blocks of bounded size on both sides, so a crowded list needs
+no task of its own.
 
 Equal vectors are merged first; each keeps its smallest ids, one more than neighbours are asked for, which is all that
 any query can need of them.
@@ -19,18 +21,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import join_hot, store
 
-#: Distinct vectors that centroids are made from at most: those of the smallest hashes of their ids.
-SAMPLE = 32_768
-#: Vectors of a list aimed at, and sample vectors a centroid needs.
-LIST, PER_CENTROID = 100, 12
-DEGREE, ENTRIES, BEAM = 20, 16, 96
+#: Vectors of a list aimed at, but at most LISTS_PER_ROOT lists for each in the root of their number.
+LIST, LISTS_PER_ROOT = 100, 4
+#: Sample vectors a centroid is made from, and least of all: those of the smallest hashes of their ids. The driver holds
+#: PER_CENTROID * LISTS_PER_ROOT times the root of the table's rows, 1.5 million vectors for a billion rows.
+PER_CENTROID, LEAST_SAMPLE = 12, 2_000
+DEGREE, ENTRIES = 20, 16
 #: A vector is replicated to centroids within this ratio of its nearest one's distance, to so many lists at most.
 CLOSURE, REPLICAS = 1.15, 6
-#: A query visits the lists within this ratio of its nearest centroid's distance, so many at most.
-RATIO, PROBES = 1.5, 80
+#: Share of the true neighbours that the distance ratio is chosen for, and queries it is chosen by.
+RECALL, CALIBRATION = 0.98, 256
 CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 4_096
+#: Distances below this count as this where they are divided by.
+TINY = 1e-6
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -71,7 +76,7 @@ class CentroidGraph:
             links[:, -1] = (np.arange(n) + 1) % n
         return cls(centroids, links, spread)
 
-    def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, distances) of the nearest found for each unit row, nearest first; -1 and inf where fewer."""
         n, rows = len(self.centroids), len(x)
         beam = min(beam, n)
@@ -116,14 +121,14 @@ class CentroidGraph:
         distances = far[:, :beam]
         return np.where(np.isfinite(distances), ids[:, :beam], -1), np.sqrt(np.maximum(distances, 0))
 
-    def lists_of(self, x: np.ndarray) -> list[np.ndarray]:
+    def lists_of(self, x: np.ndarray, closure: float = CLOSURE, replicas: int = REPLICAS) -> list[np.ndarray]:
         """The lists a vector is put into: its nearest centroid's, and at a boundary others'."""
-        ids, far = self.search(x, max(2 * REPLICAS, 24))
+        ids, far = self.search(x, max(2 * replicas, 24))
         out = []
         for near, distance in zip(ids, far, strict=True):
             chosen = [near[0]]
             for c, d in zip(near[1:], distance[1:], strict=True):
-                if c < 0 or d > CLOSURE * distance[0] or len(chosen) == REPLICAS:
+                if c < 0 or d > closure * distance[0] or len(chosen) == replicas:
                     break
                 gaps = 2 - 2 * (self.centroids[chosen] @ self.centroids[c])
                 if np.sqrt(np.maximum(gaps, 0)).min() >= 0.5 * d:
@@ -131,10 +136,18 @@ class CentroidGraph:
             out.append(np.array(chosen, dtype=np.int32))
         return out
 
-    def probes_of(self, x: np.ndarray) -> list[np.ndarray]:
-        """The lists a query visits."""
-        ids, far = self.search(x)
-        return [near[:PROBES][(distance[:PROBES] <= RATIO * distance[0] + 1e-12) & (near[:PROBES] >= 0)] for near, distance in zip(ids, far, strict=True)]
+    def probes_of(self, x: np.ndarray, ratio: float, beam: int) -> list[np.ndarray]:
+        """The lists a query visits: all within ``ratio`` of the nearest one's distance, of ``beam`` that are looked at."""
+        if np.isinf(ratio):
+            return [np.arange(len(self.centroids), dtype=np.int32)] * len(x)
+        ids, far = self.search(x, beam)
+        return [near[(distance <= ratio * max(distance[0], TINY)) & (near >= 0)] for near, distance in zip(ids, far, strict=True)]
+
+    def needed(self, x: np.ndarray, lists: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(for each neighbour's lists the least ratio of distances that visits one of them; all ratios, a row per vector)."""
+        far = np.sqrt(np.maximum(2 - 2 * (x @ self.centroids.T), 0))
+        ratios = far / np.maximum(far.min(axis=1, keepdims=True), TINY)
+        return np.array([row[one].min() for row, of in zip(ratios, lists, strict=True) for one in of]), ratios
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -142,15 +155,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
 
-def _deal(graph: CentroidGraph, probing: bool):
-    """(rep, vec) -> (list, rep, vec), a row per list."""
+def _deal(graph: CentroidGraph, lists_of):
+    """(rep, vec) -> (list, rep, vec), a row per list that ``lists_of`` gives for a batch of unit vectors."""
+    step = max(16, min(1024, (1 << 25) // len(graph.centroids)))
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                x = unit(_matrix(part.column(1)).astype(np.float64))
-                lists = graph.probes_of(x) if probing else graph.lists_of(x)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                lists = lists_of(graph, unit(_matrix(part.column(1)).astype(np.float64)))
                 rows = np.repeat(np.arange(len(lists)), [len(c) for c in lists])
                 taken = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int32()), *taken.columns], names=["list", "rep", "vec"])
@@ -158,6 +171,48 @@ def _deal(graph: CentroidGraph, probing: bool):
     return run
 
 
+def _nearest(queries: np.ndarray, reps: np.ndarray, k: int):
+    """(rep, vec) -> (query, rep, score): each task's ``k`` best for every query but its own row."""
+
+    def run(batches):
+        score, ids = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).to_numpy()
+            near = queries @ unit(_matrix(batch.column(1)).astype(np.float64)).T
+            near[reps[:, None] == own[None, :]] = -np.inf
+            both, of = np.concatenate([score, near], axis=1), np.concatenate([ids, np.broadcast_to(own, near.shape)], axis=1)
+            top = np.argpartition(-both, k - 1, axis=1)[:, :k]
+            score, ids = np.take_along_axis(both, top, axis=1), np.take_along_axis(of, top, axis=1)
+        rows, places = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([pa.array(reps[rows]), pa.array(ids[rows, places]), pa.array(score[rows, places])], names=["query", "rep", "score"])
+
+    return run
+
+
+def calibrated(graph: CentroidGraph, distinct: DataFrame, postings: DataFrame, sources: DataFrame, k: int, recall: float) -> tuple[float, int]:
+    """(distance ratio, centroids to look at) with which queries find the share ``recall`` of their neighbours.
+
+    At most CALIBRATION queries are compared with all vectors, in blocks, and only their neighbours reach the driver.
+    """
+    if recall >= 1:
+        return float("inf"), len(graph.centroids)
+    some = sources.orderBy(F.xxhash64("rep"), "rep").limit(CALIBRATION).toArrow()
+    if not some.num_rows:
+        return 1.0, 1
+    reps, x = some.column("rep").to_numpy(), unit(_matrix(some.column("vec")).astype(np.float64))
+    found = distinct.select("rep", "vec").mapInArrow(_nearest(x, reps, k), "query long, rep long, score double")
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k)
+    met = postings.select("rep", "list").join(F.broadcast(best.select("query", "rep")), "rep").groupBy("query", "rep").agg(F.collect_set("list").alias("lists"))
+    lists: dict[int, list] = {int(r): [] for r in reps}
+    for row in met.collect():
+        lists[row["query"]].append(np.array(row["lists"]))
+    least, ratios = graph.needed(x, [lists[int(r)] for r in reps])
+    ratio = float(np.quantile(least, recall, method="higher")) + 1e-9 if len(least) else 1.0
+    return ratio, min(len(graph.centroids), int(1.5 * (ratios <= ratio).sum(axis=1).max()) + 8)
+
+
 def _best(k: int):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         empty = {"query": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
@@ -192,30 +247,37 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return rows.where(F.size("vec") == (sizes.n if sizes else -1))
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, every: int = 50) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, every: int = 50, recall: float = RECALL, closure: float = CLOSURE, replicas: int = REPLICAS) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose id is divisible by ``every`` the nearest other rows found.
 
     Nearness is the cosine of the original vectors in double precision; ties go to the smaller id. Rows with a null id or
     a null, zero, non-finite or partly null vector, or one of an uncommon length, take no part. Of repeated ids with equal
-    vectors one counts. A query without other usable rows has no row; an empty table gives none.
+    vectors one counts. A query without other usable rows has no row; an empty table gives none. ``recall`` is the share of
+    true neighbours that the visited lists are chosen for; 1 visits all lists, which is exact.
     """
     rows = usable(vectors, id_col, vec_col).withColumn("h", F.xxhash64("vec"))
     ranked = rows.select("id", "vec", "h", F.dense_rank().over(Window.partitionBy("h", "vec").orderBy("id")).alias("r")).where(F.col("r") <= k + 1)
     distinct = store(ranked.groupBy("h", "vec").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("rep", F.element_at("ids", 1)), "distinct")
     n = distinct.count()
     kind = dict(distinct.dtypes)["vec"]
-    schema = f"query_id long, rank int, vec_id long, score {'double'}"
+    schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return vectors.sparkSession.createDataFrame([], schema)
-    sample = distinct.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()
-    x = unit(np.array(sample["vec"].tolist(), dtype=np.float64))
-    lists = max(1, min(n // LIST, len(x) // PER_CENTROID))
+    lists = max(1, min(n // LIST, int(LISTS_PER_ROOT * n**0.5)))
+    share = min(1.0, max(LEAST_SAMPLE, PER_CENTROID * lists) / n)
+    sample = distinct.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30))).select("rep", "vec").toArrow().sort_by("rep")
+    x = unit(_matrix(sample.column("vec")).astype(np.float64))
     graph = CentroidGraph.build(balanced_centroids(x, -(-len(x) // lists)))
-    asked = store(rows.where(F.col("id") % every == 0).select("id", "h", "vec").distinct().join(distinct.select("h", "vec", "rep"), ["h", "vec"]).select("id", "rep"), "asked")
-    sources = distinct.select("rep", "vec").join(asked.select("rep").distinct(), "rep", "left_semi")
+    # a vector that very many rows ask for is met by a broadcast, so no task has all of them
+    wanted = store(rows.where(F.col("id") % every == 0).select("id", "h", "vec").distinct(), "wanted")
+    total = wanted.count()
+    right = distinct.select("h", F.col("vec").alias("own"), "rep").join(wanted.groupBy("h").agg(F.count("*").alias("n")), "h")
+    asked = store(join_hot(wanted, right, "h", "n", total).where("vec = own").select("id", "rep"), "asked")
+    sources = store(distinct.select("rep", "vec").join(asked.select("rep").distinct(), "rep", "left_semi"), "sources")
     dealt = f"list int, rep long, vec {kind}"
-    postings = store(distinct.select("rep", "vec").mapInArrow(_deal(graph, False), dealt), "postings")
-    probes = store(sources.mapInArrow(_deal(graph, True), dealt), "probes")
+    postings = store(distinct.select("rep", "vec").mapInArrow(_deal(graph, lambda g, v: g.lists_of(v, closure, replicas)), dealt), "postings")
+    ratio, beam = calibrated(graph, distinct, postings, sources, k, recall)
+    probes = store(sources.mapInArrow(_deal(graph, lambda g, v: g.probes_of(v, ratio, beam)), dealt), "probes")
     blocks = lambda df, name, size: df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     shape = blocks(postings, "c_blocks", CANDIDATE_BLOCK).join(blocks(probes, "q_blocks", QUERY_BLOCK), "list")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
@@ -226,7 +288,11 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_best(k + 1), "query long, rep long, score double")
     found = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
     top = found.select("*", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep")).alias("r")).where(F.col("r") <= k + 1)
-    members = top.join(distinct.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
-    pairs = asked.select(F.col("id").alias("query_id"), F.col("rep").alias("query")).join(members, "query").where("vec_id <> query_id")
+    top = store(top.select("query", "rep", "score"), "top")
+    ids = distinct.select("rep", "ids").join(top.groupBy("rep").agg(F.count("*").alias("n")), "rep")
+    members = join_hot(top, ids, "rep", "n", top.count()).groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("members"))  # k + 1 at most
+    members = members.join(asked.groupBy(F.col("rep").alias("query")).agg(F.count("*").alias("n")), "query")
+    pairs = join_hot(asked.select(F.col("id").alias("query_id"), F.col("rep").alias("query")), members, "query", "n", total)
+    pairs = pairs.select("query_id", F.explode("members").alias("m")).select("query_id", "m.score", F.explode("m.ids").alias("vec_id")).where("vec_id <> query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -209,3 +209,49 @@ def test_graph_search_against_all_centroids():
     assert (np.diff(far, axis=1) >= 0).all() and all(len(set(r)) == len(r) for r in ids)
     sizes = [len(part) for part in (ann.balanced_centroids(x, 10),)]
     assert sizes == [16]
+
+
+def exact(rows, k=5, every=50):
+    """Neighbours by brute force over all rows."""
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    size = np.sqrt((x * x).sum(axis=1))
+    out = {}
+    for at in np.flatnonzero(ids % every == 0):
+        score = (x[at] * x).sum(axis=1) / (size[at] * size)
+        score[at] = -9
+        out[int(ids[at])] = [int(ids[b]) for b in np.lexsort((ids, -score))[:k]]
+    return out
+
+
+def clouds(n, dim=16, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(max(4, n // 200), dim))
+    x = centres[rng.integers(len(centres), size=n)] + 0.6 * rng.normal(size=(n, dim))
+    return [(k, v.tolist(), 0) for k, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("n", [1000, 6000, 24000])
+def test_recall_holds_as_tables_grow(spark, n):
+    rows = clouds(n)
+    want = exact(rows, every=200)
+    got: dict = {}
+    for r in ann.search(spark.createDataFrame(rows, SCHEMA).repartition(6), every=200).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & set(v)) / 5 for q, v in want.items()]) >= 0.95
+
+
+def test_all_lists_are_exact(spark):
+    rows = clouds(3000, seed=9)
+    got: dict = {}
+    for r in sorted(ann.search(spark.createDataFrame(rows, SCHEMA).repartition(5), recall=1.0).collect()):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == exact(rows)
+
+
+def test_one_vector_asked_for_by_very_many(spark):
+    rows = [(50 * k, [1.0, 2.0, 3.0], 0) for k in range(4000)] + [(50 * k + 1, [1.0, 2.0, 3.0 + k / 50], 0) for k in range(400)]
+    got = ann.search(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()
+    of: dict = {}
+    for r in sorted(got):
+        of.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(of) == 4000 and of[199950] == [0, 1, 50, 100, 150] and of[0] == [1, 50, 100, 150, 200] and of[100] == [0, 1, 50, 150, 200]
