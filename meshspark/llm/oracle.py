@@ -13,11 +13,11 @@ def quality_rules_sql() -> str:
         "upper_share": "upper / greatest(word_chars, 1)", "mean_word_chars": "word_chars / w", "short_word_share": "short / w", "distinct_word_share": "distinct_words / w",
     }
     cells = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, CASE WHEN {k} > {Q.TINY} THEN ceil(ln({k}) / ln({Q.GAMMA!r}::DOUBLE))::INT ELSE {Q.ZERO_BUCKET} END AS bucket FROM good" for k in measures)
-    slack = " ".join(f"WHEN '{k}' THEN {s}" for k, (_, s) in Q.MEASURES.items())
-    both = ", ".join(f"'{k}'" for k, (two, _) in Q.MEASURES.items() if two)
+    both = ", ".join(f"'{k}'" for k, (two, *_) in Q.MEASURES.items() if two)
     sides = ", ".join(f"max(CASE WHEN measure = '{k}' THEN high END) AS high_{k}, max(CASE WHEN measure = '{k}' THEN low END) AS low_{k}" for k in measures)
-    pick = lambda side, k: f"CASE WHEN a.rows IS NOT NULL THEN a.{side}_{k} WHEN b.rows IS NOT NULL THEN b.{side}_{k} ELSE c.{side}_{k} END"
-    inside = " AND ".join(f"m.{k} BETWEEN {pick('low', k)} AND {pick('high', k)}" for k in measures)
+    room = lambda k: f"{Q.MEASURES[k][1]} / " + ("sqrt(w)" if Q.MEASURES[k][2] == "root" else f"greatest(m.{Q.MEASURES[k][2]}, 1)")
+    inside = " AND ".join(f"m.{k} >= l.low_{k} - {room(k)} AND m.{k} <= l.high_{k} + {room(k)}" for k in measures)
+    drawn = lambda q: f"(g.rows * g.{q} + {Q.PRIOR} * ((l.rows * l.{q} + {Q.PRIOR} * a.{q}) / (l.rows + {Q.PRIOR}))) / (g.rows + {Q.PRIOR}) AS {q}"
     return rf"""
     WITH words AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
     wins AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM words WHERE len(ws) >= 8)),
@@ -34,18 +34,18 @@ def quality_rules_sql() -> str:
     sketch AS (SELECT 0 AS level, lang, source, measure, bucket, n FROM fine UNION ALL SELECT 1, lang, NULL, measure, bucket, sum(n) FROM fine GROUP BY lang, measure, bucket UNION ALL SELECT 2, NULL, NULL, measure, bucket, sum(n) FROM fine GROUP BY measure, bucket),
     ranked AS (SELECT *, CASE WHEN bucket = {Q.ZERO_BUCKET} THEN 0.0 ELSE 2 * pow({Q.GAMMA!r}::DOUBLE, bucket) / ({Q.GAMMA!r}::DOUBLE + 1) END AS value, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS rows FROM sketch),
     quart AS (SELECT level, lang, source, measure, any_value(rows) AS rows, min(CASE WHEN upto >= 0.25 * rows THEN value END) AS q1, min(CASE WHEN upto >= 0.75 * rows THEN value END) AS q3 FROM ranked GROUP BY ALL),
-    fences AS (SELECT level, lang, source, measure, rows, q3 + {Q.REACH} * greatest(q3 - q1, CASE measure {slack} END) AS high, CASE WHEN measure IN ({both}) THEN q1 - {Q.REACH} * greatest(q3 - q1, CASE measure {slack} END) ELSE '-inf'::DOUBLE END AS low FROM quart),
-    limits AS (SELECT level, lang, source, max(rows) AS rows, {sides} FROM fences GROUP BY ALL)
+    drawn AS (SELECT g.lang, g.source, g.measure, {drawn("q1")}, {drawn("q3")} FROM quart g JOIN quart l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM g.lang AND l.measure = g.measure JOIN quart a ON a.level = 2 AND a.measure = g.measure WHERE g.level = 0),
+    fences AS (SELECT lang, source, measure, q3 + {Q.REACH} * greatest(q3 - q1, {Q.LEAST}) AS high, CASE WHEN measure IN ({both}) THEN q1 - {Q.REACH} * greatest(q3 - q1, {Q.LEAST}) ELSE '-inf'::DOUBLE END AS low FROM drawn),
+    limits AS (SELECT lang, source, {sides} FROM fences GROUP BY lang, source)
     SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({inside}, false) AS kept
-    FROM measured m LEFT JOIN limits a ON a.level = 0 AND a.rows >= {Q.MIN_ROWS} AND a.lang IS NOT DISTINCT FROM m.lang AND a.source IS NOT DISTINCT FROM m.source
-    LEFT JOIN limits b ON b.level = 1 AND b.rows >= {Q.MIN_ROWS} AND b.lang IS NOT DISTINCT FROM m.lang LEFT JOIN limits c ON c.level = 2
+    FROM measured m LEFT JOIN limits l ON l.lang IS NOT DISTINCT FROM m.lang AND l.source IS NOT DISTINCT FROM m.source
     """
 
 
 def mixing_sql(block: int = mixing.BLOCK) -> str:
     weights = "[" + ", ".join(f"{w}.0::DOUBLE" for w in mixing.WEIGHTS) + "]"
     return f"""
-    WITH sized AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('mix' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+    WITH sized AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('mix' || coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')) AS place FROM documents),
     sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
     placed AS (SELECT *, {weights}[1 + k % {len(mixing.WEIGHTS)}] AS weight, ({mixing.MOST_REPEATS} * source_size)::DOUBLE AS cap FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM sizes)),
     step AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total, sum(weight) OVER () AS weights, coalesce(sum(cap) OVER o, 0) AS cap_before, coalesce(sum(weight) OVER o, 0) AS weight_before FROM placed
@@ -70,27 +70,32 @@ def url_filter_sql(rules) -> str:
     values = ", ".join(f"('{v}', '{h}', '{p}', {k})" for k, (v, h, p) in enumerate(rules))
     begin, end, top = "repeat(chr(2), %d)" % U.ORDER, "chr(3)", U.ORDER + 1
     tables, shorter = [], None
+    enough = lambda a, r: f"({a} >= (SELECT la FROM least_counts) OR {r} >= (SELECT lr FROM least_counts))"
     for n in range(1, top + 1):
         own = f"(SELECT right(gram, {n}) AS gram, sum(a) AS a, sum(r) AS r FROM grams GROUP BY 1)"
         before = f"(SELECT substring(gram, {top + 1 - n}, {n - 1}) AS context, sum(a) AS ca, sum(r) AS cr FROM grams GROUP BY 1)"
         low = f"JOIN {shorter} s ON s.gram = substring(o.gram, 2)" if shorter else ""
         pa, pr = ("s.pa", "s.pr") if shorter else (f"{1.0 / U.ALPHABET!r}::DOUBLE", f"{1.0 / U.ALPHABET!r}::DOUBLE")
-        tables.append(f"model{n} AS (SELECT o.gram, (a + {U.WEIGHT} * {pa}) / (ca + {U.WEIGHT}) AS pa, (r + {U.WEIGHT} * {pr}) / (cr + {U.WEIGHT}) AS pr FROM {own} o JOIN {before} b ON b.context = substring(o.gram, 1, {n - 1}) {low} WHERE a >= (SELECT la FROM least_counts) OR r >= (SELECT lr FROM least_counts))")
+        tables.append(f"model{n} AS (SELECT o.gram, (a + {U.WEIGHT} * {pa}) / (ca + {U.WEIGHT}) AS pa, (r + {U.WEIGHT} * {pr}) / (cr + {U.WEIGHT}) AS pr FROM {own} o JOIN {before} b ON b.context = substring(o.gram, 1, {n - 1}) {low} WHERE {enough('a', 'r')})")
+        if n > 1:
+            tables.append(f"back{n - 1} AS (SELECT context, ln((cr + {U.WEIGHT}) / (ca + {U.WEIGHT})) AS back FROM {before} WHERE {enough('ca', 'cr')})")
         shorter = f"model{n}"
     joins = " ".join(f"LEFT JOIN model{n} m{n} ON m{n}.gram = right(g.gram, {n})" for n in range(1, top + 1))
-    best = "coalesce(" + ", ".join(f"ln(m{n}.pa) - ln(m{n}.pr)" for n in range(top, 0, -1)) + ", 0.0)"
+    joins += " ".join(f" LEFT JOIN back{m} b{m} ON b{m}.context = substring(g.gram, {top - m}, {m})" for m in range(1, top))
+    longer = lambda n: "".join(f" + coalesce(b{m}.back, 0)" for m in range(max(n, 1), top))
+    best = "coalesce(" + ", ".join(f"ln(m{n}.pa) - ln(m{n}.pr){longer(n)}" for n in range(top, 0, -1)) + f", (SELECT start FROM least_counts){longer(0)})"
     return f"""
     WITH rules(verdict, host, path, place) AS (VALUES {values}),
     split AS (SELECT page_id, row_number() OVER () AS row, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)),
     parts AS (SELECT *, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM split),
     fits AS (SELECT p.row, arg_max(r.host || r.path, length(r.host || r.path) * 1000 - place) AS rule, arg_max(verdict, length(r.host || r.path) * 1000 - place) AS verdict FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY 1),
-    known AS (SELECT p.row, page_id, p.host, p.path, rule, verdict, {begin} || p.host || substring(rest, length(p.host) + 1) || {end} AS t FROM parts p LEFT JOIN fits f ON f.row = p.row),
-    places AS (SELECT row, verdict, substring(t, i::BIGINT, {top}) AS gram FROM (SELECT row, verdict, t, unnest(range(1, length(t) - {U.ORDER} + 1)) AS i FROM known)),
-    grams AS (SELECT gram, sum((verdict = 'allow')::INT) AS a, sum((verdict <> 'allow')::INT) AS r FROM places WHERE verdict IS NOT NULL GROUP BY 1),
-    least_counts AS (SELECT greatest(2.0, coalesce(sum(a), 0) / {float(U.NODES)}) AS la, greatest(2.0, coalesce(sum(r), 0) / {float(U.NODES)}) AS lr FROM grams),
+    known AS (SELECT p.row, page_id, p.host, p.path, rule, verdict, substring(md5(p.host || substring(rest, length(p.host) + 1)), 1, 1) IN ('0', '1', '2') AS held, {begin} || p.host || substring(rest, length(p.host) + 1) || {end} AS t FROM parts p LEFT JOIN fits f ON f.row = p.row),
+    places AS (SELECT row, verdict, held, substring(t, i::BIGINT, {top}) AS gram FROM (SELECT row, verdict, held, t, unnest(range(1, length(t) - {U.ORDER} + 1)) AS i FROM known)),
+    grams AS (SELECT gram, sum((verdict = 'allow')::INT) AS a, sum((verdict <> 'allow')::INT) AS r FROM places WHERE verdict IS NOT NULL AND NOT held GROUP BY 1),
+    least_counts AS (SELECT greatest(2.0, coalesce(sum(a), 0) / {float(U.NODES)}) AS la, greatest(2.0, coalesce(sum(r), 0) / {float(U.NODES)}) AS lr, ln((coalesce(sum(r), 0) + {U.WEIGHT}) / (coalesce(sum(a), 0) + {U.WEIGHT})) AS start FROM grams),
     {", ".join(tables)},
     scored AS (SELECT row, avg({best}) AS ratio FROM places g {joins} GROUP BY 1),
-    cells AS (SELECT least(greatest(floor(ratio * {U.CELLS}), {-20 * U.CELLS}), {20 * U.CELLS})::INT AS cell, sum((verdict = 'allow')::INT) AS a, sum((verdict <> 'allow')::INT) AS r FROM scored s JOIN known k ON k.row = s.row WHERE verdict IS NOT NULL GROUP BY 1),
+    cells AS (SELECT least(greatest(floor(ratio * {U.CELLS}), {-20 * U.CELLS}), {20 * U.CELLS})::INT AS cell, sum((verdict = 'allow')::INT) AS a, sum((verdict <> 'allow')::INT) AS r FROM scored s JOIN known k ON k.row = s.row WHERE verdict IS NOT NULL AND held GROUP BY 1),
     sums AS (SELECT cell, sum(a) OVER o AS lost, sum(r) OVER o AS caught, sum(a) OVER () AS na, sum(r) OVER () AS nr FROM cells WINDOW o AS (ORDER BY cell)),
     choices AS (SELECT (SELECT min(cell) FROM cells) AS cut, 1.0::DOUBLE AS cost UNION ALL SELECT cell + 1, lost / na + (nr - caught) / nr FROM sums),
     cutoff AS (SELECT CASE WHEN (SELECT coalesce(min(na), 0) = 0 OR coalesce(min(nr), 0) = 0 FROM sums) THEN 0.0 ELSE (SELECT cut FROM choices ORDER BY round(cost, 11), cut LIMIT 1) / {float(U.CELLS)} END AS c)

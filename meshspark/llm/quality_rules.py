@@ -3,6 +3,10 @@
 A sketch holds, for one measure, the number of rows in each bucket ceil(log_g(value)), so any quantile is known to a
 relative error of RELATIVE_ERROR. Sketches merge by adding counts: a row's bucket is added up map-side, the sketch of a
 language is the sum of its sources' sketches, and the result does not depend on the order of merging.
+
+A group's quartiles are drawn towards its language's, and those towards all rows', as if PRIOR rows more had been seen
+there, so groups of any size are judged alike. A row is kept if each measure lies within REACH quartile distances of the
+group's quartiles, give or take what chance alone does to a text of the row's own length.
 """
 
 from __future__ import annotations
@@ -12,27 +16,29 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store, words_of
+from .common import quoted, store, words_of
 
 RELATIVE_ERROR = 0.01
 GAMMA = (1 + RELATIVE_ERROR) / (1 - RELATIVE_ERROR)
 #: Values up to this are counted as zero.
 TINY = 1e-6
 ZERO_BUCKET = -2_000_000
-#: A group with fewer rows uses the merged sketch of its language, and one with too few there that of all rows.
-MIN_ROWS = 200
+#: Rows that a group's parent counts for when quartiles are drawn together.
+PRIOR = 100
 #: Quartile distances beyond a quartile at which a measure is out of its group's range.
 REACH = 4.0
-#: Measure: (whether its low side is judged too, least quartile distance).
+#: Least quartile distance, for groups whose quartiles are equal.
+LEAST = 0.01
+#: Measure: (whether its low side is judged too, what chance may add: this over that column, or over its root).
 MEASURES = {
-    "symbols_per_word": (False, 0.03),
-    "exclaims_per_word": (False, 0.03),
-    "dup_line_share": (False, 0.1),
-    "repeat_share": (False, 0.075),
-    "upper_share": (False, 0.02),
-    "mean_word_chars": (True, 0.3),
-    "short_word_share": (True, 0.06),
-    "distinct_word_share": (True, 0.05),
+    "symbols_per_word": (False, 4.0, "n_words"),
+    "exclaims_per_word": (False, 4.0, "n_words"),
+    "dup_line_share": (False, 2.0, "n_lines"),
+    "repeat_share": (False, 32.0, "n_words"),
+    "upper_share": (False, 6.0, "word_chars"),
+    "mean_word_chars": (True, 3.0, "root"),
+    "short_word_share": (True, 0.6, "root"),
+    "distinct_word_share": (True, 0.6, "root"),
 }
 
 
@@ -80,7 +86,7 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "stops_per_word": F.col("_stops") / words, "words_per_line": F.col("n_words") / F.greatest("_n_lines", F.lit(1)), "log_words": F.log1p("n_words"),
     }
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return counts.select(*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *[v.alias(k) for k, v in measures.items()])
+    return counts.select(*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("_n_lines").alias("n_lines"), failed.alias("base_failed"), *[v.alias(k) for k, v in measures.items()])
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -99,52 +105,50 @@ def sketches(measured: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, rows, low_<measure>, high_<measure>) from the quartiles of each sketch."""
+def quartiles(sketch: DataFrame) -> DataFrame:
+    """(level, lang, source, measure, rows, q1, q3) of each sketch."""
     group = ["level", "lang", "source", "measure"]
     upto = F.sum("n").over(Window.partitionBy(*group).orderBy("bucket"))
     rows = F.sum("n").over(Window.partitionBy(*group))
     value = F.when(F.col("bucket") == ZERO_BUCKET, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1))
     ranked = sketch.select(*group, value.alias("value"), upto.alias("upto"), rows.alias("rows"))
     first_at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("value")))
-    quartiles = ranked.groupBy(*group).agg(F.first("rows").alias("rows"), first_at(0.25).alias("q1"), first_at(0.75).alias("q3"))
+    return ranked.groupBy(*group).agg(F.first("rows").alias("rows"), first_at(0.25).alias("q1"), first_at(0.75).alias("q3"))
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """(lang, source, low_<measure>, high_<measure>) of every group."""
+    found = store(quartiles(sketch), "quartiles")
+    names = ("rows", "q1", "q3")
+    level = lambda k, prefix, *keys: found.where(F.col("level") == k).select(*[F.col(c).alias(prefix + c) for c in (*keys, "measure", *names)])
+    own, up, top = level(0, "g_", "lang", "source"), level(1, "l_", "lang"), level(2, "a_")
+    met = own.join(up, F.col("g_lang").eqNullSafe(F.col("l_lang")) & (F.col("g_measure") == F.col("l_measure"))).join(top, F.col("g_measure") == F.col("a_measure"))
+    for q in ("q1", "q3"):
+        met = met.withColumn(q, (F.col("l_rows") * F.col(f"l_{q}") + PRIOR * F.col(f"a_{q}")) / (F.col("l_rows") + PRIOR))
+        met = met.withColumn(q, (F.col("g_rows") * F.col(f"g_{q}") + PRIOR * F.col(q)) / (F.col("g_rows") + PRIOR))
+    reach = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST))
     cells = []
-    for k, (two_sided, slack) in MEASURES.items():
-        reach = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(slack))
-        here = F.col("measure") == k
+    for k, (two_sided, *_) in MEASURES.items():
+        here = F.col("g_measure") == k
         cells.append(F.max(F.when(here, F.col("q3") + reach)).alias(f"high_{k}"))
         cells.append(F.max(F.when(here, F.col("q1") - reach if two_sided else F.lit(float("-inf")))).alias(f"low_{k}"))
-    return quartiles.groupBy("level", "lang", "source").agg(F.max("rows").alias("rows"), *cells)
+    return met.groupBy("g_lang", "g_source").agg(*cells)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     kept is false for rows that fail the base rules and for rows with a measure outside the range of their language and
-    source. Null languages and sources are groups of their own; a group with fewer than MIN_ROWS judged rows uses its
-    language's sketch, then that of all rows; where none passes the base rules, none is kept. Null texts have no words.
-    Ties and repeated rows count like any others; an empty table gives no rows.
+    source. Null languages and sources are groups of their own; where no row of a group passes the base rules, none is
+    kept. Null texts have no words. Ties and repeated rows count like any others; an empty table gives no rows.
     """
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
+    plain = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"), quoted(lang_col).cast("string").alias("lang"), quoted(source_col).cast("string").alias("source"))
     measured = store(base_measures(plain).drop("text"), "measures")
     limits = store(thresholds(sketches(measured)), "limits")
-    groups = measured.groupBy("lang", "source").agg(F.count("*").alias("_n")).drop("_n")
-    sides = [c for c in limits.columns if c.startswith(("low_", "high_"))]
-
-    def level(k: int, prefix: str) -> DataFrame:
-        at = limits.where((F.col("level") == k) & (F.col("rows") >= MIN_ROWS))
-        return at.select(F.col("lang").alias(f"{prefix}_lang"), F.col("source").alias(f"{prefix}_source"), F.struct(*sides).alias(prefix))
-
-    whole = limits.where("level = 2").select(*sides).first()
-    fallback = F.struct(*[F.lit(whole[c] if whole else None).cast("double").alias(c) for c in sides])
-    chosen = (
-        groups.join(level(0, "a"), F.col("lang").eqNullSafe(F.col("a_lang")) & F.col("source").eqNullSafe(F.col("a_source")), "left")
-        .join(level(1, "b"), F.col("lang").eqNullSafe(F.col("b_lang")), "left")
-        .select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.coalesce("a", "b", fallback).alias("limit"))
-    )
-    joined = measured.join(chosen, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     inside = F.lit(True)
-    for k in MEASURES:
-        inside = inside & F.col(k).between(F.col(f"limit.low_{k}"), F.col(f"limit.high_{k}"))
+    for k, (_, chance, per) in MEASURES.items():
+        room = chance / (F.sqrt(F.greatest("n_words", F.lit(1))) if per == "root" else F.greatest(per, F.lit(1)))
+        inside = inside & (F.col(k) >= F.col(f"low_{k}") - room) & (F.col(k) <= F.col(f"high_{k}") + room)
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

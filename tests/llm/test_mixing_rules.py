@@ -1,3 +1,6 @@
+import math
+import random
+
 import duckdb
 import pytest
 
@@ -31,9 +34,8 @@ def tables(spark, tmp_path):
     return spark.read.parquet(str(tmp_path / "documents.parquet")), con
 
 
-def test_rules_and_mix_against_sql(spark, tables, monkeypatch):
+def test_rules_and_mix_against_sql(spark, tables):
     frame, con = tables
-    monkeypatch.setattr(quality_rules, "MIN_ROWS", 20)
     compare(spark, con, quality_rules.judge(frame), oracle.quality_rules_sql())
     compare(spark, con, mixing.mix(frame), oracle.mixing_sql())
 
@@ -106,3 +108,73 @@ def test_url_filter(spark, tmp_path):
     assert url_filter.judge(spark.createDataFrame([], frame.schema), RULES).collect() == []
     alone = url_filter.judge(spark.createDataFrame([(1, "http://a.fr/x", "")], frame.schema), ()).collect()
     assert [(r.verdict, r.ratio) for r in alone] == [("allow", 0.0)]
+
+
+OUTLIERS = {
+    "symbols_per_word": lambda w: " ".join(x + "#$%" for x in w),
+    "exclaims_per_word": lambda w: " ".join(x + "!!" for x in w),
+    "dup_line_share": lambda w: "\n".join(" ".join(w[k : k + 5]) for k in range(0, len(w), 5)) + "\n" + "\n".join(["a line seen"] * 60),
+    "repeat_share": lambda w: " ".join([*w, *w[:70]]),
+    "upper_share": lambda w: " ".join(w).upper(),
+    "mean_word_chars": lambda w: " ".join(x + "abcdefghijkl"[k % 9 :] for k, x in enumerate(w)),
+    "short_word_share": lambda w: " ".join(f"{x[0]}{k}"[:3] for k, x in enumerate(w)),
+    "distinct_word_share": lambda w: " ".join(random.Random(2).choices(w[:40], k=len(w))),
+}
+
+
+def prose(rng, n=300):
+    return ["".join(rng.choices("abcdefghijklmnop", k=rng.choice((2, 3, 4, 5, 6, 7)))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("measure", list(OUTLIERS))
+def test_each_measure_rejects_an_outlier_that_the_base_lets_pass(spark, measure):
+    rng = random.Random(5)
+    rows = [(k, " ".join(prose(rng)), "en", "s1", None) for k in range(60)] + [(1000, OUTLIERS[measure](prose(rng, 440)), "en", "s1", None)]
+    measured = quality_rules.base_measures(spark.createDataFrame(rows, DOCS).drop("n_words")).drop("text").collect()
+    outlier = next(r for r in measured if r.doc_id == 1000)
+    assert not outlier.base_failed
+    limit = quality_rules.thresholds(quality_rules.sketches(spark.createDataFrame(measured))).first()
+    _, chance, per = quality_rules.MEASURES[measure]
+    room = chance / (outlier.n_words**0.5 if per == "root" else max(1, outlier[per]))
+    assert not limit[f"low_{measure}"] - room <= outlier[measure] <= limit[f"high_{measure}"] + room
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not kept[1000] and all(kept[k] for k in range(60))
+
+
+def test_groups_of_any_size_are_judged_alike(spark):
+    """Quartiles move with the number of rows by no leap."""
+    def limit(n):
+        rng = random.Random(7)
+        rows = [(k, " ".join(prose(rng)), "en", "s1", None) for k in range(400)]
+        rows += [(5000 + k, " ".join(x * 3 for x in prose(rng)), "en", "s2", None) for k in range(n)]
+        found = quality_rules.thresholds(quality_rules.sketches(quality_rules.base_measures(spark.createDataFrame(rows, DOCS).drop("n_words")).drop("text"))).collect()
+        return next(r.high_mean_word_chars for r in found if r.g_source == "s2")
+
+    few, more, many = limit(20), limit(40), limit(100)
+    assert few < more < many and many - few > 1 and max(more - few, many - more) < 4
+
+
+def test_url_models_are_the_smoothed_markov_models(spark):
+    """With all n-grams kept, the ratio is the difference of two interpolated models, position by position."""
+    judged = [("a.net/de/1", True), ("b.net/de/22", True), ("a.com/en/7", False), ("spam.org/es/x", False), ("spam.org/es/yy", False)]
+    frame = spark.createDataFrame(judged, "model_text string, accepted boolean")
+    asked = ["a.net/de/1", "q.org/es/x!", "", "zzz"]
+    model = url_filter.train(frame, None)
+    got = {r.model_text: r.ratio for r in url_filter.score(spark.createDataFrame([(t,) for t in asked], "model_text string"), model, "model_text", False).collect()}
+
+    def probability(accepted, context, char):
+        counts, total, tail = 0, 0, context
+        for text, kind in judged:
+            if kind == accepted:
+                padded = url_filter.BEGIN * url_filter.ORDER + text + url_filter.END
+                for k in range(url_filter.ORDER, len(padded)):
+                    if padded[k - len(tail) : k] == tail:
+                        total += 1
+                        counts += padded[k] == char
+        lower = probability(accepted, context[1:], char) if context else 1 / url_filter.ALPHABET
+        return (counts + url_filter.WEIGHT * lower) / (total + url_filter.WEIGHT)
+
+    for text in asked:
+        padded = url_filter.BEGIN * url_filter.ORDER + text + url_filter.END
+        steps = [math.log(probability(True, padded[k - 4 : k], padded[k]) / probability(False, padded[k - 4 : k], padded[k])) for k in range(4, len(padded))]
+        assert got[text] == pytest.approx(sum(steps) / len(steps), abs=1e-9)
