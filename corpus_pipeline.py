@@ -1,7 +1,8 @@
 """The corpus pipeline: classifier, near-duplicates, personal data, mixing, packing, each stage over all its predecessor kept.
 
 A stage's rows are written as Parquet in the shared folder and reread as the next one's documents, so a lost executor
-costs at most the tasks of one stage, and a rerun can begin at any stage.
+costs at most the tasks of one stage. A run given a folder leaves its stages there, and a later run with the same folder
+begins after the last stage that was written whole; without, the stages are deleted as soon as the next one is written.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from meshspark.llm import gam, mixing, packing, pii, simhash
-from meshspark.llm.common import release, shared_root, table
+from meshspark.llm.common import delete, exists, release, shared_root, table
 from meshspark.llm.queries import vocabulary
 
 
@@ -46,13 +47,16 @@ STAGES = [("quality classifier", classify), ("simhash near-dedup", deduplicate),
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents of ``sf_dir``."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Apply all stages to the documents of ``sf_dir``, in ``folder`` of a store that all executors share."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    place = folder or f"{shared_root(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        out = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(out)
+        out = f"{place}/{k}"
+        if not exists(spark, f"{out}/_SUCCESS"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
+            release(spark)  # the stage's own tables; what it returned has been written
+            if k and folder is None:
+                delete(spark, f"{place}/{k - 1}")
         docs = spark.read.parquet(out)
-        release(spark)  # the stage's own tables; what it returned has been written
     return docs
