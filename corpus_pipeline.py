@@ -8,34 +8,59 @@ begins after the last stage that was written whole; without, the stages are dele
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from meshspark.llm import gam, mixing, packing, pii, simhash
-from meshspark.llm.common import delete, exists, release, shared_root, table
+from meshspark.llm.common import delete, drop, exists, release, shared_root, stored, table
 from meshspark.llm.queries import vocabulary
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []  # tables of the stage before, which are read until its rows are written
+
+
+def staged(stage: Stage) -> Stage:
+    """A stage that first deletes the tables of the stage before it, whose rows have been written and reread by then."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _left)
+        before = set(stored())
+        out = stage(spark, docs, sf_dir)
+        _left[:] = [path for path in stored() if path not in before]
+        return out
+
+    return run
+
+
+@staged
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     return gam.accepted(docs, table(spark, sf_dir, "labels"))
 
 
+@staged
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return simhash.keep_one(docs)
 
 
+@staged
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data generalised."""
     return pii.sanitise(docs)
 
 
+@staged
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and of a source's last one as far, as the mix takes them."""
     return mixing.mixed_documents(docs)
 
 
+@staged
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 _stored: list[str] = []
+#: Rows that Python workers get at a time while a table is stored; texts are long, so the default takes much memory.
+ARROW_ROWS, TEXTS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +45,12 @@ def store(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)  # zstd keeps native buffers beyond the heap for each column
+    rows = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(rows), TEXTS)))
+    try:
+        df.write.option("compression", "snappy").parquet(path)  # zstd keeps native buffers beyond the heap for each column
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
     _stored.append(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._stored_at = path
@@ -64,6 +72,21 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def stored() -> list[str]:
+    """The places of all stored tables."""
+    return list(_stored)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables by their places, and let the JVM forget the shuffles of frames that are gone."""
+    for path in paths:
+        if path in _stored:
+            _stored.remove(path)
+            delete(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame that ``store`` returned; call only when it and what reads it are done with."""
     path = df._stored_at

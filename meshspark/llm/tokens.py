@@ -24,7 +24,7 @@ from .common import buffer_of, slices
 #: Bytes a worker's store may take; the pieces met longest ago go first.
 STORE_BYTES = 24 << 20
 #: Bytes of text worked on at a time.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 #: Pieces longer than this are not kept.
 LONGEST_PIECE = 64
 
