@@ -232,3 +232,21 @@ def closest_on_triangle(p: Vec, a: Vec, b: Vec, c: Vec) -> tuple[Column, Vec]:
 def turning(total_angle: Column) -> Column:
     """Turning number of a closed polygon from the sum of its exterior angles."""
     return F.round(total_angle / (2 * math.pi))
+
+
+def other_corners(corners: list[Column], k: Column) -> tuple[Column, Column]:
+    """The two corners after corner ``k`` (from 0), in the face's own turn."""
+    around = F.array(*corners)
+    return F.get(around, (k + 1) % 3), F.get(around, (k + 2) % 3)
+
+
+def third_corner(corners: list[Column], a: Column, b: Column) -> Column:
+    """The corner that is neither ``a`` nor ``b``; null where these are not two corners of the face."""
+    left = F.filter(F.array(*corners), lambda v: (v != a) & (v != b))
+    return F.when(F.size(left) == 1, F.get(left, F.lit(0)))
+
+
+def ramp(t: Column, low: tuple[float, float, float], high: tuple[float, float, float]) -> Vec:
+    """The colour at ``t`` of [0, 1] on the line between two; beyond the ends, the ends."""
+    s = clamp(t, 0.0, 1.0)
+    return tuple(F.lit(a) + s * (b - a) for a, b in zip(low, high, strict=True))

@@ -21,14 +21,15 @@ MOST = 6000
 
 
 def gathered(tables: dict[str, DataFrame], f: Callable[..., pd.DataFrame], schema: str, most_rows: int = 40 * MOST) -> DataFrame:
-    """Run ``f`` once on whole tables, given as structured arrays by name; raises beyond ``most_rows`` rows of any table."""
+    """Run ``f`` once on whole tables, given as structured arrays by name; raises beyond ``most_rows`` rows of any
+    table, of which no more are gathered."""
     packed = None
     names = {}
     for name, df in tables.items():
         names[name] = df.columns
-        one = df.agg(F.count("*").alias(f"n_{name}"), F.collect_list(F.struct(*df.columns)).alias(name))
+        one = df.limit(most_rows + 1).agg(F.count("*").alias(f"n_{name}"), F.collect_list(F.struct(*df.columns)).alias(name))
         packed = one if packed is None else packed.join(one)
-    packed = packed.select(*[F.when(F.col(f"n_{n}") <= most_rows, F.col(n)).otherwise(F.raise_error(F.concat(F.lit(f"{n}: too many rows for one task: "), F.col(f"n_{n}").cast("string")))).alias(n) for n in tables])
+    packed = packed.select(*[F.when(F.col(f"n_{n}") <= most_rows, F.col(n)).otherwise(F.raise_error(F.concat(F.lit(f"{n}: too many rows for one task: more than {most_rows}")))).alias(n) for n in tables])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

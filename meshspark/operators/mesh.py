@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec as V
 from .lineage import cut
+from .relational import renumber
 
 
 def corners(triangles: DataFrame) -> DataFrame:
@@ -147,9 +148,9 @@ def submesh(triangles: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFram
     """(map (vid, new_vid), triangles re-indexed densely): the faces of ``faces`` (fid) and the vertices they use."""
     kept = triangles.join(faces.select("fid").distinct(), "fid", "left_semi")
     used = corners(kept).select("vid").distinct()
-    new = used.select("vid", (F.row_number().over(Window.orderBy("vid")) - 1).cast("long").alias("new_vid"))
+    new = renumber(used, ["vid"], "new_vid", start=0)
     met = corners(kept).join(new, "vid").groupBy("fid").agg(*[F.max(F.when(F.col("k") == k, F.col("new_vid"))).alias(f"v{k + 1}") for k in range(3)])
-    dense = met.select((F.row_number().over(Window.orderBy("fid")) - 1).cast("long").alias("fid"), "v1", "v2", "v3")
+    dense = renumber(met, ["fid"], "_dense", start=0).select(F.col("_dense").alias("fid"), "v1", "v2", "v3")
     return new, dense
 
 

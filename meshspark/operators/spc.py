@@ -7,12 +7,15 @@ Times a chart does not reach have no row.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import renumber
+
 LAMBDA, ALPHA, WINDOW = 0.01, 0.005, 10
 #: Accepted permutations of a limit, as many as the reference draws.
 PERMUTATIONS = 25_000
@@ -101,9 +104,12 @@ def moment_chart(obs: DataFrame, m0: int, kmax: int, lam: float = LAMBDA, longes
 
 def order_statistic_limit(values: DataFrame, by: list[str], alpha: float = ALPHA) -> DataFrame:
     """The element of 0-based place ceil(n (1 - alpha)) of each group's sorted values, plus 1e-12; the last if beyond."""
-    ranked = values.select(*by, "value", F.row_number().over(Window.partitionBy(*by).orderBy("value")).alias("r"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    place = F.least(F.ceil(F.col("n") * (1 - alpha)) + 1, F.col("n"))
-    return ranked.where(F.col("r") == place).select(*by, (F.col("value") + 1e-12).alias("limit"))
+    # all rows are numbered by ranges of (group, value), so one large group is no single task's
+    ranked = renumber(values.select(*by, "value"), [*by, "value"], "_r", start=0)
+    groups = ranked.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("_r").alias("_first"), F.count("*").alias("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    place = F.least(F.ceil(F.col("_n") * (1 - alpha)), F.col("_n") - 1)
+    return ranked.join(groups, same).where(F.col("_r") - F.col("_first") == place).select(*by, (F.col("value") + 1e-12).alias("limit"))
 
 
 def alarms(chart: DataFrame) -> DataFrame:
@@ -267,3 +273,17 @@ def permutation_limits_joint(obs: DataFrame, m0: int, kmax: int, permutations: i
 
     return obs.select("sim_id", "t", "feature_id", "value", "value2").groupBy("sim_id").applyInPandas(one, "sim_id int, t int, stat int, t_stat double, lo double, hi double, acceptance double")
 
+
+
+def simulate(normal, sims: int = 10, parts: int = 150, in_control: int = 100, features: int = 20, shift: float = 1.0, spark=None) -> DataFrame:
+    """(sim_id, t, feature_id, value, value2): simulations of ``parts`` parts, shifted by ``shift`` after ``in_control``.
+
+    Parts are numbered through all simulations, so a simulation is (k - 1) div parts. ``normal`` maps an integer key and a
+    stream to a standard normal column, and so the run can be replayed.
+    """
+    k = spark.range(sims * parts).select((F.col("id") + 1).alias("k"))
+    row = k.select(F.floor((F.col("k") - 1) / parts).cast("int").alias("sim_id"), ((F.col("k") - 1) % parts + 1).cast("int").alias("t"), "k")
+    wide = row.select("*", F.explode(F.sequence(F.lit(0), F.lit(features - 1))).alias("feature_id"))
+    key = F.col("k") * features + F.col("feature_id")
+    moved = F.when(F.col("t") > in_control, F.lit(shift)).otherwise(0.0)
+    return wide.select("sim_id", "t", "feature_id", (normal(key, 0) + moved).alias("value"), (normal(key, 2) + moved).alias("value2"))

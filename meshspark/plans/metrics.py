@@ -11,8 +11,8 @@ from .bindings import grid, points, uniform, uniform_sql
 from .registry import TABLES, query, sql_table
 
 U0, U1 = uniform_sql("sid", 0), uniform_sql("sid", 1)
-sql_table("alloc", "SELECT *, ceil(area / (SELECT sum(area) FROM face_geo) * 1200)::INT AS n FROM face_geo", "face_geo")
-sql_table("spread", "SELECT *, fid * 100000 + k AS sid FROM (SELECT *, unnest(range(0, n)) AS k FROM alloc)", "alloc")
+sql_table("alloc", "SELECT *, ceil(area / (SELECT sum(area) FROM face_geo) * (SELECT 100.0::DOUBLE * count(*) FROM face_geo))::INT AS n FROM face_geo", "face_geo")
+sql_table("spread", "SELECT *, first + k AS sid FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, sum(n) OVER (ORDER BY fid) - n AS first FROM alloc))", "alloc")
 sql_table("folded", f"SELECT *, CASE WHEN u + w > 1 THEN 1 - u ELSE u END AS s, CASE WHEN u + w > 1 THEN 1 - w ELSE w END AS t FROM (SELECT *, {U0} AS u, {U1} AS w FROM spread)", "spread")
 sql_table("samples", 'SELECT sid, fid, ax+s*(bx-ax)+t*(cx-ax) AS x, ay+s*("by"-ay)+t*(cy-ay) AS y, az+s*(bz-az)+t*(cz-az) AS z FROM folded', "folded")
 # the scan: every vertex moved by its own small offset
@@ -38,14 +38,19 @@ def _scan(p: DataFrame, triangles: DataFrame) -> DataFrame:
     return mesh.gather(triangles, moved)
 
 
+#: Samples for each face: on average of the nominal surface, and of the scanned one.
+FORWARD_DENSITY, BACKWARD_DENSITY = 100.0, 75.0
+
+
 def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, triangles, faces = _nominal(spark, sf_dir)
-    return M.forward(faces, _scan(p, triangles), 1200, uniform)
+    return M.forward(faces, _scan(p, triangles), FORWARD_DENSITY * triangles.count(), uniform)
 
 
 @query("SELECT sid, fid, round(x, 7) AS x, round(y, 7) AS y, round(z, 7) AS z FROM samples", "samples")
 def area_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sampling.sample(_nominal(spark, sf_dir)[2], 1200, uniform)
+    _, triangles, faces = _nominal(spark, sf_dir)
+    s = sampling.sample(faces, FORWARD_DENSITY * triangles.count(), uniform)
     return s.select("sid", "fid", *[F.round(d, 7).alias(d) for d in "xyz"])
 
 
@@ -65,8 +70,12 @@ def max_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.larger(M.ratio(_forward(spark, sf_dir)), other).withColumn("dist", F.round("dist", 6))
 
 
+#: Vertices have ids below this, and an edge's midpoint (i + 1) * this + j.
+MIDPOINT = 1 << 31
+
+
 def _children(p: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    fine, kids = M.subdivide(triangles, p, lambda i, j: 100000000 + (F.col(i) if isinstance(i, str) else i) * 100000 + j)
+    fine, kids = M.subdivide(triangles, p, lambda i, j: ((F.col(i) if isinstance(i, str) else i) + 1) * MIDPOINT + j)
     faces = mesh.gather(kids, fine).join(kids.select("fid", "father_id"), "fid")
     corner = mesh.corners(kids)
     return faces, kids, corner.select("fid", "vid").join(corner.select(F.col("fid").alias("neigh"), "vid"), "vid").select("fid", "neigh").distinct()
@@ -75,7 +84,7 @@ def _children(p: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame,
 @query(
     """SELECT 4*fid + k AS fid, fid AS father_id, CASE k WHEN 0 THEN v1 WHEN 1 THEN m1 WHEN 2 THEN m3 ELSE m1 END AS v1, CASE k WHEN 0 THEN m1 WHEN 1 THEN v2 WHEN 2 THEN m2 ELSE m2 END AS v2,
     CASE k WHEN 0 THEN m3 WHEN 1 THEN m2 WHEN 2 THEN v3 ELSE m3 END AS v3, k IN (0, 1) AS e1, k IN (1, 2) AS e2, k IN (0, 2) AS e3
-    FROM (SELECT *, 100000000 + least(v1,v2)*100000 + greatest(v1,v2) AS m1, 100000000 + least(v2,v3)*100000 + greatest(v2,v3) AS m2, 100000000 + least(v3,v1)*100000 + greatest(v3,v1) AS m3, unnest(range(0, 4)) AS k FROM tris)""",
+    FROM (SELECT *, (least(v1,v2) + 1)*2147483648 + greatest(v1,v2) AS m1, (least(v2,v3) + 1)*2147483648 + greatest(v2,v3) AS m2, (least(v3,v1) + 1)*2147483648 + greatest(v3,v1) AS m3, unnest(range(0, 4)) AS k FROM tris)""",
     "tris",
 )
 def midpoint_subdivision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +102,9 @@ def children_per_father(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backward_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, triangles, faces = _nominal(spark, sf_dir)
     children, _, neighbours = _children(p, triangles)
-    return M.backward(faces, children, neighbours, _scan(p, triangles), 40.0, 0.005, uniform)[0]
+    scan = _scan(p, triangles)
+    area = mesh.mesh_area(scan).first()
+    return M.backward(faces, children, neighbours, scan, BACKWARD_DENSITY * area.n_faces / area.area, 0.005, uniform)[0]
 
 
 _GAUSS = "sqrt(-2*ln(1-{0}))*cos(2*pi()*{1})"

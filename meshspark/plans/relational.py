@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vec as V
 from ..operators import mesh, relational as R
 from .bindings import grid, points, table, uniform, uniform_sql
 from .registry import query, sql_table
@@ -151,3 +152,39 @@ def edge_adjacent_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vid, list_sort(list(fid)) AS fids FROM corners GROUP BY 1", "corners")
 def vertex_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.corners(grid(points(spark, sf_dir))).groupBy("vid").agg(F.sort_array(F.collect_list("fid")).alias("fids"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY {uniform_sql('vid', 3)}, vid) - 1 AS place, vid AS key FROM pts", "pts")
+def inverse_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.inverse_permutation(R.permute(points(spark, sf_dir), "vid", uniform(F.col("vid"), 3)), "vid")
+
+
+@query("SELECT vid, x FROM pts ORDER BY x, vid LIMIT 25", "pts")
+def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.first_lines(points(spark, sf_dir), ["x", "vid"], 25).select("vid", "x")
+
+
+# every third point again, and every fifth moved by a hair
+sql_table("local_pts", "SELECT vid + 5000000 AS local_id, CASE WHEN vid % 5 = 0 THEN x + 1e-9 ELSE x END AS x, y FROM pts WHERE vid % 3 = 0", "pts")
+
+
+@query("SELECT vid, (SELECT min(local_id) FROM local_pts l WHERE l.x = p.x AND l.y = p.y) AS local_id FROM pts p", "pts", "local_pts")
+def match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    local = p.where("vid % 3 = 0").select((F.col("vid") + 5000000).alias("local_id"), F.when(F.col("vid") % 5 == 0, F.col("x") + 1e-9).otherwise(F.col("x")).alias("x"), "y")
+    return R.match_exact(p.select("vid", "x", "y"), local, ["x", "y"], "local_id").select("vid", "local_id")
+
+
+@query("SELECT vid, round((x - (SELECT min(x) FROM pts)) / (SELECT max(x) - min(x) FROM pts), 8) AS scaled, round(1 - (x - (SELECT min(x) FROM pts)) / (SELECT max(x) - min(x) FROM pts), 8) AS red, round((x - (SELECT min(x) FROM pts)) / (SELECT max(x) - min(x) FROM pts), 8) AS blue FROM pts", "pts")
+def colour_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = R.rescale(points(spark, sf_dir), "x")
+    red, _, blue = V.ramp(F.col("scaled"), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0))
+    return held.select("vid", F.round("scaled", 8).alias("scaled"), F.round(red, 8).alias("red"), F.round(blue, 8).alias("blue"))
+
+
+@query("SELECT fid, k::INT AS k, CASE k WHEN 0 THEN v2 WHEN 1 THEN v3 ELSE v1 END AS a, CASE k WHEN 0 THEN v3 WHEN 1 THEN v1 ELSE v2 END AS b, CASE k WHEN 0 THEN v3 WHEN 1 THEN v1 ELSE v2 END AS third FROM (SELECT *, unnest(range(0, 3)) AS k FROM tris)", "tris")
+def other_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = mesh.corners(grid(points(spark, sf_dir))).join(grid(points(spark, sf_dir)), "fid")
+    corners = [F.col(f"v{k}") for k in (1, 2, 3)]
+    a, b = V.other_corners(corners, F.col("k"))
+    return held.select("fid", F.col("k").cast("int").alias("k"), a.alias("a"), b.alias("b"), V.third_corner(corners, F.col("vid"), a).alias("third"))

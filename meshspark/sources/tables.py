@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import renumber
+
 
 def _ordered(spark: SparkSession, path: str) -> DataFrame:
     """(row, value): lines of one file with their places from 0."""
     raw = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).where("trim(value) <> ''")
-    return raw.select((F.row_number().over(Window.orderBy("block", "line")) - 1).cast("long").alias("row"), "value")
+    return renumber(raw, ["block", "line"], "row", start=0).select("row", "value")
 
 
 def read_dimension(spark: SparkSession, path: str) -> int:
@@ -34,7 +36,7 @@ def read_lists(spark: SparkSession, path: str, counts: str | None = None, shift:
     """(row, ids) of ragged lines parted by commas or blanks, ids moved by ``shift``; cut to the counts of a second file."""
     ids = F.transform(F.filter(F.split(F.trim("value"), r"[,\s]+"), lambda x: x != ""), lambda x: x.cast("long") + shift)
     raw = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    rows = raw.select((F.row_number().over(Window.orderBy("block", "line")) - 1).cast("long").alias("row"), ids.alias("ids"))
+    rows = renumber(raw, ["block", "line"], "row", start=0).select("row", ids.alias("ids"))
     if counts is None:
         return rows
     n = read_matrix(spark, counts, ["n"], kind="int")
