@@ -12,7 +12,7 @@ from .registry import TABLES, query, sql_table
 
 U0, U1 = uniform_sql("sid", 0), uniform_sql("sid", 1)
 sql_table("alloc", "SELECT *, ceil(area / (SELECT sum(area) FROM face_geo) * (SELECT 100.0::DOUBLE * count(*) FROM face_geo))::INT AS n FROM face_geo", "face_geo")
-sql_table("spread", "SELECT *, first + k AS sid FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, sum(n) OVER (ORDER BY fid) - n AS first FROM alloc))", "alloc")
+sql_table("spread", "SELECT *, first + k AS sid FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, (sum(n) OVER (ORDER BY fid) - n)::BIGINT AS first FROM alloc))", "alloc")
 sql_table("folded", f"SELECT *, CASE WHEN u + w > 1 THEN 1 - u ELSE u END AS s, CASE WHEN u + w > 1 THEN 1 - w ELSE w END AS t FROM (SELECT *, {U0} AS u, {U1} AS w FROM spread)", "spread")
 sql_table("samples", 'SELECT sid, fid, ax+s*(bx-ax)+t*(cx-ax) AS x, ay+s*("by"-ay)+t*(cy-ay) AS y, az+s*(bz-az)+t*(cz-az) AS z FROM folded', "folded")
 # the scan: every vertex moved by its own small offset
