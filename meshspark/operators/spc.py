@@ -7,11 +7,12 @@ Times a chart does not reach have no row.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .relational import renumber
@@ -274,8 +275,7 @@ def permutation_limits_joint(obs: DataFrame, m0: int, kmax: int, permutations: i
     return obs.select("sim_id", "t", "feature_id", "value", "value2").groupBy("sim_id").applyInPandas(one, "sim_id int, t int, stat int, t_stat double, lo double, hi double, acceptance double")
 
 
-
-def simulate(normal, sims: int = 10, parts: int = 150, in_control: int = 100, features: int = 20, shift: float = 1.0, spark=None) -> DataFrame:
+def simulate(spark: SparkSession, normal: Callable[[Column, int], Column], sims: int = 10, parts: int = 150, in_control: int = 100, features: int = 20, shift: float = 1.0) -> DataFrame:
     """(sim_id, t, feature_id, value, value2): simulations of ``parts`` parts, shifted by ``shift`` after ``in_control``.
 
     Parts are numbered through all simulations, so a simulation is (k - 1) div parts. ``normal`` maps an integer key and a

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, mesh, metrics as M, sampling, spatial
+from ..operators import graph, mesh, metrics as M, sampling, spatial, spc
 from . import graphs  # noqa: F401  its SQL tables are used here
 from .bindings import grid, points, uniform, uniform_sql
 from .registry import TABLES, query, sql_table
@@ -127,3 +127,17 @@ def rigid_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT r AS vid, round((r % 16)/15.0 + 0.5*({uniform_sql('r', 0)} - 0.5)/15, 7) AS x, round(floor(r/16)/15.0 + 0.5*({uniform_sql('r', 1)} - 0.5)/15, 7) AS y, 0.0::DOUBLE AS z FROM range(256) t(r)")
 def generated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.grid_points(16, spark, 0.5, uniform).select("vid", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"), "z")
+
+
+_PART = "(k * 20 + feature_id)"
+
+
+@query(
+    f"""SELECT ((k - 1) // 150)::INT AS sim_id, ((k - 1) % 150 + 1)::INT AS t, feature_id::INT AS feature_id, round({_GAUSS.format(uniform_sql(_PART, 0), uniform_sql(_PART, 1))} + moved, 6) AS value,
+    round({_GAUSS.format(uniform_sql(_PART, 2), uniform_sql(_PART, 3))} + moved, 6) AS value2
+    FROM (SELECT k, feature_id, CASE WHEN (k - 1) % 150 + 1 > 100 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS moved FROM range(1, 1501) a(k), range(0, 20) b(feature_id))"""
+)
+def simulated_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten simulations of 150 parts, the last 50 of each shifted."""
+    held = spc.simulate(spark, lambda key, stream: sampling.normal(uniform, key, stream))
+    return held.select("sim_id", "t", "feature_id", F.round("value", 6).alias("value"), F.round("value2", 6).alias("value2"))
