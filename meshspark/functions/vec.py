@@ -250,3 +250,23 @@ def ramp(t: Column, low: tuple[float, float, float], high: tuple[float, float, f
     """The colour at ``t`` of [0, 1] on the line between two; beyond the ends, the ends."""
     s = clamp(t, 0.0, 1.0)
     return tuple(F.lit(a) + s * (b - a) for a, b in zip(low, high, strict=True))
+
+
+def to_spherical_azimuth(p: Vec) -> Vec:
+    """(azimuth, polar angle from +z, radius), the convention that names the azimuth first."""
+    r, polar, azimuth = to_spherical(p)
+    return azimuth, polar, r
+
+
+def from_spherical_azimuth(azimuth: Column, polar: Column, r: Column) -> Vec:
+    return from_spherical(r, polar, azimuth)
+
+
+def sphere_normal_coordinates(radius: Column | float, p: Vec, q: Vec, first: Vec, second: Vec) -> tuple[Column, Column]:
+    """(u, v) of q in the tangent plane at p of a sphere about the origin: as long as the great circle from p to q, in the
+    direction of p - q by the tangents ``first`` and ``second``; zero where p and q meet."""
+    gap = sub(p, q)
+    r = angle(p, q) * radius
+    theta = F.atan2(dot(gap, second), dot(gap, first))
+    same = mag(gap) < math.sqrt(2.220446049250313e-16)
+    return F.when(same, 0.0).otherwise(r * F.cos(theta)), F.when(same, 0.0).otherwise(r * F.sin(theta))

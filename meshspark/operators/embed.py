@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import vec as V
 from . import fem, graph, mesh, spatial
 from .linalg import Index, gathered, minimise, solve, symmetric_eigen
+from .lineage import cut
 
 UV = "vid long, u double, v double"
 
@@ -43,6 +44,50 @@ def embed_boundary(loops: DataFrame, vertices: DataFrame, shape: str = "circle")
     return at.select("vid", u.alias("u"), v.alias("v"))
 
 
+def reconstruct_boundary(uv: DataFrame, weights: DataFrame, rim: DataFrame) -> DataFrame:
+    """``uv`` with every vertex of rim(vid) at the weighted sum of its neighbours as they stood, by weights(i, j, w); a
+    vertex without neighbours goes to the origin."""
+    there = uv.select(F.col("vid").alias("j"), F.col("u").alias("_u"), F.col("v").alias("_v"))
+    sums = weights.join(rim.select(F.col("vid").alias("i")), "i", "left_semi").join(there, "j").groupBy("i").agg(*[F.sum(F.col("w") * F.col("_" + d)).alias("_" + d) for d in "uv"])
+    marked = uv.join(rim.select("vid", F.lit(True).alias("_rim")), "vid", "left").join(sums.withColumnRenamed("i", "vid"), "vid", "left")
+    return marked.select("vid", *[F.when(F.col("_rim"), F.coalesce("_" + d, F.lit(0.0))).otherwise(F.col(d)).alias(d) for d in "uv"])
+
+
+def _beside(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of loops with n_<c> and p_<c>, the values at the next and the previous place round the loop."""
+    order = Window.partitionBy("loop").orderBy("pos")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ahead = [F.coalesce(F.lead(c).over(order), F.first(c).over(whole)).alias("n_" + c) for c in columns]
+    return rows.select("*", *ahead, *[F.coalesce(F.lag(c).over(order), F.last(c).over(whole)).alias("p_" + c) for c in columns])
+
+
+def smooth_loops(loops: DataFrame, uv: DataFrame, rounds: int = 1, share: float = 0.5) -> DataFrame:
+    """``uv`` with the loops' vertices moved by ``share`` towards the middle of their two neighbours, ``rounds`` times."""
+    for _ in range(rounds):
+        near = _beside(loops.join(uv, "vid"), ["u", "v"])
+        moved = near.select("vid", *[((1 - share) * F.col(d) + share * 0.5 * (F.col("n_" + d) + F.col("p_" + d))).alias("_" + d) for d in "uv"])
+        uv = cut(uv.join(moved, "vid", "left").select("vid", *[F.coalesce("_" + d, d).alias(d) for d in "uv"]))
+    return uv
+
+
+def offset_loops(loops: DataFrame, vertices: DataFrame, uv: DataFrame, size: float = 0.1) -> DataFrame:
+    """``uv`` with the loops' vertices moved along their normal in the plane, by ``size`` times the share by which the two
+    sides beside a vertex are shorter than on the surface, both measured by their loop; none moves inwards."""
+    at = _beside(loops.join(uv, "vid").join(vertices.select("vid", "x", "y", "z"), "vid"), ["u", "v", "x", "y", "z"])
+    plane, space = [(F.col("u"), F.col("v"))], [V.vec("")]
+    for side in ("n_", "p_"):
+        plane.append((F.col(side + "u"), F.col(side + "v")))
+        space.append(V.vec(side))
+    long = at.select("*", *[V.mag(V.sub(p[k], p[0])).alias(f"_{name}{k}") for name, p in (("u", plane), ("x", space)) for k in (1, 2)])
+    whole = Window.partitionBy("loop")
+    scale = F.sum("_x1").over(whole) / F.sum("_u1").over(whole)
+    short = F.greatest(V.ratio(F.col("_x1") + F.col("_x2"), (F.col("_u1") + F.col("_u2")) * scale) - 1, F.lit(0.0))
+    tangent = V.normalize(V.sub(plane[1], plane[2]))
+    step = size * short
+    moved = long.select("vid", (F.col("u") + step * tangent[1]).alias("_u"), (F.col("v") - step * tangent[0]).alias("_v"))
+    return uv.join(moved, "vid", "left").select("vid", *[F.coalesce("_" + d, d).alias(d) for d in "uv"])
+
+
 def embed_interior(weights: DataFrame, fixed: DataFrame) -> DataFrame:
     """(vid, u, v): every free vertex at the weighted mean of its neighbours; ``fixed`` is (vid, u, v)."""
     balanced = spatial.normalise_rows(weights.select("i", "j", "w"))
@@ -239,6 +284,54 @@ def isomap(edges: DataFrame, points: DataFrame, dims: int = 2) -> tuple[DataFram
 MOST_PAIRS = 9_000_000
 
 
+def conformal_edges(edges: DataFrame) -> DataFrame:
+    """edges(i, j, d) with every length over the geometric mean of its ends' mean edge lengths."""
+    mean = edges.groupBy("i").agg(F.avg("d").alias("m"))
+    met = edges.join(mean, "i").join(mean.select(F.col("i").alias("j"), F.col("m").alias("n")), "j")
+    return met.select("i", "j", V.ratio(F.col("d"), F.sqrt(F.col("m") * F.col("n"))).alias("d"))
+
+
+def landmark_isomap(edges: DataFrame, points: DataFrame, landmarks: DataFrame, dims: int = 2, conformal: bool = False) -> DataFrame:
+    """(vid, d, value): geodesic distances from landmarks(vid) alone, scaled to ``dims`` dimensions over the largest
+    component; ``edges`` in both directions. Points may be many, as they meet the landmarks by joins; only the landmarks'
+    products, a square of their number (2,000 at most), go to one task. No landmark in the component gives no rows.
+    """
+    edges = cut(edges.select("i", "j", "d"))
+    main = cut(graph.largest_component(points, edges))
+    seeds = cut(landmarks.select("vid").join(main, "vid", "left_semi").distinct())
+    paths = cut(graph.shortest_paths(conformal_edges(edges) if conformal else edges, seeds).select("source", "vid", (F.col("d") * F.col("d")).alias("d2")))
+    by_mark = paths.groupBy("source").agg(F.avg("d2").alias("over_points"))
+    all_of = F.avg("d2").over(Window.partitionBy("vid"))
+    grand = by_mark.agg(F.avg("over_points").alias("over_all"))
+    centred = paths.withColumn("over_marks", all_of).join(F.broadcast(by_mark), "source").join(F.broadcast(grand))
+    centred = cut(centred.select("source", "vid", (-0.5 * (F.col("d2") - F.col("over_points") - F.col("over_marks") + F.col("over_all"))).alias("b")))
+    row = centred.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("source", "b"))).alias("row")).select(F.transform("row", lambda r: r.source).alias("ids"), F.transform("row", lambda r: r.b).alias("b"))
+
+    def products(frames):
+        ids, total = None, None
+        for frame in frames:
+            for k in range(len(frame)):
+                b = np.asarray(frame["b"].iloc[k], dtype=float)
+                if total is None:
+                    ids, total = np.asarray(frame["ids"].iloc[k]), np.zeros((len(b), len(b)))
+                total += np.outer(b, b)
+        if total is not None:
+            yield pd.DataFrame({"i": np.repeat(ids, len(ids)), "j": np.tile(ids, len(ids)), "w": total.reshape(-1)})
+
+    def axes(m: pd.DataFrame) -> pd.DataFrame:
+        if m.empty:
+            return _long(np.zeros(0, dtype=np.int64), np.zeros((0, dims)))
+        index = Index(m["i"])
+        values, vectors = symmetric_eigen(index.matrix(m))
+        top, size = vectors[:, ::-1][:, :dims], np.sqrt(np.sqrt(np.maximum(values[::-1][:dims], 0)))
+        # distances of one dimension more than there are give a null axis: its coordinates are zero
+        return _long(index.ids, np.where(size > 1e-9 * max(size.max(initial=0.0), 1e-300), top / np.maximum(size, 1e-300), 0.0))
+
+    gram = fem.assemble(row.mapInPandas(products, "i long, j long, w double"))
+    turn = cut(gathered({"m": gram}, axes, COORDINATES, most_rows=4_000_000)).withColumnRenamed("vid", "source")
+    return centred.join(F.broadcast(turn), "source").groupBy("vid", "d").agg(F.sum(F.col("b") * F.col("value")).alias("value"))
+
+
 def pca(points: DataFrame, dims: int = 2, columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """(k, variance, c_<column>): principal axes from the covariance, which is one aggregation."""
     pairs = [(a, b) for a in columns for b in columns]
@@ -362,8 +455,6 @@ def thin_plate(points: DataFrame, at: DataFrame) -> DataFrame:
 
 def register_rigid(part: DataFrame, model_faces: DataFrame, rounds: int = 10) -> DataFrame:
     """``part`` (vid, x, y, z) moved onto a surface by iterated closest points; each round sends 15 sums to the driver."""
-    from .lineage import cut
-
     now = cut(part.select("vid", "x", "y", "z"))
     for _ in range(rounds):
         near = spatial.nearest_triangles(now, model_faces).groupBy("vid").agg(F.min(F.struct("d2", "fid", "qx", "qy", "qz")).alias("s")).select("vid", "s.qx", "s.qy", "s.qz")

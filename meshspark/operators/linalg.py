@@ -147,3 +147,9 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
         beta = max(0.0, float(new_slope @ (new_slope - slope)) / max(float(slope @ slope), 1e-300))
         direction, value, slope = -new_slope + beta * direction, new_value, new_slope
     return x
+
+
+def numeric_gradient(f: Callable[[np.ndarray], float], x: np.ndarray, step: float) -> np.ndarray:
+    """f(x) - f(x + step) along each axis: the negated forward difference, not divided by the step."""
+    value = f(x)
+    return np.array([value - f(x + step * axis) for axis in np.eye(len(x))])

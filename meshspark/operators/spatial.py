@@ -51,12 +51,13 @@ def _extent(points: DataFrame) -> tuple[int, float]:
     return row.n, max((row[d] or 0.0) for d in "xyz") if row.n else 0.0
 
 
-def knn(points: DataFrame, k: int) -> DataFrame:
-    """(i, j, d, r): the k nearest other points, r from 1, ties to the smaller id; all if there are fewer."""
+def knn(points: DataFrame, k: int, of: DataFrame | None = None) -> DataFrame:
+    """(i, j, d, r): the k nearest other points, r from 1, ties to the smaller id; all if there are fewer. With ``of``, for
+    the points of that table alone."""
     n, extent = _extent(points)
     radius = max(extent * (2.0 * (k + 1) / max(n, 1)) ** (1 / 3), 1e-12)
     table = points.select(F.col("vid").alias("i"), "x", "y", "z")
-    left, done = table, None
+    left, done = table if of is None else of.select(F.col("vid").alias("i"), "x", "y", "z"), None
     while True:
         pairs = within(left, table, radius, "i", "i").where("i <> j")
         ranked = pairs.select("i", "j", F.sqrt("d2").alias("d"), F.row_number().over(Window.partitionBy("i").orderBy("d2", "j")).alias("r")).where(F.col("r") <= k)
@@ -72,6 +73,20 @@ def knn(points: DataFrame, k: int) -> DataFrame:
         radius *= 2
 
 
+def probes(points: DataFrame, n: int, uniform: Column) -> DataFrame:
+    """``n`` points drawn at random, all if there are fewer: those of the least ``uniform``, ties to the smaller id."""
+    return points.orderBy(uniform, "vid").limit(n)
+
+
+def spacing(points: DataFrame, uniform: Column, n: int = 50, k: int = 6) -> DataFrame:
+    """(mean, farthest): at ``n`` probes, the mean distance to the k nearest points, and of the farthest of the k; the
+    latter is a radius for eps_ball. Null for fewer than two points."""
+    held = cut(points.select("vid", "x", "y", "z"))
+    near = knn(held, k, cut(probes(held, n, uniform)))
+    each = near.groupBy("i").agg(F.sum("d").alias("s"), F.count("d").alias("m"), F.max("d").alias("top"))
+    return each.agg((F.sum("s") / F.sum("m")).alias("mean"), F.avg("top").alias("farthest"))
+
+
 def pairwise(points: DataFrame) -> DataFrame:
     """(i, j, d) over all ordered pairs: the result itself has the square of the rows."""
     a = points.select(F.col("vid").alias("i"), *[F.col(d).alias("a" + d) for d in "xyz"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, mesh, spatial
-from .bindings import grid, points
+from .bindings import grid, points, uniform, uniform_sql
 from .registry import query, sql_table
 
 K, RADIUS, CUTOFF = 8, 0.12, 0.35
@@ -222,3 +222,13 @@ def smooth_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     faces, paths = _paths(spark, sf_dir)
     return _r(graph.fill_missing(_metric(spark, sf_dir), graph.smoothing_weights(paths, faces, CUTOFF, 0.1)), "dist")
+
+
+sql_table("probed", f"SELECT vid FROM pts ORDER BY {uniform_sql('vid', 5)}, vid LIMIT 50", "pts")
+sql_table("probed6", "SELECT * FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM pairs3 WHERE i IN (SELECT vid FROM probed)) WHERE r <= 6", "pairs3", "probed")
+
+
+@query("SELECT round(sum(s)/sum(m), 6) AS mean, round(avg(top), 6) AS farthest FROM (SELECT i, sum(d) AS s, count(*) AS m, max(d) AS top FROM probed6 GROUP BY 1)", "probed6")
+def probe_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty probes are the operator's own parameter; each searches all points."""
+    return _r(spatial.spacing(points(spark, sf_dir), uniform(F.col("vid"), 5)), "mean", "farthest")

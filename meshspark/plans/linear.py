@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import deform, embed, fem, linalg, mesh, spatial
+from ..operators import deform, embed, fem, graph, linalg, mesh, spatial
 from ..operators.lineage import cut
 from . import meshes  # noqa: F401  its SQL tables are used here
-from .bindings import WIDTH, grid, points
+from .bindings import WIDTH, grid, points, uniform
 from .registry import query, sql_table
 
 sql_table("stiff", "SELECT i, j, sum(w) AS w FROM (SELECT j AS i, o AS j, -dp/cp/2 AS w FROM angles UNION ALL SELECT o, j, -dp/cp/2 FROM angles UNION ALL SELECT j, j, dp/cp/2 FROM angles UNION ALL SELECT o, o, dp/cp/2 FROM angles) GROUP BY 1, 2", "angles")
@@ -407,3 +407,44 @@ def vertex_normals_nbrsvd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mean_curv_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, triangles, faces = _faces(spark, sf_dir)
     return embed.local_mean_curvature(mesh.uniform_neighbours(triangles), p, mesh.vertex_normals(faces))
+
+
+_RIM = "(SELECT count(*) FROM rim_walk)"
+sql_table("rim_mean", "SELECT m.i, sum(m.w*q.u)/sum(m.w) AS u, sum(m.w*q.v)/sum(m.w) AS v FROM meanv m JOIN uv q ON q.vid = m.j WHERE m.i IN (SELECT vid FROM rim) GROUP BY 1", "meanv", "uv", "rim")
+sql_table("rebuilt", "SELECT p.vid, coalesce(r.u, p.u) AS u, coalesce(r.v, p.v) AS v FROM uv p LEFT JOIN rim_mean r ON r.i = p.vid", "uv", "rim_mean")
+sql_table("rim_beside", f"SELECT w.vid, n.vid AS nxt, b.vid AS prv FROM rim_walk w JOIN rim_walk n ON n.pos = (w.pos + 1) % {_RIM} JOIN rim_walk b ON b.pos = (w.pos + {_RIM} - 1) % {_RIM}", "rim_walk")
+sql_table("eased", "SELECT r.vid, coalesce(0.5*r.u + 0.25*(n.u + b.u), r.u) AS u, coalesce(0.5*r.v + 0.25*(n.v + b.v), r.v) AS v FROM rebuilt r LEFT JOIN rim_beside s ON s.vid = r.vid LEFT JOIN rebuilt n ON n.vid = s.nxt LEFT JOIN rebuilt b ON b.vid = s.prv", "rebuilt", "rim_beside")
+sql_table(
+    "rim_sides",
+    """SELECT s.vid, n.u - b.u AS tu, n.v - b.v AS tv, sqrt(pow(n.u-c.u,2)+pow(n.v-c.v,2)) AS un, sqrt(pow(b.u-c.u,2)+pow(b.v-c.v,2)) AS ub,
+    sqrt(pow(q.x-p.x,2)+pow(q.y-p.y,2)+pow(q.z-p.z,2)) AS xn, sqrt(pow(r.x-p.x,2)+pow(r.y-p.y,2)+pow(r.z-p.z,2)) AS xb FROM rim_beside s
+    JOIN eased c ON c.vid = s.vid JOIN eased n ON n.vid = s.nxt JOIN eased b ON b.vid = s.prv JOIN pts p ON p.vid = s.vid JOIN pts q ON q.vid = s.nxt JOIN pts r ON r.vid = s.prv""",
+    "rim_beside", "eased", "pts",
+)
+sql_table("rim_moves", "SELECT vid, 0.1*greatest((xn+xb)/((un+ub)*sum(xn) OVER ()/sum(un) OVER ()) - 1, 0)/sqrt(tu*tu+tv*tv) AS step, tu, tv FROM rim_sides", "rim_sides")
+
+
+@query("SELECT e.vid, round(e.u + coalesce(step*tv, 0), 5) AS u, round(e.v - coalesce(step*tu, 0), 5) AS v FROM eased e LEFT JOIN rim_moves m ON m.vid = e.vid", "eased", "rim_moves")
+def contract_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, triangles, faces = _faces(spark, sf_dir)
+    uv = p.select("vid", (F.col("vid") % WIDTH).cast("double").alias("u"), F.floor(F.col("vid") / WIDTH).cast("double").alias("v"))
+    loops = cut(mesh.boundary_loops(triangles))
+    rebuilt = embed.reconstruct_boundary(uv, spatial.normalise_rows(fem.mean_value_weights(faces)), mesh.boundary_vertices(triangles))
+    return _r(embed.offset_loops(loops, p, embed.smooth_loops(loops, rebuilt)), "u", "v", places=5)
+
+
+def _landmarks(p: DataFrame) -> DataFrame:
+    """Fifty landmarks drawn at random, the operator's own parameter; every point is laid out by them."""
+    return spatial.probes(p, 50, uniform(F.col("vid"), 5))
+
+
+@query()
+def landmark_isomap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, pairs = _neighbours(spark, sf_dir)
+    return embed.landmark_isomap(graph.symmetrise(pairs), p, _landmarks(p))
+
+
+@query()
+def conformal_isomap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, pairs = _neighbours(spark, sf_dir)
+    return embed.landmark_isomap(graph.symmetrise(pairs), p, _landmarks(p), conformal=True)

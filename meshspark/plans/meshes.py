@@ -249,3 +249,19 @@ def circle_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
     t1, t2 = V.line_circle((F.col("x"), F.col("y")), V.lit(0.6, 0.8), V.lit(0.0, 0.0), F.lit(1.0))
     return _round(points(spark, sf_dir).select("vid", t1.alias("t1"), t2.alias("t2")))
+
+
+@query("SELECT vid, round(atan2(y, x), 6) AS azimuth, round(acos(z/sqrt(x*x+y*y+z*z)), 6) AS polar, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM pts", "pts")
+def spherical_azimuth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    azimuth, polar, r = V.to_spherical_azimuth(V.vec(""))
+    held = points(spark, sf_dir).select("vid", azimuth.alias("azimuth"), polar.alias("polar"), r.alias("r"))
+    back = V.from_spherical_azimuth(F.col("azimuth"), F.col("polar"), F.col("r"))
+    return _round(held.select("vid", "azimuth", "polar", *[c.alias(d) for c, d in zip(back, "xyz", strict=True)]))
+
+
+@query("SELECT vid, round(-2*acos(z/sqrt(x*x+y*y+z*z))*x/sqrt(x*x+y*y), 6) AS u, round(-2*acos(z/sqrt(x*x+y*y+z*z))*y/sqrt(x*x+y*y), 6) AS v FROM pts", "pts")
+def sphere_normal_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Around the pole of a sphere of radius 2, onto which the points are laid."""
+    q = V.scale(V.normalize(V.vec("")), 2.0)
+    u, v = V.sphere_normal_coordinates(2.0, V.lit(0.0, 0.0, 2.0), q, V.lit(1.0, 0.0, 0.0), V.lit(0.0, 1.0, 0.0))
+    return _round(points(spark, sf_dir).select("vid", u.alias("u"), v.alias("v")))

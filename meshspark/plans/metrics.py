@@ -141,3 +141,18 @@ def simulated_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten simulations of 150 parts, the last 50 of each shifted."""
     held = spc.simulate(spark, lambda key, stream: sampling.normal(uniform, key, stream))
     return held.select("sim_id", "t", "feature_id", F.round("value", 6).alias("value"), F.round("value2", 6).alias("value2"))
+
+
+sql_table("cut_n", "SELECT *, greatest(1, ceil(sqrt(area/0.004)))::BIGINT AS n FROM face_geo", "face_geo")
+sql_table("cut_i", "SELECT *, unnest(range(0, n)) AS i FROM cut_n", "cut_n")
+sql_table("cut_j", "SELECT *, unnest(range(0, n - i)) AS j FROM cut_i", "cut_i")
+sql_table("cut_k", "SELECT *, unnest(CASE WHEN i + j < n - 1 THEN [0, 1] ELSE [0] END) AS down FROM cut_j", "cut_j")
+_CORNERS = {"a": ("(i + down)", "j"), "b": ("(i + 1)", "(j + down)"), "c": ("i", "(j + 1)")}
+_AT = ", ".join(f"""round(a{d} + {i}/n*("b{d}"-a{d}) + {j}/n*(c{d}-a{d}), 6) AS "{c}{d}\"""" for c, (i, j) in _CORNERS.items() for d in "xyz")
+
+
+@query(f"SELECT fid AS father_id, ((down*n + i)*n + j)::BIGINT AS k, {_AT}, down = 0 AND j = 0 AS e1, down = 0 AND i + j = n - 1 AS e2, down = 0 AND i = 0 AS e3 FROM cut_k", "cut_k")
+def refine_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    out = M.refine(mesh.gather(grid(p), p), 0.004)
+    return out.select("father_id", "k", *[F.round(c + d, 6).alias(c + d) for c in "abc" for d in "xyz"], "e1", "e2", "e3")

@@ -341,3 +341,49 @@ def test_permutation_limits_draw_as_many_as_the_reference():
     lo, hi = spc.joint_limits(sample)
     assert (lo > sample.min(axis=0)).all() and (hi < sample.max(axis=0)).all()
     assert ((sample >= lo) & (sample <= hi)).all(axis=1).mean() > 1 - spc.ALPHA
+
+
+@pytest.mark.parametrize("conformal", [False, True])
+def test_landmark_isomap_unrolls_a_curve(spark, conformal):
+    n = 9  # points on a helix, even steps: along the curve they are a line
+    helix = [(k, math.cos(k / 4), math.sin(k / 4), k / 10) for k in range(n)] + [(100, 9.0, 9.0, 9.0)]
+    p = spark.createDataFrame(helix, "vid long, x double, y double, z double")
+    step = math.dist(helix[0][1:], helix[1][1:])
+    edges = spark.createDataFrame([(k + a, k + b, step) for k in range(n - 1) for a, b in ((0, 1), (1, 0))], "i long, j long, d double")
+    marks = spark.createDataFrame([(0,), (3,), (7,), (100,)], "vid long")
+    out = {r["vid"]: r["value"] for r in embed.landmark_isomap(edges, p, marks, 1, conformal).collect()}
+    assert sorted(out) == list(range(n))  # the point apart belongs to no component of theirs
+    assert abs(np.corrcoef([out[k] for k in range(n)], range(n))[0, 1]) > (0.99 if conformal else 1 - 1e-9)
+    if not conformal:
+        assert embed.landmark_isomap(edges, p, marks.where("vid = 100")).count() == 0
+
+
+def test_refine_keeps_area_and_edges(spark):
+    faces = spark.createDataFrame([(7, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 2.0, 0.0), (8, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 2.0, 0.0, 0.0)], "fid long, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double")
+    out = metrics.refine(faces, 0.25).withColumnRenamed("k", "fid").toPandas()
+    large = out[out["father_id"] == 7]
+    assert len(large) == 9 and large["fid"].is_unique and len(out) == 10
+    areas = mesh.face_area(spark.createDataFrame(large)).toPandas()["area"]
+    assert np.allclose(areas, 2 / 9)
+    assert [int(large[e].sum()) for e in ("e1", "e2", "e3")] == [3, 3, 3]
+
+
+def test_probe_spacing(spark):
+    line = spark.createDataFrame([(k, float(k), 0.0, 0.0) for k in range(10)], "vid long, x double, y double, z double")
+    got = spatial.spacing(line, uniform(F.col("vid")), 100, 2).first()
+    assert got["farthest"] == pytest.approx((8 * 1 + 2 * 2) / 10) and got["mean"] == pytest.approx((16 + 6) / 20)
+    assert spatial.spacing(line.limit(0), uniform(F.col("vid"))).first()["mean"] is None
+
+
+def test_numeric_gradient():
+    assert linalg.numeric_gradient(lambda x: float(x @ x), np.array([1.0, 2.0]), 0.5) == pytest.approx([-1.25, -2.25])
+
+
+def test_boundary_moves(spark):
+    uv = spark.createDataFrame([(0, 0.0, 0.0), (1, 2.0, 0.0), (2, 2.0, 2.0), (3, 0.0, 2.0), (4, 1.0, 1.0)], "vid long, u double, v double")
+    loops = spark.createDataFrame([(0, k, k) for k in range(4)], "loop long, pos long, vid long")
+    weights = spark.createDataFrame([(0, 4, 1.0), (4, 0, 1.0)], "i long, j long, w double")
+    assert table(embed.reconstruct_boundary(uv, weights, loops.where("vid < 2").select("vid")), "vid", "u", "v") == {0: (1.0, 1.0), 1: (0.0, 0.0), 2: (2.0, 2.0), 3: (0.0, 2.0), 4: (1.0, 1.0)}
+    assert table(embed.smooth_loops(loops, uv), "vid", "u", "v") == {0: (0.5, 0.5), 1: (1.5, 0.5), 2: (1.5, 1.5), 3: (0.5, 1.5), 4: (1.0, 1.0)}
+    space = uv.select("vid", F.col("u").alias("x"), F.col("v").alias("y"), F.lit(0.0).alias("z"))
+    assert table(embed.offset_loops(loops, space, uv), "vid", "u", "v") == table(uv, "vid", "u", "v")
