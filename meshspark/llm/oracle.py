@@ -101,3 +101,29 @@ def url_filter_sql(rules) -> str:
     cutoff AS (SELECT CASE WHEN (SELECT coalesce(min(na), 0) = 0 OR coalesce(min(nr), 0) = 0 FROM sums) THEN 0.0 ELSE (SELECT cut FROM choices ORDER BY round(cost, 11), cut LIMIT 1) / {float(U.CELLS)} END AS c)
     SELECT page_id, host, path, rule, coalesce(k.verdict, CASE WHEN ratio >= (SELECT c FROM cutoff) THEN 'allow' ELSE 'block' END) AS verdict FROM known k JOIN scored s ON s.row = k.row
     """
+
+
+def manifest_sql() -> str:
+    """Trees and proofs by recursion; crc32 of an id by its bits, since DuckDB has none."""
+    field = lambda c: f"coalesce(octet_length(encode(({c})::VARCHAR))::VARCHAR || ':' || ({c})::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "flatten(list_transform(list_filter(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: c <> ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) ELSE xor(c >> 1, (c & 1) * 3988292384) END))"
+    grown = lambda name, base: f"{name} AS ({base} UNION ALL SELECT tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 8, n)"
+    climb = """SELECT f.doc_id, f.tree, f.level + 1, f.pos // 8, any_value(f.leaf), any_value(f.subroot), any_value(f.place),
+      sha256(string_agg(CASE WHEN m.pos = f.pos THEN f.digest ELSE m.digest END, '' ORDER BY m.pos)), any_value(f.proof) || coalesce(string_agg(m.digest, '' ORDER BY m.pos) FILTER (WHERE m.pos <> f.pos), '')
+      FROM {0} f JOIN {1} m ON m.tree = f.tree AND m.level = f.level AND m.pos // 8 = f.pos // 8 AND m.n > 1 GROUP BY f.row_no, f.doc_id, f.tree, f.level, f.pos"""
+    fold = lambda name, nodes, base: f"{name} AS ({base} UNION ALL {climb.format(name, nodes).replace('SELECT f.doc_id', 'SELECT f.row_no, f.doc_id')})"
+    return f"""
+    WITH RECURSIVE leaves AS (SELECT row_number() OVER () AS row_no, doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, {leaf("text")} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} END AS tampered FROM documents),
+    places AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+    {grown("nodes", "SELECT tree, 0 AS level, pos, n, leaf AS digest FROM places")},
+    roots AS (SELECT tree, digest FROM nodes WHERE n = 1),
+    {grown("upper", "SELECT 0::BIGINT AS tree, 0 AS level, tree AS pos, count(*) OVER () AS n, digest FROM roots")},
+    {fold("low", "nodes", "SELECT row_no, doc_id, tree, 0 AS level, pos, leaf, leaf AS subroot, tree AS place, coalesce(tampered, leaf) AS digest, '' AS proof FROM places")},
+    low_ends AS (SELECT * FROM low QUALIFY level = max(level) OVER (PARTITION BY row_no)),
+    {fold("high", "upper", "SELECT l.row_no, l.doc_id, 0::BIGINT AS tree, 0 AS level, l.place AS pos, l.leaf, r.digest AS subroot, l.place, l.digest, l.proof FROM low_ends l JOIN roots r ON r.tree = l.place")},
+    ends AS (SELECT * FROM high QUALIFY level = max(level) OVER (PARTITION BY row_no))
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified FROM ends, (SELECT digest AS root FROM upper WHERE n = 1)
+    """
