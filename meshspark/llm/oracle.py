@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules as Q, url_filter as U
+from . import ibf as B, mixing, quality_rules as Q, url_filter as U
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -127,3 +127,24 @@ def manifest_sql() -> str:
     ends AS (SELECT * FROM high QUALIFY level = max(level) OVER (PARTITION BY row_no))
     SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified FROM ends, (SELECT digest AS root FROM upper WHERE n = 1)
     """
+
+
+def fingerprints_sql() -> str:
+    """Fingerprints by grouping digests into cells; likeness by plain sets, which peeling has to give back."""
+    half = f"{B.HALF - 1}"
+    mixed = lambda by: f"(((k >> 30) * {by[0]} + (k & {half}) * {by[1]} + 12345) % {B.PRIME})"
+    digests = lambda text: f"list_distinct(list_transform(regexp_extract_all({text}, '{B.PARAGRAPH}'), lambda p: ('0x' || substr(md5(p), 1, 15))::BIGINT))"
+    placed = " UNION ALL ".join(f"SELECT doc_id, which, {t * B.SIDE} + {mixed(by)} % {B.SIDE} AS cell, k, {mixed(B.CHECK)} AS c FROM keys" for t, by in enumerate(B.PLACES))
+    near = lambda b: f"CASE WHEN len(own) + len({b}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(own, {b}))::DOUBLE / len(list_distinct(list_concat(own, {b}))) END"
+    return f"""
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    pairs AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next_text, length(text) AS n_chars FROM docs),
+    edits AS (SELECT *, left(text, (n_chars - n_chars // 4)::BIGINT) || left(next_text, (n_chars // 4)::BIGINT) AS edited FROM pairs),
+    sets AS (SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {digests("text")} AS own, {digests("edited")} AS changed, {digests("next_text")} AS next FROM edits),
+    keys AS (SELECT doc_id, 'own' AS which, unnest(own) AS k FROM sets UNION ALL SELECT doc_id, 'changed', unnest(changed) FROM sets),
+    cells AS (SELECT doc_id, which, cell, count(*) AS n, bit_xor(k) AS k, bit_xor(c) AS c FROM ({placed}) GROUP BY ALL),
+    every AS (SELECT doc_id, which, unnest(range({B.TABLES * B.SIDE})) AS cell FROM sets, (VALUES ('own'), ('changed')) w(which)),
+    prints AS (SELECT doc_id, which, string_agg(format('{{:04x}}{{:015x}}{{:08x}}', coalesce(n, 0), coalesce(k, 0), coalesce(c, 0)), '' ORDER BY cell) AS p FROM every LEFT JOIN cells USING (doc_id, which, cell) GROUP BY doc_id, which)
+    SELECT s.doc_id, n_chars::BIGINT AS n_chars, edited_sha256, a.p AS fingerprint, b.p AS edited_fingerprint, {near("changed")} AS near_edited, {near("next")} AS near_next
+    FROM sets s JOIN prints a ON a.doc_id = s.doc_id AND a.which = 'own' JOIN prints b ON b.doc_id = s.doc_id AND b.which = 'changed'
+    """

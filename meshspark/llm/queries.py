@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, brown_lm, gam, merkle, mixing, oracle, packing, pii, quality_rules, simhash, token_output, url_filter
+from . import ann, brown_lm, gam, ibf, merkle, mixing, oracle, packing, pii, quality_rules, simhash, token_output, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ibf.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -79,7 +83,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_packing, op3_ann, op4_quality_classifier, op5_url_filter, op6_token_output, op7_mixing,
-        op8_brown_lm, op9_pii, op10_simhash, op12_merkle_manifest,
+        op8_brown_lm, op9_pii, op10_simhash, op11_fingerprints, op12_merkle_manifest,
     )
 }
 #: The others use XXH64, public tokenizers, boosting, exchange clustering or graph search, which SQL lacks.
@@ -87,5 +91,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": oracle.quality_rules_sql(),
     "op5_url_filter": oracle.url_filter_sql(URL_RULES),
     "op7_mixing": oracle.mixing_sql(),
+    "op11_fingerprints": oracle.fingerprints_sql(),
     "op12_merkle_manifest": oracle.manifest_sql(),
 }
