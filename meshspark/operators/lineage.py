@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of spark.checkpoint.dir and reread; a temporary folder only where that is unset."""
+    """``df`` written to the folder of spark.checkpoint.dir and reread; a temporary folder only where that is unset and the
+    session runs in one process. A cluster without the setting is an error, for its executors share no local folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints"))
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+        context.setCheckpointDir(root)
     return df.checkpoint()

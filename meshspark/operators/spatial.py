@@ -142,56 +142,207 @@ def distances(pairs: DataFrame, below: float = math.inf) -> DataFrame:
     return pairs.select(*keep, *coordinates).mapInArrow(run, f"{kinds}, d2 double, qx double, qy double, qz double")
 
 
-def _boxed(faces: DataFrame, radius: float, size: float) -> DataFrame:
-    """Faces once per grid cell that their box, widened by ``radius``, touches."""
-    low = tuple(F.least("a" + d, "b" + d, "c" + d) - radius for d in "xyz")
-    high = tuple(F.greatest("a" + d, "b" + d, "c" + d) + radius for d in "xyz")
-    boxed = faces.select("fid", *[n + d for n in "abc" for d in "xyz"], *[c.alias(f"_l{d}") for c, d in zip(low, "xyz", strict=True)], *[c.alias(f"_h{d}") for c, d in zip(high, "xyz", strict=True)])
-    cells = boxed.select("*", F.explode(_cells(V.vec("_l"), V.vec("_h"), size)).alias("_c"))
-    return cells.select("fid", *[n + d for n in "abc" for d in "xyz"], "_c.*")
+def touches(centre: np.ndarray, half: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether triangles meet cubes of half side ``half``, row by row, by the separating axes of both."""
+    corners = [p - centre for p in (a, b, c)]
+    meets = np.ones(len(centre), dtype=bool)
 
+    def apart(on: list[np.ndarray], reach: np.ndarray) -> np.ndarray:
+        return (np.minimum(np.minimum(*on[:2]), on[2]) > reach) | (np.maximum(np.maximum(*on[:2]), on[2]) < -reach)
 
-def _mean_edge(faces: DataFrame) -> float:
-    return faces.agg(F.avg(F.sqrt(V.mag2(V.sub(V.vec("b"), V.vec("a"))))).alias("edge")).first().edge or 1.0
+    for k in range(3):
+        meets &= ~apart([p[:, k] for p in corners], half)
+    edges = [corners[1] - corners[0], corners[2] - corners[1], corners[0] - corners[2]]
+    normal = np.cross(edges[0], edges[1])
+    meets &= np.abs(np.einsum("ij,ij->i", normal, corners[0])) <= half * np.abs(normal).sum(axis=1)
+    for e in edges:
+        for k in range(3):  # the cross product of the edge and an axis has no part along that axis
+            i, j = (k + 1) % 3, (k + 2) % 3
+            meets &= ~apart([p[:, i] * e[:, j] - p[:, j] * e[:, i] for p in corners], half * (np.abs(e[:, i]) + np.abs(e[:, j])))
+    return meets
+
+
+#: Cells that are tested at a time.
+CELLS = 200_000
+
+
+def cells_of(xyz: np.ndarray, size: float, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, cell) of triangles (n, 9) and the grid cells, widened by ``reach``, that they meet.
+
+    Cubes that hold a whole triangle are halved down to cells, and those it does not meet are left out on the way, so the
+    work follows the triangle's area and not its box.
+    """
+    a, b, c = xyz[:, :3], xyz[:, 3:6], xyz[:, 6:]
+    low = np.floor((np.minimum(np.minimum(a, b), c) - reach) / size).astype(np.int64)
+    high = np.floor((np.maximum(np.maximum(a, b), c) + reach) / size).astype(np.int64)
+    level = np.ceil(np.log2(np.maximum((high - low).max(axis=1), 1))).astype(np.int64)
+    steps = np.array([(x, y, z) for x in (0, 1) for y in (0, 1) for z in (0, 1)])
+
+    def met(rows: np.ndarray, cells: np.ndarray, at: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(0, len(rows), CELLS):
+            r, q = rows[k : k + CELLS], cells[k : k + CELLS]
+            side = size * 2.0**at
+            keep = touches((q + 0.5) * side, np.full(len(r), side / 2 + reach + 1e-9), a[r], b[r], c[r])
+            r, q = r[keep], q[keep]
+            if at == 0 or not len(r):
+                yield r, q
+            else:
+                yield from met(np.repeat(r, 8), (q[:, None, :] * 2 + steps).reshape(-1, 3), at - 1)
+
+    for at in np.unique(level):
+        own = np.flatnonzero(level == at)
+        first, last = low[own] >> at, high[own] >> at
+        start = (first[:, None, :] + steps).reshape(-1, 3)
+        inside = (start <= np.repeat(last, 8, axis=0)).all(axis=1)
+        yield from met(np.repeat(own, 8)[inside], start[inside], int(at))
+
+
+CORNERS = [n + d for n in "abc" for d in "xyz"]
+#: Points of a cell that one task takes; more are dealt into several blocks, each with all faces of the cell.
+BLOCK = 4096
+#: Pairs whose distances are worked out at a time.
+PAIRS = 250_000
+
+
+def _celled(faces: DataFrame, size: float, reach: float) -> DataFrame:
+    """(fid, corners, gx, gy, gz): faces once for each cell that they meet within ``reach``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xyz = np.column_stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(9)]) if batch.num_rows else np.zeros((0, 9))
+            for rows, cells in cells_of(xyz, size, reach):
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, *(pa.array(np.ascontiguousarray(cells[:, k])) for k in range(3))], names=[*batch.schema.names, "gx", "gy", "gz"])
+
+    held = faces.select("fid", *[F.col(x).cast("double").alias(x) for x in CORNERS])
+    kind = dict(faces.dtypes)["fid"]
+    return held.mapInArrow(run, f"fid {kind}, " + ", ".join(f"{x} double" for x in CORNERS) + ", gx long, gy long, gz long")
+
+
+def _met(points: DataFrame, faces: DataFrame, size: float, reach: float, nearest: bool) -> DataFrame:
+    """(vid, fid, d2, qx, qy, qz) of points and the faces of their cells.
+
+    With ``nearest``, the faces within the slack of the least squared distance of a point, if that is within ``reach``;
+    else a row without fid and d2, and with the point itself. Otherwise all faces within ``reach``.
+
+    Faces and points of a cell come after each other in one sorted stream, so a task holds one cell's faces and a batch of
+    rows, and works distances out in blocks; no pair is ever a row. Cells without points get no faces.
+    """
+    cell = ["gx", "gy", "gz"]
+    placed = points.select("vid", *[F.col(d).cast("double").alias("a" + d) for d in "xyz"], *[_cell(F.col(d), size).alias("g" + d) for d in "xyz"])
+    blocks = placed.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    many = blocks.where("blocks > 1")
+    dealt = placed.join(many, cell, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("vid"), F.col("blocks")), F.lit(0)).cast("int"))
+    near = _celled(faces, size, reach).join(blocks, cell).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = near.select(*cell, "block", F.lit(False).alias("point"), "fid", F.lit(None).cast(dict(points.dtypes)["vid"]).alias("vid"), *CORNERS)
+    rows = rows.unionByName(dealt.select(*cell, "block", F.lit(True).alias("point"), "vid", "ax", "ay", "az"), allowMissingColumns=True)
+    stream = rows.repartition(*cell, "block").sortWithinPartitions(*cell, "block", "point")
+    kinds = dict(rows.dtypes)
+    out = pa.schema([("vid", _arrow(kinds["vid"])), ("fid", _arrow(kinds["fid"])), ("d2", pa.float64()), ("qx", pa.float64()), ("qy", pa.float64()), ("qz", pa.float64())])
+
+    def told(own: pa.RecordBatch, spots: np.ndarray, count: np.ndarray, first: np.ndarray, faces: pa.Table, xyz: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Points with their faces' ranges: blocks of distances, and what is near."""
+        if nearest and (none := count == 0).any():
+            yield pa.RecordBatch.from_arrays([own.column(5).filter(pa.array(none)), pa.nulls(none.sum(), out.field("fid").type), pa.nulls(none.sum(), pa.float64()), *(pa.array(spots[none, k]) for k in range(3))], schema=out)
+        some = np.flatnonzero(count)
+        ends = np.cumsum(count[some])
+        low = 0
+        while low < len(some):
+            before = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + PAIRS, side="right")))
+            at = some[low:high]
+            n = count[at]
+            starts = np.cumsum(n) - n
+            f = np.repeat(first[at] - starts, n) + np.arange(n.sum())
+            p = np.repeat(at, n)
+            d2, q = closest(spots[p], xyz[f, :3], xyz[f, 3:6], xyz[f, 6:])
+            if nearest:
+                least = np.minimum.reduceat(d2, starts)
+                found = least <= reach * reach
+                keep = (d2 <= np.repeat(least, n) + SLACK) & np.repeat(found, n)
+                lost = at[~found]
+                yield pa.RecordBatch.from_arrays([own.column(5).take(pa.array(lost)), pa.nulls(len(lost), out.field("fid").type), pa.nulls(len(lost), pa.float64()), *(pa.array(spots[lost, k]) for k in range(3))], schema=out)
+            else:
+                keep = d2 < reach * reach + SLACK
+            yield pa.RecordBatch.from_arrays([own.column(5).take(pa.array(p[keep])), faces.column(4).take(pa.array(f[keep])).combine_chunks(), pa.array(d2[keep]), *(pa.array(q[keep, k]) for k in range(3))], schema=out)
+            low = high
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the faces of the last cell so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            point = batch.column(4).to_numpy(zero_copy_only=False)
+            columns = [0, 1, 2, 3, 5, *range(7, 16)]
+            table = pa.Table.from_batches([batch.filter(pa.array(~point)).select(columns)])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            keys = np.column_stack([table.column(k).to_numpy() for k in range(4)]).astype(np.int64) if table.num_rows else np.zeros((0, 4), dtype=np.int64)
+            new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else np.zeros(0, dtype=np.int64)
+            sizes = np.diff(np.append(new, len(keys)))
+            own = batch.filter(pa.array(point)).select([0, 1, 2, 3, 4, 6, 7, 8, 9])
+            if own.num_rows:
+                mine = np.column_stack([own.column(k).to_numpy() for k in range(4)]).astype(np.int64)
+                names = np.concatenate([keys[new], mine])
+                _, code = np.unique(names, axis=0, return_inverse=True)
+                code = code.reshape(-1)
+                count, first = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
+                count[code[: len(new)]], first[code[: len(new)]] = sizes, new
+                spots = np.column_stack([own.column(k).to_numpy() for k in (6, 7, 8)])
+                xyz = np.column_stack([table.column(5 + k).to_numpy() for k in range(9)]) if table.num_rows else np.zeros((0, 9))
+                yield from told(own, spots, count[code[len(new) :]], first[code[len(new) :]], table, xyz)
+            last = [batch.column(k)[batch.num_rows - 1].as_py() for k in range(4)]
+            held = table.slice(int(new[-1])) if len(new) and keys[new[-1]].tolist() == last else None
+
+    return stream.mapInArrow(run, f"vid {kinds['vid']}, fid {kinds['fid']}, d2 double, qx double, qy double, qz double")
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
+def _grid(points: DataFrame, faces: DataFrame) -> tuple[float, float]:
+    """(cell size, extent): as many cells' worth of surface as there are points or faces, so neither side outgrows the other."""
+    area = F.sum(V.tri_area(V.vec("a"), V.vec("b"), V.vec("c")))
+    f = faces.agg(F.count("*").alias("n"), area.alias("area"), *[F.min(F.least(*[n + d for n in "abc"])).alias("l" + d) for d in "xyz"], *[F.max(F.greatest(*[n + d for n in "abc"])).alias("h" + d) for d in "xyz"]).first()
+    p = points.agg(F.count("*").alias("n"), *[F.min(d).alias("l" + d) for d in "xyz"], *[F.max(d).alias("h" + d) for d in "xyz"]).first()
+    low = [min([x for x in (f["l" + d], p["l" + d]) if x is not None], default=0.0) for d in "xyz"]
+    high = [max([x for x in (f["h" + d], p["h" + d]) if x is not None], default=0.0) for d in "xyz"]
+    extent = max(max(h - x for x, h in zip(low, high, strict=True)), 1e-9)
+    size = math.sqrt((f.area or 0.0) / max(p.n, f.n, 1))
+    return max(size, extent / (1 << 20)), extent
 
 
 def near_triangles(points: DataFrame, faces: DataFrame, radius: float, cell: float | None = None) -> DataFrame:
     """(vid, fid, d2, qx, qy, qz): faces within ``radius`` of each point, by d2 < radius**2 + slack.
 
-    A point lies in one cell and a face stands once in each of its cells, so no pair is met twice; pairs whose boxes
-    are apart are dropped before the exact distance. ``cell`` is a third of the mean edge unless given.
+    A point lies in one cell and a face stands once in each cell that it meets within the radius, so no pair is met twice.
+    ``cell`` is chosen by the faces' area and the numbers of points and faces unless given, and not below the radius.
     """
-    size = max(radius, cell if cell is not None else _mean_edge(faces) / 3, 1e-12)
-    p = points.select("vid", *[F.col(d).alias("p" + d) for d in "xyz"], *[_cell(F.col(d), size).alias("g" + d) for d in "xyz"])
-    met = p.join(_boxed(faces, radius + 1e-9, size), ["gx", "gy", "gz"]).drop("gx", "gy", "gz")
-    for d in "xyz":
-        corners = [F.col(n + d) for n in "abc"]
-        met = met.where((F.col("p" + d) >= F.least(*corners) - (radius + 1e-9)) & (F.col("p" + d) <= F.greatest(*corners) + (radius + 1e-9)))
-    return distances(met, radius * radius + SLACK)
+    size = max(radius, cell if cell is not None else _grid(points, faces)[0], 1e-12)
+    return _met(points, faces, size, radius, nearest=False)
 
 
 def nearest_triangles(points: DataFrame, faces: DataFrame, radius: float | None = None, farthest: float = math.inf) -> DataFrame:
     """(vid, fid, d2, qx, qy, qz): for each point every face within the slack of the least squared distance.
 
-    Points with no face within the radius, at first a sixteenth of the mean edge, are tried again with three times the
-    radius, until the box of all is covered or ``farthest`` is reached; beyond that they have no row.
+    Points with no face within the radius, at first a quarter of a cell, are tried again with cells and a radius three
+    times as large, until all is covered or ``farthest`` is reached; beyond that they have no row.
     """
-    edge = _mean_edge(faces)
-    radius = radius if radius is not None else max(edge / 16, 1e-9)
-    corners = faces.select(F.explode(F.array(*[F.struct(*[F.col(n + d).alias(d) for d in "xyz"]) for n in "abc"])).alias("s")).select("s.*")
-    _, extent = _extent(points.select("x", "y", "z").unionByName(corners))
+    size, extent = _grid(points, faces)
+    radius = radius if radius is not None else size / 4
     left, done = points.select("vid", "x", "y", "z"), None
     while True:
         radius = min(radius, farthest)
-        near = near_triangles(left, faces, radius, edge / 3)
-        best = cut(near.withColumn("_least", F.min("d2").over(Window.partitionBy("vid"))).where(F.col("d2") <= F.col("_least") + SLACK).drop("_least"))
-        done = best if done is None else done.unionByName(best)
+        size = max(size, 2 * radius)
+        met = cut(_met(left, faces, size, radius, nearest=True))
+        found = met.where("fid is not null")
+        done = found if done is None else done.unionByName(found)
         if radius > extent * math.sqrt(3) + 1e-9 or radius >= farthest:
             return done
-        left = cut(left.join(best.select("vid").distinct(), "vid", "left_anti"))
+        left = met.where("fid is null").select("vid", F.col("qx").alias("x"), F.col("qy").alias("y"), F.col("qz").alias("z"))
         if left.isEmpty():
             return done
         radius *= 3
+        size *= 3
 
 
 def neighbour_weights(pairs: DataFrame, mode: str, t: float | None = None, normalise: bool = True) -> DataFrame:
@@ -199,8 +350,7 @@ def neighbour_weights(pairs: DataFrame, mode: str, t: float | None = None, norma
     tiny = 2.220446049250313e-16
     held = pairs
     if mode == "gaussian":
-        scale = F.lit(t) if t is not None else F.avg("d").over(Window.partitionBy())
-        held = pairs.withColumn("_t", scale)
+        held = pairs.withColumn("_t", F.lit(t)) if t is not None else pairs.crossJoin(F.broadcast(pairs.agg(F.avg("d").alias("_t"))))  # one row
     w = {"uniform": F.lit(1.0), "invdist": 1 / (F.col("d") + tiny), "invdist2": 1 / (F.col("d") * F.col("d") + tiny)}.get(mode)
     w = F.exp(-F.col("d") * F.col("d") / (4 * F.col("_t"))) if mode == "gaussian" else w
     out = held.select("i", "j", w.alias("w"))
