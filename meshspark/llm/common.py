@@ -77,6 +77,11 @@ def stored() -> list[str]:
     return list(_stored)
 
 
+def remember(path: str) -> None:
+    """Have a folder deleted with the stored tables, at the end of the driver."""
+    _stored.append(path)
+
+
 def drop(spark: SparkSession, paths: list[str]) -> None:
     """Delete stored tables by their places, and let the JVM forget the shuffles of frames that are gone."""
     for path in paths:
