@@ -1,8 +1,9 @@
 """The corpus pipeline: classifier, near-duplicates, personal data, mixing, packing, each stage over all its predecessor kept.
 
 A stage's rows are written as Parquet in the shared folder and reread as the next one's documents, so a lost executor
-costs at most the tasks of one stage. A run given a folder leaves its stages there, and a later run with the same folder
-begins after the last stage that was written whole; without, the stages are deleted as soon as the next one is written.
+costs at most the tasks of one stage. A run given a folder leaves its stages there, with a mark of the input's files; a
+later run with the same folder and input begins after the last stage that was written whole, and one whose input has
+changed begins anew. Without a folder the stages are deleted as soon as the next one is written, the last with the driver.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meshspark.llm import gam, mixing, packing, pii, simhash
-from meshspark.llm.common import delete, drop, exists, release, shared_root, stored, table
+from meshspark.llm.common import delete, drop, exists, remember, shared_root, stored, table
 from meshspark.llm.queries import vocabulary
 
 
@@ -72,16 +74,35 @@ STAGES = [("quality classifier", classify), ("simhash near-dedup", deduplicate),
 ORACLE_SQL = None
 
 
+def mark(spark: SparkSession, sf_dir: str) -> str:
+    """What tells a state of the input from others: names, sizes and times of its files, and the stages' names."""
+    seen = []
+    for name in ("documents", "labels"):
+        files = spark.read.format("binaryFile").load(f"{sf_dir}/{name}.parquet").select("path", "length", "modificationTime")  # not the content
+        row = files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+        seen.append("/".join(map(str, row)))
+    return "|".join([*seen, *[name for name, _ in STAGES]])
+
+
 def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """Apply all stages to the documents of ``sf_dir``, in ``folder`` of a store that all executors share."""
     docs = table(spark, sf_dir, "documents")
     place = folder or f"{shared_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    if folder is not None:
+        now, at = mark(spark, sf_dir), f"{place}/input"
+        if not exists(spark, f"{at}/_SUCCESS") or [r.value for r in spark.read.text(at).collect()] != [now]:
+            for k in range(len(STAGES)):
+                delete(spark, f"{place}/{k}")
+            spark.createDataFrame([(now,)], "value string").write.mode("overwrite").text(at)
     for k, (_, stage) in enumerate(STAGES):
         out = f"{place}/{k}"
         if not exists(spark, f"{out}/_SUCCESS"):
+            others = set(stored())
             stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
-            release(spark)  # the stage's own tables; what it returned has been written
+            drop(spark, [path for path in stored() if path not in others])  # the stage's own tables; what it returned has been written
             if k and folder is None:
                 delete(spark, f"{place}/{k - 1}")
         docs = spark.read.parquet(out)
+    if folder is None:
+        remember(place)
     return docs

@@ -82,8 +82,10 @@ def largest_component(vertices: DataFrame, edges: DataFrame, n: int = 1) -> Data
     """Vertices of the n-th largest component, equal sizes by least id."""
     labelled = cut(components(vertices, edges))
     sizes = labelled.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = sizes.withColumn("r", F.row_number().over(Window.orderBy(F.desc("size"), "component"))).where(F.col("r") == n)
-    return labelled.join(wanted.select("component"), "component", "left_semi").select("vid")
+    first = sizes.orderBy(F.desc("size"), "component").limit(n)  # n rows, kept in every task while it reads
+    wanted = first.orderBy("size", F.desc("component")).limit(1) if n > 1 else first
+    wanted = wanted.join(first.agg(F.count("*").alias("_n"))).where(F.col("_n") == n)
+    return labelled.join(F.broadcast(wanted.select("component")), "component", "left_semi").select("vid")
 
 
 def geodesic_neighbourhood(paths: DataFrame, triangles: DataFrame, cutoff: float) -> DataFrame:
