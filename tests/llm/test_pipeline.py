@@ -137,3 +137,25 @@ def test_a_run_begins_where_it_broke_off(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, fail) for n, _ in corpus_pipeline.STAGES])
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path), folder).collect())) == first
+
+
+def test_a_folder_is_not_used_for_another_input(spark, tmp_path, monkeypatch):
+    """Stages that only pass rows on, for it is the folder that is tested."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", lambda _, docs, __: docs), ("two", lambda _, docs, __: docs.where("doc_id < 100"))])
+    folder = f"file://{tmp_path}/run"
+    for name, more in (("a", 0), ("b", 1000)):
+        (tmp_path / name).mkdir()
+        rows = corpus(tmp_path / name)
+        shifted = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet").selectExpr(f"doc_id + {more} doc_id", "text", "lang", "source", "n_chars")
+        shifted.write.parquet(f"{tmp_path}/{name}2/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/{name}/labels.parquet").write.parquet(f"{tmp_path}/{name}2/labels.parquet")
+        got = {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}2", folder).collect()}
+        assert got == {r[0] + more for r in rows if r[0] + more < 100}
+
+
+def test_a_run_leaves_tables_of_other_queries(spark, tmp_path):
+    corpus(tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    lazy = mixing.mix(docs)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert lazy.count() == docs.count()
