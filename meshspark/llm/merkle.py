@@ -4,8 +4,8 @@ Nodes are materialised as rows (tree, level, at, digest). A leaf works out from
 coordinates (level, at) its proof needs, explodes them, joins the node table, and puts what it found in order: joined
 together that is its proof, folded run by run with its own digest it is the root.
 
-Below BLOCK leaves a coordinate lies in the leaf's own block, so leaves and nodes of a block meet where both were dealt
-by block, and nothing is shuffled once for each sibling. Above, a block looks up what all its leaves have in common.
+Each leaf looks up its coordinates of the LOW lowest levels. Those above are the same for all leaves of a block of
+FAN ** LOW, so blocks look them up in the same way, and blocks of blocks: no node is asked for by more rows than a block has.
 """
 
 from __future__ import annotations
@@ -17,9 +17,8 @@ from .common import quoted, store, whole_number_crc
 
 #: Nodes of a run.
 FAN, BITS = 8, 3
-#: Levels below a block's root, and its leaves.
+#: Levels below a block's root.
 LOW = 3
-BLOCK = FAN**LOW
 #: Where upper levels start when a path is put in order: after those of any tree.
 ABOVE = 64
 PLACE = (1 << 33) - 1
@@ -66,6 +65,7 @@ def placed(rows: DataFrame, *order: str) -> DataFrame:
     ranged = store(ranged.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit(PLACE)).alias("place")), "merkle-ranges")
     parts = ranged.groupBy("tree", "part").agg(F.min("place").alias("first"), F.count("*").alias("rows"))
     begins = parts.select("tree", "part", F.expr("sum(rows) over (partition by tree order by part) - rows - first").alias("shift"), F.expr("sum(rows) over (partition by tree)").alias("n"))
+    begins = begins.repartition("tree", "part")  # else all rows would be dealt by tree alone
     return ranged.join(begins, ["tree", "part"]).select(*rows.columns, (F.col("place") + F.col("shift")).alias("at"), "n")
 
 
@@ -153,18 +153,26 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     paths = paths.select(F.col("of").alias("tree"), "subroot", raised.alias("top_path"), own_coordinates(F.col("at"), F.col("n"), crown, ABOVE).alias("top_own"))
     paths = store(paths.crossJoin(F.broadcast(root)), "merkle-top-paths")  # one row
 
+    high = paths.withColumns({"block": F.lit(0).cast("long"), "high_path": F.array().cast(f"array<{ENTRY}>")})
+    for base in range((height - 1) // LOW * LOW, 0, -LOW):  # blocks of blocks first
+        end = min(base + LOW, height)
+        blocks = leaves.where(F.col("at") % FAN**base == 0).select("tree", _down(F.col("at"), F.lit(base)).alias("block"), "n")
+        found = looked_up(blocks, ["tree", "block"], ["n"], siblings(F.col("block") * FAN**base, F.col("n"), base, end), nodes(levels, base, end), ["tree"])
+        found = found.withColumn("_up", _down(F.col("block"), F.lit(LOW))).drop("n").join(high.withColumnRenamed("block", "_up"), ["tree", "_up"])
+        joined = F.concat(F.col("path").cast(f"array<{ENTRY}>"), "high_path").alias("high_path")
+        high = store(found.select("tree", "block", joined, "top_path", "top_own", "subroot", "root"), "merkle-block-paths")
+
     block = _down(F.col("at"), F.lit(LOW)).alias("block")
-    blocks = leaves.select("tree", block, "n").where(F.col("at") % BLOCK == 0)
-    higher = siblings(F.col("block") * BLOCK, F.col("n"), LOW, height) if height > LOW else F.array().cast(COORDINATES)
-    high = looked_up(blocks, ["tree", "block"], ["n"], higher, nodes(levels, min(LOW, height - 1), height), ["tree"])
-    high = store(high.join(paths, "tree").select("tree", "block", F.col("path").alias("high_path"), "top_path", "top_own", "subroot", "root"), "merkle-block-paths")
-
-    near = nodes(levels, 0, LOW)
-    near = near.select("tree", _down(F.col("at"), LOW - F.col("level")).alias("block"), "level", "at", "digest").repartition("tree", "block")
-    asking = leaves.select("doc_id", "tree", "leaf", "tampered", "at", "n", block).repartition("tree", "block")
-    low = looked_up(asking, ["tree", "block", "at"], ["doc_id", "leaf", "tampered", "n"], siblings(F.col("at"), F.col("n"), 0, min(LOW, height)), near, ["tree", "block"])
-    met = low.join(high, ["tree", "block"])
-    whole = F.concat("path", "high_path", "top_path").cast(f"array<{ENTRY}>")
-    met = met.select("doc_id", "leaf", "tampered", "subroot", "root", whole.alias("path"), F.concat(own_coordinates(F.col("at"), F.col("n"), height), "top_own").cast(f"array<{ENTRY}>").alias("own"))
+    near = nodes(levels, 0, LOW).select("tree", "level", F.col("at").alias("_at"), F.unhex("digest").alias("digest"))
+    asked = leaves.select("tree", block, "at", F.explode(siblings(F.col("at"), F.col("n"), 0, min(LOW, height))).alias("c")).select("tree", "block", "at", "c.level", F.col("c.at").alias("_at"))
+    entry, own = F.struct("level", F.col("_at").alias("at"), "digest"), F.struct("doc_id", "leaf", "tampered", "n")
+    answers = asked.join(near.hint("merge"), ["tree", "level", "_at"]).select("tree", "block", "at", entry.alias("entry"))
+    rows = answers.unionByName(leaves.select("tree", block, "at", own.alias("own")), allowMissingColumns=True).repartition("tree", "block")
+    low = rows.groupBy("tree", "block", "at").agg(F.first("own", ignorenulls=True).alias("own"), F.sort_array(F.collect_list("entry")).alias("path"))
+    met = low.join(high.hint("merge"), ["tree", "block"]).select("own.*", "at", "subroot", "root", "path", "high_path", "top_path", "top_own")
+    hexed = F.transform("path", lambda e: F.struct(e.level.alias("level"), e.at.alias("at"), F.lower(F.hex(e.digest)).alias("digest")))
+    whole = F.concat(hexed.cast(f"array<{ENTRY}>"), F.col("high_path"), F.col("top_path").cast(f"array<{ENTRY}>"))
+    own = F.concat(own_coordinates(F.col("at"), F.col("n"), height).cast(f"array<{ENTRY}>"), F.col("top_own").cast(f"array<{ENTRY}>"))
+    met = met.select("doc_id", "leaf", "tampered", "subroot", "root", whole.alias("path"), own.alias("own"))
     proved = met.select("doc_id", "leaf", "subroot", "root", _digest(F.array_join(F.col("path.digest"), "")).alias("proof_sha256"), folded(F.coalesce("tampered", "leaf"), F.col("path"), F.col("own")).alias("folded_root"))
     return proved.select("*", (F.col("folded_root") == F.col("root")).alias("verified"))
