@@ -177,8 +177,12 @@ def written(cells: Column) -> Column:
 
 
 def ranges(keys: DataFrame) -> DataFrame:
-    """(one row) ``low``: the least key of each range that Spark's range partitioning makes of (doc_id, hash), ascending."""
-    dealt = keys.repartitionByRange("doc_id", "hash").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("doc_id", "hash")).alias("low"))
+    """(one row) ``low``: the least key of each range that Spark's range partitioning makes of (doc_id, hash), ascending.
+
+    Four for each shuffle partition, whatever the size of the keys, for it is texts that are dealt by them.
+    """
+    n = 4 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keys.repartitionByRange(n, "doc_id", "hash").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("doc_id", "hash")).alias("low"))
     return dealt.agg(F.sort_array(F.collect_list("low")).alias("low"))
 
 
