@@ -140,8 +140,10 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     leaves = store(placed(leaves, "doc_id", "leaf"), "merkle-places")
     levels = grown(leaves.withColumnRenamed("leaf", "digest"))
     height = len(levels)
-    roots = nodes(levels, 0, height).join(leaves.groupBy("tree").agg(F.max("n").alias("leaves")), "tree")
-    roots = store(roots.where(_size_at(F.col("leaves"), F.col("level")) == 1).where("level = 0 or at = 0").select("tree", "digest", "leaves"), "merkle-roots")
+    roots = levels[0].where("n = 1").select("tree", "digest")  # a tree ends at the level at which it has one node
+    for level in levels[1:]:
+        roots = roots.unionByName(level.where("n = 1").select("tree", "digest"))
+    roots = store(roots, "merkle-roots")
     tops = store(placed(roots.select(F.lit("").alias("tree"), F.col("tree").alias("of"), "digest"), "of"), "merkle-tops")
     upper = grown(tops)
     crown = len(upper)
