@@ -91,11 +91,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def secret_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Runs that look machine-made and lie outside all spans of the base."""
-    out = []
+    """Runs that look machine-made and lie outside all spans of the base, which are walked once beside the runs."""
+    out, at, end = [], 0, 0
+    taken = sorted((a, b) for _, a, b in base)
     for m in _LONG.finditer(text) if _MIXED(text) else ():
         a, b = m.span()
-        if sum(1 for _ in _CHANGES.finditer(m[0])) >= LEAST_CHANGES and not any(x < b and a < y for _, x, y in base):
+        while at < len(taken) and taken[at][0] < b:
+            end = max(end, taken[at][1])
+            at += 1
+        if end <= a and sum(1 for _ in _CHANGES.finditer(m[0])) >= LEAST_CHANGES:
             out.append((SECRET, a, b))
     return out
 
@@ -294,20 +298,36 @@ def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text", c
     return terms.join(sums, "t")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """(e, t): the hashes of the pairs of an entity and a term that discloses too much of it."""
+def disclosing_classes(docs: DataFrame, found: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((e, c, entity_df): entities and their classes, (c, t): the classes and terms that disclose too much of them).
+
+    Entities that the same texts hold have the same counts with every term, so they are one class: a text with very many
+    addresses brings as many classes as there are different sets of texts that share them, not a row for each address and
+    term. A pair counts for something only in two texts at least, one of which is not the longest that holds the class;
+    so pairs come from the others, and those found are looked up in the longest.
+    """
     seen = store(found.groupBy("copy").agg(F.count("*").alias("rows")), "copies")
     n_docs = float(max(1, seen.count()))
     hashes = lambda column: F.array_distinct(F.transform(column, lambda x: F.xxhash64(x)))
     holding = found.where(F.size("entities") > 0).select("copy", hashes("entities").alias("entities"), hashes(F.transform("terms", lambda t: t.term)).alias("terms")).dropDuplicates(["copy"])
     holding = store(holding, "holding")
     # an entity or a term in one text alone tells nothing: whatever stands there may do so by chance
-    each = holding.select("copy", F.explode("entities").alias("e"))
-    entities = store(each.groupBy("e").agg(F.count("*").alias("entity_df")).where("entity_df > 1"), "entities")
-    of = join_hot(each, entities, "e", "entity_df", each.count()).groupBy("copy").agg(F.collect_list("e").alias("recurring"))
-    pairs = holding.join(of, "copy").select(F.explode("recurring").alias("e"), "terms").select("e", F.explode("terms").alias("t"))
-    both = store(pairs.groupBy("e", "t").agg(F.count("*").alias("both")), "both")
-    bound = float(np.log(CHANCE / max(1, both.count())))
+    each = holding.select("copy", F.size("terms").cast("long").alias("n_terms"), F.explode("entities").alias("e"))
+    mixed = F.xxhash64("copy", F.lit(1))
+    texts = F.xxhash64(F.count("*"), F.sum(F.xxhash64("copy").cast("decimal(38,0)")), F.bit_xor(mixed))  # of the set of texts, of one size at any number
+    longest = F.max(F.struct("n_terms", "copy"))
+    entities = each.groupBy("e").agg(F.count("*").alias("entity_df"), texts.alias("c"), longest.alias("longest")).where("entity_df > 1")
+    entities = store(entities.select("e", "entity_df", "c", F.col("longest.copy").alias("longest"), F.col("longest.n_terms").alias("most")), "entities")
+    classes = store(entities.groupBy("c").agg(F.first("entity_df").alias("entity_df"), F.first("longest").alias("longest"), F.first("most").alias("most"), F.count("*").alias("members")), "classes")
+    of = join_hot(each.drop("n_terms"), entities, "e", "entity_df", each.count()).where("copy <> longest").groupBy("copy").agg(F.collect_set("c").alias("recurring"))
+    pairs = holding.join(of, "copy").select(F.explode("recurring").alias("c"), "terms").select("c", F.explode("terms").alias("t"))
+    others = pairs.groupBy("c", "t").agg(F.count("*").alias("others")).join(classes, "c")
+    long = holding.join(classes.select(F.col("longest").alias("copy")).distinct(), "copy").select(F.col("copy").alias("longest"), F.explode("terms").alias("t"), F.lit(1).alias("more"))
+    both = store(others.join(long, ["longest", "t"], "left").select("c", "t", "members", "entity_df", (F.col("others") + F.coalesce("more", F.lit(0))).alias("both"), F.isnull("more").alias("apart")), "both")
+    # all pairs of an entity and a term: those of its longest text, and those found in the others alone
+    elsewhere = both.where("apart").agg(F.sum("members").alias("n")).first().n or 0
+    looked_at = elsewhere + (classes.agg(F.sum(F.col("members") * F.col("most")).alias("n")).first().n or 0)
+    bound = float(np.log(CHANCE / max(1, looked_at)))
     xlogx = lambda x: x * F.log(F.greatest(x, F.lit(1)))
     e, b = F.col("entity_df"), F.col("both")
     ways = xlogx(e) - xlogx(b) - xlogx(e - b)  # at least the logarithm of the ways to choose the texts
@@ -316,7 +336,7 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
     # a term is in as many texts at least as in those that hold an entity, and as in any part of all texts; what these
     # bounds leave is few, and is counted in all texts
     least = holding.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    more = both.where("both > 1").join(entities, "e").where(ways + b * F.log(b / n_docs) <= bound)
+    more = both.where("both > 1").where(ways + b * F.log(b / n_docs) <= bound).select("c", "t", "entity_df", "both")
     apart = store(more.join(least, "t").where(enough).drop("df"), "apart")
     repeated = seen.where("rows > 1")
     for part in PARTS:
@@ -324,33 +344,79 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
         fewer = document_counts(some, apart.select("t").distinct(), text_col, repeated)
         apart = store(apart.join(fewer, "t", "left").where(F.col("df").isNull() | enough).drop("df"), "apart")
     counts = document_counts(docs, apart.select("t").distinct(), text_col, repeated)
-    return apart.join(counts, "t").where(enough).select("e", "t")
+    return entities.select("e", "c", "entity_df"), apart.join(counts, "t").where(enough).select("c", "t")
+
+
+def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+    """(e, t): the hashes of the pairs of an entity and a term that discloses too much of it."""
+    entities, pairs = disclosing_classes(docs, found, text_col)
+    return entities.join(pairs, "c").select("e", "t")
+
+
+#: Pairs of a class and a term that a worker looks up in the filter at a time.
+LOOKED_UP = 1 << 20
 
 
 def term_spans(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """(task, at, terms): the spans that the method adds, in order; only rows that have some."""
-    pairs = store(disclosing(docs, found, text_col), "pairs")
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(pairs.select("e", "t")))
+    """(task, at, terms): the spans that the method adds, in order; only rows that have some.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, dtype=np.uint8)
+    A text's entities and terms are first cut down to those in any disclosing pair, then its entities to their classes;
+    what is left is looked up in blocks, so a text with very many of both takes no more memory than others.
+    """
+    entities, pairs = disclosing_classes(docs, found, text_col)
+    pairs = store(pairs, "pairs")
+    members = store(entities.join(pairs.select("c").distinct(), "c"), "members")
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(_filter(keys) for keys in (members.select("e"), pairs.select("t"), pairs.select("c", "t"))))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [np.frombuffer(x, dtype=np.uint8) for x in shared.value[:2]]
+        for batch in batches:
+            rows, kept = [], ([], [])
+            for k, lists in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                some = [np.unique(x.values.to_numpy()) for x in lists]
+                some = [x[_passes(own, _slots(x))] for own, x in zip(bits, some, strict=True)]
+                if len(some[0]) and len(some[1]):
+                    rows.append(k)
+                    for column, values in zip(kept, some, strict=True):
+                        column.append(values)
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c) if c else [], pa.int64())) for c in kept]
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *lists], names=["task", "at", "e", "t"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value[2], dtype=np.uint8)
+        for batch in batches:
+            for task, at, classes, terms in zip(*batch.columns, strict=True):
+                c, t = classes.values.to_numpy(), terms.values.to_numpy()
+                step = max(1, LOOKED_UP // len(t))
+                for low in range(0, len(c), step):
+                    a, b = np.nonzero(_passes(bits, _slots(c[low : low + step, None], t[None, :])))
+                    columns = [pa.repeat(task, len(a)), pa.repeat(at, len(a)), pa.array(c[low + a]), pa.array(t[b])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["task", "at", "c", "t"])
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list[np.ndarray]] = [[], [], []]
-            for k, (entities, terms) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                e, t = entities.values.to_numpy(), np.unique(terms.values.to_numpy())
-                a, b = np.nonzero(_passes(bits, _slots(e[:, None], t[None, :])))
-                for column, values in zip(rows, (np.full(len(a), k), e[a], t[b]), strict=True):
-                    column.append(values)
-            at, e, t = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(e), pa.array(t)], names=["task", "at", "e", "t"])
+            ends, columns = [0], ([], [])
+            for row in zip(*batch.columns[2:], strict=True):
+                t, asked, start, end = (x.values.to_numpy() for x in row)
+                hit = np.isin(t, asked)
+                ends.append(ends[-1] + int(hit.sum()))
+                for column, values in zip(columns, (start, end), strict=True):
+                    column.append(values[hit])
+            first, last = (pa.array(np.concatenate(c) if c else [], pa.int64()) for c in columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _structs(ends, kind=pa.array([TERM] * ends[-1], pa.string()), start=first, end=last)], names=["task", "at", "terms"])
 
     holding = found.where(F.size("entities") > 0)
     hashes = lambda column: F.transform(column, lambda x: F.xxhash64(x))
-    met = holding.select("task", "at", hashes("entities").alias("e"), hashes(F.transform("terms", lambda t: t.term)).alias("t")).mapInArrow(run, "task long, at long, e long, t long")
-    asked = met.join(pairs, ["e", "t"]).groupBy("task", "at").agg(F.collect_set("t").alias("asked"))
-    hits = F.filter("terms", lambda t: F.array_contains("asked", F.xxhash64(t.term)))
-    spans = F.array_sort(F.transform(hits, lambda t: F.struct(F.lit(TERM).alias("kind"), t.start.alias("start"), t.end.alias("end"))))
-    return holding.select("task", "at", "terms").join(asked, ["task", "at"]).select("task", "at", spans.alias("terms"))
+    words = hashes(F.transform("terms", lambda t: t.term)).alias("t")
+    met = store(holding.select("task", "at", hashes("entities").alias("e"), words).mapInArrow(sift, "task long, at long, e array<long>, t array<long>"), "met")
+    each = met.select("task", "at", F.explode("e").alias("e"))
+    classed = join_hot(each, members, "e", "entity_df", each.count()).groupBy("task", "at").agg(F.collect_set("c").alias("c"))
+    near = classed.join(met.select("task", "at", "t"), ["task", "at"]).select("task", "at", "c", "t").mapInArrow(meet, "task long, at long, c long, t long")
+    asked = near.join(pairs, ["c", "t"]).groupBy("task", "at").agg(F.collect_set("t").alias("asked"))
+    hits = holding.select("task", "at", "terms").join(asked, ["task", "at"])
+    places = [F.transform("terms", lambda t: t.start).alias("first"), F.transform("terms", lambda t: t.end).alias("last")]
+    return hits.select("task", "at", words, "asked", *places).mapInArrow(spans, f"task long, at long, terms array<{SPAN}>")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -177,3 +177,31 @@ def test_secrets_and_classes():
     assert [text[a:b] for _, a, b in pii.secret_spans(text, own)] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962", "b7db7aa4a5fcc78305"]
     assert pii.replace("Ann 12b me", [(pii.TERM, 0, 3), (pii.TERM, 4, 7), (pii.TERM, 8, 10)]) == "<NAME> <NUMBER> <WORD>"
     assert pii.entities_of("ip", "1.2.3.4") == ("ip 1.2.3.4", "ip part 1.2.3.", "ip") and pii.entities_of("email", "A@B.c")[1] == "email part @b.c"
+
+
+def test_long_texts_with_very_many_entities(spark):
+    """Addresses that two long texts share are one class: as many pairs as terms, and all term spans are found."""
+    rng = random.Random(5)
+    shared = [f"user{k}@host{k % 97}.example" for k in range(3000)]
+    long = " ".join(f"{a} w{rng.randrange(4000)} v{rng.randrange(4000)}" for a in shared)
+    other = " ".join(f"{a} u{rng.randrange(4000)}" for a in shared[:2000])
+    rows = [(0, long), (1, other)] + [(10 + k, f"write to ann@site.example about zebra{'' if k % 2 else 's'} {k}") for k in range(8)] + [(100 + k, f"plain words {k} and {k + 1}") for k in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = frame.select("doc_id", F.lit(0).cast("long").alias("task"), "text").repartition(1).mapInArrow(pii._find, pii.FOUND)
+    entities, _ = pii.disclosing_classes(frame, found)
+    assert entities.count() > 2000
+    assert entities.select("c").distinct().count() < 10
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == pii.TERM] for r in pii.find(frame).collect()}
+    texts = dict(rows)
+    assert all(texts[k][a:b] for k in spans for a, b in spans[k])
+    assert {texts[k][a:b] for k in range(10, 18) for a, b in spans[k]} == {"zebra", "zebras", "write", "to", "about"}
+    assert not spans[0] and not spans[1] and not any(spans[k] for k in range(100, 3100))
+
+
+def test_secrets_are_those_outside_all_spans():
+    rng = random.Random(8)
+    for _ in range(50):
+        text = " ".join(rng.choice(["a1b2c3d4e5f6g7h8", "x9y8z7w6v5u4t3s2@b.example", "+49 30 1234 5678", "words", "10.1.2.3"]) for _ in range(40))
+        own = pii.base_spans(text)
+        apart = [m.span() for m in re.finditer("[A-Za-z0-9+/_-]{16,}+", text) if not any(x < m.end() and m.start() < y for _, x, y in own)]
+        assert [(a, b) for _, a, b in pii.secret_spans(text, own)] == [s for s in apart if re.search("[0-9][A-Za-z]", text[slice(*s)])]
