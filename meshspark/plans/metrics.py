@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, mesh, metrics as M, sampling, spatial, spc
+from ..functions import vec as V
+from ..operators import delaunay, graph, mesh, metrics as M, sampling, spatial, spc
 from . import graphs  # noqa: F401  its SQL tables are used here
 from .bindings import grid, points, uniform, uniform_sql
 from .registry import TABLES, query, sql_table
@@ -156,3 +157,25 @@ def refine_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     out = M.refine(mesh.gather(grid(p), p), 0.004)
     return out.select("father_id", "k", *[F.round(c + d, 6).alias(c + d) for c in "abc" for d in "xyz"], "e1", "e2", "e3")
+
+
+MOST_AREA = 0.004
+_PIECES = ", ".join(
+    f"greatest(1, ceil(sqrt({' + '.join(f'(\"{b}{d}\" - \"{a}{d}\")^2' for d in 'xyz')}) / (2*sqrt({MOST_AREA}/sqrt(3.0::DOUBLE)))))::BIGINT AS n{k}" for k, (a, b) in enumerate(("ab", "bc", "ca"), 1)
+)
+
+
+@query()
+def refine_delaunay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's faces cut into Delaunay ones of at most MOST_AREA, without hanging vertices."""
+    p = points(spark, sf_dir)
+    return delaunay.refine(mesh.gather(grid(p), p), MOST_AREA)
+
+
+@query(f"SELECT fid AS father_id, {_PIECES}, round(area, 6) AS area, TRUE AS fits FROM face_geo", "face_geo")
+def refine_delaunay_fathers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the refinement makes of each face: pieces of its sides, the children's total area, and whether all are small enough."""
+    area = V.tri_area(V.vec("a"), V.vec("b"), V.vec("c"))
+    children = refine_delaunay(spark, sf_dir)
+    pieces = [F.sum(F.col(f"e{k}").cast("long")).alias(f"n{k}") for k in (1, 2, 3)]
+    return children.groupBy("father_id").agg(*pieces, F.round(F.sum(area), 6).alias("area"), (F.max(area) <= MOST_AREA * (1 + 1e-6)).alias("fits"))
