@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import renumber
@@ -275,15 +275,19 @@ def permutation_limits_joint(obs: DataFrame, m0: int, kmax: int, permutations: i
     return obs.select("sim_id", "t", "feature_id", "value", "value2").groupBy("sim_id").applyInPandas(one, "sim_id int, t int, stat int, t_stat double, lo double, hi double, acceptance double")
 
 
-def simulate(spark: SparkSession, normal: Callable[[Column, int], Column], sims: int = 10, parts: int = 150, in_control: int = 100, features: int = 20, shift: float = 1.0) -> DataFrame:
-    """(sim_id, t, feature_id, value, value2): simulations of ``parts`` parts, shifted by ``shift`` after ``in_control``.
+def simulate(vertices: DataFrame, normal: Callable[[Column, int], Column], sims: int = 5, parts: int = 30, in_control: int = 20, sd: float = 0.05, shift: float = 0.1) -> DataFrame:
+    """(sim_id, t, vid, x, y, z, d): scanned parts of a nominal mesh, ``sims`` simulations of ``parts`` each.
 
-    Parts are numbered through all simulations, so a simulation is (k - 1) div parts. ``normal`` maps an integer key and a
-    stream to a standard normal column, and so the run can be replayed.
+    Every vertex (vid, a whole number from 0; x, y, z) of every part is moved by Gaussian noise of ``sd``, and after
+    ``in_control`` parts by ``shift`` along z, the defect; d is how far it lies from its nominal place. ``normal`` maps an
+    integer key and a stream to a standard normal column, so a run can be replayed. Rows are made where the vertices lie,
+    without a shuffle; null coordinates stay null.
     """
-    k = spark.range(sims * parts).select((F.col("id") + 1).alias("k"))
-    row = k.select(F.floor((F.col("k") - 1) / parts).cast("int").alias("sim_id"), ((F.col("k") - 1) % parts + 1).cast("int").alias("t"), "k")
-    wide = row.select("*", F.explode(F.sequence(F.lit(0), F.lit(features - 1))).alias("feature_id"))
-    key = F.col("k") * features + F.col("feature_id")
-    moved = F.when(F.col("t") > in_control, F.lit(shift)).otherwise(0.0)
-    return wide.select("sim_id", "t", "feature_id", (normal(key, 0) + moved).alias("value"), (normal(key, 2) + moved).alias("value2"))
+    every = vertices.select("vid", *[F.col(c).alias("n" + c) for c in "xyz"], F.explode(F.sequence(F.lit(0), F.lit(sims * parts - 1))).alias("k"))
+    t = F.col("k") % parts + 1
+    key = F.col("vid") * (sims * parts) + F.col("k")
+    defect = F.when(t > in_control, F.lit(shift)).otherwise(0.0)
+    moves = [(sd * normal(key, 2 * n) + (defect if c == "z" else F.lit(0.0))).alias("m" + c) for n, c in enumerate("xyz")]
+    held = every.select("vid", F.floor(F.col("k") / parts).cast("int").alias("sim_id"), t.cast("int").alias("t"), "nx", "ny", "nz", *moves)
+    d = F.sqrt(sum((F.col("m" + c) * F.col("m" + c) for c in "yz"), F.col("mx") * F.col("mx")))
+    return held.select("sim_id", "t", "vid", *[(F.col("n" + c) + F.col("m" + c)).alias(c) for c in "xyz"], d.alias("d"))

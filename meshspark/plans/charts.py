@@ -105,9 +105,10 @@ def order_stat_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spc.order_statistic_limit(rows, ["k"]).select("k", F.round("limit", 4).alias("limit"))
 
 
-@query("SELECT t::INT AS n, least(t - 20, 10)::INT AS win, round((1-pow(0.99,least(t-20,10)))/0.01*(t+1)/2, 8) AS mean, round(sqrt((1-pow(0.9801,least(t-20,10)))/(1-0.9801)*(t*t-1)/12 - (pow((1-pow(0.99,least(t-20,10)))/0.01, 2) - (1-pow(0.9801,least(t-20,10)))/(1-0.9801))*(t+1)/12), 8) AS sd FROM range(21, 71) r(t)")
+@query("SELECT t::INT AS n, least(t - 20, 10)::INT AS win, round((1-pow(0.99,least(t-20,10)))/0.01*(t+1)/2, 8) AS mean, round(sqrt((1-pow(0.9801,least(t-20,10)))/(1-0.9801)*(t*t-1)/12 - (pow((1-pow(0.99,least(t-20,10)))/0.01, 2) - (1-pow(0.9801,least(t-20,10)))/(1-0.9801))*(t+1)/12), 8) AS sd FROM (SELECT DISTINCT t::BIGINT AS t FROM obs WHERE t > 20)", "obs")
 def rank_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.range(21, 71).select(F.col("id").cast("int").alias("n")).withColumn("win", F.least(F.col("n") - 20, F.lit(10)))
+    """Moments of the weighted rank sum at every charted day of the events."""
+    t = daily(spark, sf_dir).where(F.col("t") > M0).select(F.col("t").alias("n")).distinct().withColumn("win", F.least(F.col("n") - M0, F.lit(KMAX)))
     mean, sd = spc.rank_moments(F.col("n").cast("double"), F.col("win"))
     return t.select("n", "win", F.round(mean, 8).alias("mean"), F.round(sd, 8).alias("sd"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,23 +127,31 @@ def rigid_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.rigid_motion(points(spark, sf_dir), (0.1, -0.2, 0.3), (1.0, -2.0, 0.5)).select("vid", *[F.round(d, 6).alias(d) for d in "xyz"])
 
 
-@query(f"SELECT r AS vid, round((r % 16)/15.0 + 0.5*({uniform_sql('r', 0)} - 0.5)/15, 7) AS x, round(floor(r/16)/15.0 + 0.5*({uniform_sql('r', 1)} - 0.5)/15, 7) AS y, 0.0::DOUBLE AS z FROM range(256) t(r)")
-def generated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.grid_points(16, spark, 0.5, uniform).select("vid", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"), "z")
+sql_table("side", "SELECT ceil(sqrt(count(*)))::BIGINT AS n FROM embeddings")
+sql_table("cell_of", "SELECT n, unnest(range(0, n*n)) AS r FROM side", "side")
 
 
-_PART = "(k * 20 + feature_id)"
+@query(f"SELECT r AS vid, round((r % n)/(n-1.0::DOUBLE) + 0.5*({uniform_sql('r', 0)} - 0.5)/(n-1), 7) AS x, round(floor(r/n)/(n-1.0::DOUBLE) + 0.5*({uniform_sql('r', 1)} - 0.5)/(n-1), 7) AS y, 0.0::DOUBLE AS z FROM cell_of", "cell_of")
+def generated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A jittered grid of as many points as there are given ones, up to a whole row."""
+    n = math.ceil(math.sqrt(points(spark, sf_dir).count()))
+    return sampling.grid_points(n, spark, 0.5, uniform).select("vid", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"), "z")
 
 
-@query(
-    f"""SELECT ((k - 1) // 150)::INT AS sim_id, ((k - 1) % 150 + 1)::INT AS t, feature_id::INT AS feature_id, round({_GAUSS.format(uniform_sql(_PART, 0), uniform_sql(_PART, 1))} + moved, 6) AS value,
-    round({_GAUSS.format(uniform_sql(_PART, 2), uniform_sql(_PART, 3))} + moved, 6) AS value2
-    FROM (SELECT k, feature_id, CASE WHEN (k - 1) % 150 + 1 > 100 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS moved FROM range(1, 1501) a(k), range(0, 20) b(feature_id))"""
+_PART = "(vid * 150 + k)"
+sql_table(
+    "scans",
+    "SELECT vid, k // 30 AS sim_id, k % 30 + 1 AS t, " + ", ".join(f"0.05*{_GAUSS.format(uniform_sql(_PART, 2 * n), uniform_sql(_PART, 2 * n + 1))}" + (" + CASE WHEN k % 30 + 1 > 20 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END" if d == "z" else "") + f" AS m{d}" for n, d in enumerate("xyz")) + " FROM pts, range(0, 150) r(k)",
+    "pts",
 )
+
+
+@query("SELECT sim_id::INT AS sim_id, t::INT AS t, (vid % 20)::BIGINT AS feature_id, round(avg(sqrt(mx*mx + my*my + mz*mz)), 6) AS value, round(max(sqrt(mx*mx + my*my + mz*mz)), 6) AS value2 FROM scans GROUP BY ALL", "scans")
 def simulated_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten simulations of 150 parts, the last 50 of each shifted."""
-    held = spc.simulate(spark, lambda key, stream: sampling.normal(uniform, key, stream))
-    return held.select("sim_id", "t", "feature_id", F.round("value", 6).alias("value"), F.round("value2", 6).alias("value2"))
+    """Five simulations of 30 scans of the given points, the last 10 of each with a defect: deviations by feature."""
+    held = spc.simulate(points(spark, sf_dir), lambda key, stream: sampling.normal(uniform, key, stream))
+    of = held.groupBy("sim_id", "t", (F.col("vid") % 20).alias("feature_id"))
+    return of.agg(F.round(F.avg("d"), 6).alias("value"), F.round(F.max("d"), 6).alias("value2"))
 
 
 sql_table("cut_n", "SELECT *, greatest(1, ceil(sqrt(area/0.004)))::BIGINT AS n FROM face_geo", "face_geo")

@@ -387,3 +387,16 @@ def test_boundary_moves(spark):
     assert table(embed.smooth_loops(loops, uv), "vid", "u", "v") == {0: (0.5, 0.5), 1: (1.5, 0.5), 2: (1.5, 1.5), 3: (0.5, 1.5), 4: (1.0, 1.0)}
     space = uv.select("vid", F.col("u").alias("x"), F.col("v").alias("y"), F.lit(0.0).alias("z"))
     assert table(embed.offset_loops(loops, space, uv), "vid", "u", "v") == table(uv, "vid", "u", "v")
+
+
+def test_simulated_parts_move_by_noise_and_defect(spark):
+    given = spark.createDataFrame([(k, float(k), 0.0, 1.0) for k in range(200)] + [(200, None, 0.0, 0.0)], "vid long, x double, y double, z double")
+    out = spc.simulate(given, lambda key, stream: sampling.normal(uniform, key, stream), 2, 6, 4, 0.1, 3.0).toPandas()
+    assert len(out) == 201 * 12 and out["x"].isna().sum() == 12
+    out = out[out["vid"] < 200]
+    assert sorted(out["t"].unique()) == [1, 2, 3, 4, 5, 6] and sorted(out["sim_id"].unique()) == [0, 1]
+    calm, moved = out[out["t"] <= 4], out[out["t"] > 4]
+    assert abs((calm["x"] - calm["vid"]).std() - 0.1) < 0.01 and abs(calm["z"].mean() - 1) < 0.01 and abs(moved["z"].mean() - 4) < 0.02
+    off = (out["x"] - out["vid"]) ** 2 + out["y"] ** 2 + (out["z"] - 1) ** 2
+    assert np.allclose(np.sqrt(off), out["d"])
+    assert spc.simulate(given.limit(0), lambda key, stream: sampling.normal(uniform, key, stream)).count() == 0
