@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec as V
 from . import fem, graph, mesh, spatial
-from .linalg import Index, gathered, minimise, solve, symmetric_eigen
+from .linalg import Index, gathered, lowest_eigenpairs, minimise, solve, symmetric_eigen
 from .lineage import cut
 
 UV = "vid long, u double, v double"
@@ -181,6 +181,20 @@ def laplacian_eigenmaps(weights: DataFrame, dims: int = 2) -> DataFrame:
 COORDINATES = "vid long, d int, value double"
 
 
+def eigenmaps_by_rounds(weights: DataFrame, dims: int = 2, tolerance: float = 1e-3, most_rounds: int = 1000) -> DataFrame:
+    """As ``laplacian_eigenmaps`` for any number of vertices, all of which have a positive degree: by block rounds of
+    joins. Each vector's largest entry is positive, as there. An empty table gives no rows."""
+    degree = weights.groupBy("i").agg(F.sum("w").alias("w"))
+    mass = degree.select("i", F.col("i").alias("j"), "w")
+    values, vectors = lowest_eigenpairs(mass.unionByName(weights.select("i", "j", (-F.col("w")).alias("w"))), mass, dims, tolerance, most_rounds)
+    if len(values) < 2:
+        return vectors.select("vid", F.lit(1).alias("d"), F.lit(0.0).alias("value")).where("false")
+    each = [F.struct(F.lit(d).alias("d"), F.col(f"u{d}").alias("value")) for d in range(1, len(values))]
+    flat = vectors.select("vid", F.explode(F.array(*each)).alias("x")).select("vid", "x.*")
+    top = flat.groupBy("d").agg(F.max_by("value", F.struct(F.abs("value"), F.col("vid"))).alias("top"))
+    return flat.join(F.broadcast(top), "d").select("vid", "d", (F.col("value") * F.when(F.col("top") < 0, -1.0).otherwise(1.0)).alias("value"))
+
+
 def _long(ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"vid": np.repeat(ids, x.shape[1]), "d": np.tile(np.arange(1, x.shape[1] + 1, dtype=np.int32), len(ids)), "value": x.reshape(-1)})
 

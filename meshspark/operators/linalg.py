@@ -1,7 +1,7 @@
 """Solves and eigenproblems over sparse operators (i, j, w) and vectors (vid, u).
 
-Dense ones gather their tables in one task and refuse more than MOST unknowns; ``conjugate_gradient`` has no such bound,
-as every step is a join and an aggregation.
+Dense ones gather their tables in one task and refuse more than MOST unknowns; ``conjugate_gradient`` and
+``lowest_eigenpairs`` have no such bound, as every step is a join and an aggregation.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,6 +126,116 @@ def conjugate_gradient(operator: DataFrame, rhs: DataFrame, tolerance: float = 1
     return state.select("vid", F.col("x").alias("u"))
 
 
+def _columns(name: str, m: int) -> list[str]:
+    return [f"{name}{k}" for k in range(m)]
+
+
+def _matrix(batch: pa.RecordBatch, name: str, m: int) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _columns(name, m)])
+
+
+#: Blocks of columns of a row in ``lowest_eigenpairs``: iterate, residual and direction, and what both operators make of them.
+BLOCKS = tuple(a + b for a in ("x", "w", "p") for b in ("", "k", "m"))
+#: A direction whose share in the Gram matrix is less than this is a combination of the others.
+DEPENDENT = 1e-12
+
+
+def _grams(rows: DataFrame, m: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """S'KS, S'MS of S = [x w p], and the squared residual of each column under the lumped mass: sums of a size by m alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(18 * m * m + m)
+        for batch in batches:
+            s, k, n = (np.column_stack([_matrix(batch, a + b, m) for a in "xwp"]) for b in ("", "k", "m"))
+            left = k[:, :m] - n[:, :m] * values
+            mass = batch.column("dm").to_numpy(zero_copy_only=False)
+            total += np.concatenate([(s.T @ k).ravel(), (s.T @ n).ravel(), (left * left / mass[:, None]).sum(0)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "value"])
+
+    flat = np.zeros(18 * m * m + m)
+    for row in rows.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+        flat[row["at"]] = row["value"]
+    k, n = flat[: 18 * m * m].reshape(2, 3 * m, 3 * m)
+    return (k + k.T) / 2, (n + n.T) / 2, flat[18 * m * m :]
+
+
+def _ritz(k: np.ndarray, n: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The m lowest values of the small problem and their coefficients, dependent directions left out."""
+    size = np.sqrt(np.maximum(np.diag(n), 0))
+    scale = np.where(size > 0, 1 / np.where(size > 0, size, 1), 0)
+    share, basis = np.linalg.eigh(n * scale * scale[:, None])
+    kept = share > DEPENDENT * max(share[-1], 0)
+    basis = scale[:, None] * basis[:, kept] / np.sqrt(share[kept])
+    small = basis.T @ k @ basis
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    return values[:m], basis @ vectors[:, :m]
+
+
+def lowest_eigenpairs(
+    stiffness: DataFrame, mass: DataFrame, n: int = 15, tolerance: float = 1e-3, most_rounds: int = 1000
+) -> tuple[list[float], DataFrame]:
+    """(values, (vid, u0 .. un)): the n + 1 lowest eigenvalues of stiffness u = value mass u and their vectors, of any size.
+
+    Both operators (i, j, w) are symmetric, stiffness semidefinite and mass definite; the null one comes first. Locally
+    optimal blocks with the stiffness's diagonal before them: a round joins the operators with the residuals, sums by row
+    and gathers Gram matrices whose size follows from n alone. Vectors have mass norm one, their largest entry's sign is
+    not fixed. It ends when each residual is below ``tolerance`` times its value, which leaves an error of its square in
+    the value, and raises after ``most_rounds``; rounds grow with the root of the condition. Ids are those of the mass;
+    an empty table gives no values, and with fewer unknowns than n + 1 there are as many values.
+    """
+    both = stiffness.select("i", "j", F.col("w").alias("k"), F.lit(0.0).alias("m")).unionByName(mass.select("i", "j", F.lit(0.0).alias("k"), F.col("w").alias("m")))
+    both = cut(both.groupBy("i", "j").agg(F.sum("k").alias("k"), F.sum("m").alias("m")).repartition("j"))
+    own = both.groupBy(F.col("i").alias("vid")).agg(F.sum("m").alias("dm"), F.sum(F.when(F.col("i") == F.col("j"), F.col("k"))).alias("dk")).where("dm > 0")
+    unknowns = own.count()
+    n = min(n, unknowns - 1)
+    if n < 0:
+        return [], own.select("vid")
+    m = min(n + 1 + max(3, n // 3), unknowns)  # more than asked for, so that the last ones asked for stand apart
+    zero = np.zeros(m)
+
+    def image(rows: DataFrame, name: str) -> DataFrame:
+        """(vid, what both operators make of the block's columns)."""
+        met = both.join(rows.select(F.col("vid").alias("j"), *_columns(name, m)), "j")
+        sums = [F.sum(F.col(o) * F.col(f"{name}{c}")).alias(f"{name}{o}{c}") for o in "km" for c in range(m)]
+        return met.groupBy(F.col("i").alias("vid")).agg(*sums)
+
+    noise = [(F.xxhash64("vid", F.lit(c)) / float(1 << 63)).alias(f"x{c}") for c in range(1, m)]
+    blank = [F.lit(0.0).alias(c) for b in BLOCKS if b[0] != "x" for c in _columns(b, m)]
+    first = cut(own.select("vid", "dm", "dk", F.lit(1.0).alias("x0"), *noise))
+    rows = cut(first.join(image(first, "x"), "vid").select("*", *blank))
+    values = zero
+    names = [c for b in BLOCKS for c in _columns(b, m)]
+    kept = ["vid", "dm", "dk", *[c for b in BLOCKS if b not in ("wk", "wm") for c in _columns(b, m)]]
+
+    for _ in range(most_rounds):
+        k, mm, left = _grams(rows.select("dm", *names), m, values)
+        wanted = np.maximum(values[: n + 1], values[: n + 1].mean() / (n + 1))
+        if values.any() and (left[: n + 1] <= (tolerance * wanted) ** 2).all():
+            break
+        values, c = _ritz(k, mm, m)
+        if len(values) < m:
+            raise ValueError(f"{len(values)} independent directions of {m}; is the mass definite?")
+        toward = np.vstack([np.zeros((m, m)), c[m:]])
+        size = np.sqrt(np.maximum(np.einsum("ic,ij,jc->c", toward, mm, toward), 0))
+        toward = toward / np.where(size > 0, size, 1)
+
+        def step(batches: Iterator[pa.RecordBatch], c: np.ndarray = c, toward: np.ndarray = toward, values: np.ndarray = values) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                s = {b: np.column_stack([_matrix(batch, a + b, m) for a in "xwp"]) for b in ("", "k", "m")}
+                out = {"x" + b: v @ c for b, v in s.items()} | {"p" + b: v @ toward for b, v in s.items()}
+                diagonal = batch.column("dk").to_numpy(zero_copy_only=False)
+                out["w"] = (out["xk"] - out["xm"] * values) / np.where(diagonal > 0, diagonal, 1)[:, None]
+                flat = [pa.array(np.ascontiguousarray(out[b][:, j])) for b in BLOCKS if b in out for j in range(m)]
+                yield pa.RecordBatch.from_arrays([batch.column("vid"), batch.column("dm"), batch.column("dk"), *flat], names=kept)
+
+        types = ", ".join(["vid long", "dm double", "dk double", *[f"{x} double" for x in kept[3:]]])
+        moved = cut(rows.select("vid", "dm", "dk", *names).mapInArrow(step, types))
+        rows = cut(moved.join(image(moved, "w"), "vid"))
+    else:
+        raise RuntimeError(f"no {n + 1} eigenpairs within {tolerance} after {most_rounds} rounds; squared residuals {left[: n + 1]}")
+    return [float(v) for v in values[: n + 1]], rows.select("vid", *[F.col(f"x{c}").alias(f"u{c}") for c in range(n + 1)])
+
+
 def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, most_steps: int = 200, tolerance: float = 1e-9) -> np.ndarray:
     """Nonlinear conjugate gradients (Polak-Ribiere, restarted) with a backtracking line search; f gives value and gradient."""
     value, slope = f(x)

@@ -212,6 +212,13 @@ def lbs_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.spectrum(fem.stiffness(faces), fem.mass(faces), 15)
 
 
+@query()
+def lbs_spectrum_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = _faces(spark, sf_dir)[2]
+    values, _ = linalg.lowest_eigenpairs(fem.stiffness(faces), fem.mass(faces), 15)
+    return spark.createDataFrame(list(enumerate(values))[1:], "k int, value double")
+
+
 @query()
 def poisson_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, _, faces = _faces(spark, sf_dir)
@@ -249,6 +256,12 @@ def lem_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.laplacian_eigenmaps(mesh.uniform_neighbours(triangles))
 
 
+@query()
+def lem_embed_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, triangles, _ = _faces(spark, sf_dir)
+    return embed.eigenmaps_by_rounds(mesh.uniform_neighbours(triangles))
+
+
 def _neighbours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = points(spark, sf_dir)
     return p, cut(spatial.knn(p, 8).select("i", "j", "d"))
