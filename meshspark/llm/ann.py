@@ -8,6 +8,10 @@ That ratio is the least at which some queries, searched by brute force first, fi
 asked for; a share of 1 visits all lists. Lists are dealt in blocks of bounded size on both sides, so a crowded list needs
 no task of its own.
 
+Before that, a query is compared with the vectors whose own list is among its nearest HOMES ones. The last of the k + 1
+best there is a floor: lists give only candidates that reach it, so a query's rows do not grow with the lists it visits,
+and nothing that could be among its nearest is left out.
+
 Equal vectors are merged first; each keeps its smallest ids, one more than neighbours are asked for, which is all that
 any query can need of them.
 """
@@ -33,7 +37,11 @@ DEGREE, ENTRIES = 20, 16
 CLOSURE, REPLICAS = 1.15, 6
 #: Share of the true neighbours that the distance ratio is chosen for, and queries it is chosen by.
 RECALL, CALIBRATION = 0.98, 256
+#: Nearest lists whose own vectors, without replicas, give a query's floor.
+HOMES = 4
 CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 4_096
+#: Taken off a floor, for scores that differ by rounding.
+SLACK = 1e-9
 #: Distances below this count as this where they are divided by.
 TINY = 1e-6
 
@@ -156,7 +164,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _deal(graph: CentroidGraph, lists_of):
-    """(rep, vec) -> (list, rep, vec), a row per list that ``lists_of`` gives for a batch of unit vectors."""
+    """(rep, vec) -> (list, place, rep, vec), a row per list that ``lists_of`` gives for a batch of unit vectors; the
+    nearest list has place 0."""
     step = max(16, min(1024, (1 << 25) // len(graph.centroids)))
 
     def run(batches):
@@ -165,8 +174,9 @@ def _deal(graph: CentroidGraph, lists_of):
                 part = batch.slice(at, step)
                 lists = lists_of(graph, unit(_matrix(part.column(1)).astype(np.float64)))
                 rows = np.repeat(np.arange(len(lists)), [len(c) for c in lists])
+                places = np.concatenate([np.arange(len(c)) for c in lists])
                 taken = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int32()), *taken.columns], names=["list", "rep", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int32()), pa.array(places, pa.int32()), *taken.columns], names=["list", "place", "rep", "vec"])
 
     return run
 
@@ -214,23 +224,29 @@ def calibrated(graph: CentroidGraph, distinct: DataFrame, postings: DataFrame, s
 
 
 def _best(k: int):
+    """Queries (rep, vec, floor) and candidates (rep, vec) of a list -> (query, rep, score): the ``k`` best of the list, of
+    which those below a query's floor are left out."""
+
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         empty = {"query": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
         if not queries.num_rows or not candidates.num_rows:
             return pa.table(empty)
         q, c = _matrix(queries.column("vec")).astype(np.float64), _matrix(candidates.column("vec")).astype(np.float64)
         reps = candidates.column("rep").to_numpy()
+        least = queries.column("floor").to_numpy()
         q_size, c_size = np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1))
         out: list[list[np.ndarray]] = [[], [], []]
         take = min(k, len(c))
         step = max(1, 4_000_000 // len(c))
         for at in range(0, len(q), step):
             rough = (q[at : at + step] @ c.T) / q_size[at : at + step, None] / c_size
-            floor = np.partition(rough, len(c) - take, axis=1)[:, len(c) - take] - 1e-9
+            floor = np.maximum(np.partition(rough, len(c) - take, axis=1)[:, len(c) - take], least[at : at + step]) - 1e-9
             for row, (line, low) in enumerate(zip(rough, floor, strict=True), at):
                 near = np.flatnonzero(line >= low)
                 exact = (q[row] * c[near]).sum(axis=1) / (q_size[row] * c_size[near])
-                best = near[order := np.lexsort((reps[near], -exact))[:take]]
+                order = np.lexsort((reps[near], -exact))[:take]
+                order = order[exact[order] >= least[row]]
+                best = near[order]
                 for a, b in zip(out, (np.full(len(best), queries.column("rep")[row].as_py()), reps[best], exact[order]), strict=True):
                     a.append(b)
         return pa.table({n: pa.array(np.concatenate(a)) for n, a in zip(empty, out, strict=True)})
@@ -238,6 +254,18 @@ def _best(k: int):
     return run
 
 
+def _met(probes: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """(query, rep, score): ``k`` + 1 best candidates of each list for the queries that visit it, dealt in blocks."""
+    blocks = lambda df, name, size: df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    shape = blocks(postings, "c_blocks", CANDIDATE_BLOCK).join(blocks(probes, "q_blocks", QUERY_BLOCK), "list")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = postings.join(shape, "list").select("list", "rep", "vec", own("c_blocks").alias("c"), each("q_blocks").alias("q"))
+    left = probes.join(shape, "list").select("list", "rep", "vec", "floor", own("q_blocks").alias("q"), each("c_blocks").alias("c"))
+    key = ["list", "c", "q"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_best(k + 1), "query long, rep long, score double")
+
+
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, vec): rows with an id and a finite, non-zero vector of the commonest length (of equally common, the longest)."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null")
@@ -274,18 +302,15 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     right = distinct.select("h", F.col("vec").alias("own"), "rep").join(wanted.groupBy("h").agg(F.count("*").alias("n")), "h")
     asked = store(join_hot(wanted, right, "h", "n", total).where("vec = own").select("id", "rep"), "asked")
     sources = store(distinct.select("rep", "vec").join(asked.select("rep").distinct(), "rep", "left_semi"), "sources")
-    dealt = f"list int, rep long, vec {kind}"
+    dealt = f"list int, place int, rep long, vec {kind}"
     postings = store(distinct.select("rep", "vec").mapInArrow(_deal(graph, lambda g, v: g.lists_of(v, closure, replicas)), dealt), "postings")
     ratio, beam = calibrated(graph, distinct, postings, sources, k, recall)
     probes = store(sources.mapInArrow(_deal(graph, lambda g, v: g.probes_of(v, ratio, beam)), dealt), "probes")
-    blocks = lambda df, name, size: df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-    shape = blocks(postings, "c_blocks", CANDIDATE_BLOCK).join(blocks(probes, "q_blocks", QUERY_BLOCK), "list")
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    right = postings.join(shape, "list").select("list", "rep", "vec", own("c_blocks").alias("c"), each("q_blocks").alias("q"))
-    left = probes.join(shape, "list").select("list", "rep", "vec", own("q_blocks").alias("q"), each("c_blocks").alias("c"))
-    key = ["list", "c", "q"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_best(k + 1), "query long, rep long, score double")
+    none = F.lit(float("-inf"))
+    first = _met(probes.where(F.col("place") < HOMES).withColumn("floor", none), postings.where("place = 0"), k)
+    last = first.select("query", "score", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"))).alias("r")).where(F.col("r") == k + 1)
+    floors = store(last.select(F.col("query").alias("rep"), (F.col("score") - SLACK).alias("floor")), "floors")
+    found = _met(probes.join(floors, "rep", "left").withColumn("floor", F.coalesce("floor", none)), postings, k)
     found = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
     top = found.select("*", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep")).alias("r")).where(F.col("r") <= k + 1)
     top = store(top.select("query", "rep", "score"), "top")

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from meshspark.llm import ann, brown_lm, gam
@@ -198,6 +199,14 @@ def test_crowded_lists_are_dealt_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, ann.search(frame).collect())) == want
 
 
+def test_lists_give_only_what_reaches_the_floor():
+    vectors = pa.array([[1.0, 0.1], [0.1, 1.0], [1.0, 1.0]])
+    candidates = pa.table({"rep": [10, 11, 12], "vec": vectors})
+    ask = lambda floor: ann._best(3)(pa.table({"rep": [10], "vec": vectors[:1], "floor": [floor]}), candidates).column("rep").to_pylist()
+    assert ask(float("-inf")) == [10, 12, 11]
+    assert ask(0.2) == [10, 12] and ask(2.0) == []
+
+
 def test_graph_search_against_all_centroids():
     rng = np.random.default_rng(8)
     centroids = ann.unit(rng.normal(size=(400, 12)))
