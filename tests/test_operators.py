@@ -400,3 +400,27 @@ def test_simulated_parts_move_by_noise_and_defect(spark):
     off = (out["x"] - out["vid"]) ** 2 + out["y"] ** 2 + (out["z"] - 1) ** 2
     assert np.allclose(np.sqrt(off), out["d"])
     assert spc.simulate(given.limit(0), lambda key, stream: sampling.normal(uniform, key, stream)).count() == 0
+
+
+def test_distances_by_parts_are_those_of_shortest_paths(spark, monkeypatch):
+    r = np.random.default_rng(21)
+    xyz = r.normal(size=(160, 3))
+    p = spark.createDataFrame([(k * 3, *map(float, row)) for k, row in enumerate(xyz)], "vid long, x double, y double, z double")
+    edges = spatial.knn(p, 3).select("i", "j", "d")
+    monkeypatch.setattr(graph, "PART", 12)
+    parts = graph.parts_in_space(p)
+    assert parts.select("part").distinct().count() > 15
+    marks = p.where("vid % 40 = 0").select("vid")
+    got = {(x.source, x.vid): x.d for x in graph.distances(edges, marks, parts).collect()}
+    want = {(x.source, x.vid): x.d for x in graph.shortest_paths(edges, marks).collect()}
+    assert got.keys() == want.keys() and len(want) > 160
+    assert [got[k] for k in want] == pytest.approx([want[k] for k in want], abs=1e-12)
+    assert graph.distances(edges, marks.where("vid < 0"), parts).count() == 0
+
+
+def test_rounds_follow_parts_and_not_edges(spark):
+    line = spark.range(400).select(F.col("id").alias("vid"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    edges = line.where("vid > 0").select(F.col("vid").alias("i"), (F.col("vid") - 1).alias("j"), F.lit(1.0).alias("d"))
+    parts = line.select("vid", F.floor(F.col("vid") / 100).alias("part"))
+    far = graph.distances(edges, line.where("vid = 0").select("vid"), parts, most_rounds=5)
+    assert far.where("d = vid and source = 0").count() == 400
