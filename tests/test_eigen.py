@@ -58,3 +58,24 @@ def test_eigenmaps_by_rounds(spark):
         a, b = (np.array([x[key] for key in sorted(got) if key[1] == d]) for x in (got, whole))
         assert min(np.abs(a - b).max(), np.abs(a + b).max()) < 1e-4 * np.abs(b).max()
     assert embed.eigenmaps_by_rounds(pairs.where("false")).count() == 0
+
+
+def test_few_rounds_of_solves(spark):
+    _, faces = sheet(spark, 4, 20)
+    k, m = fem.stiffness(faces), fem.mass(faces)
+    expected = [r.value for r in linalg.spectrum(k, m, 4).orderBy("k").collect()]
+    values, _ = linalg.lowest_eigenpairs(k, m, 4, most_rounds=10, by_solves=True)
+    assert abs(values[0]) < 1e-9 and values[1:] == pytest.approx(expected, rel=1e-5)
+
+
+def test_eigenmaps_beyond_the_dense_bound(spark, monkeypatch):
+    triangles, _ = sheet(spark, 4, 20)
+    pairs = mesh.uniform_neighbours(triangles)
+    whole = {(r.vid, r.d): r.value for r in embed.laplacian_eigenmaps(pairs).collect()}
+    monkeypatch.setattr(linalg, "MOST", 79)
+    monkeypatch.setattr(linalg, "PART", 40)
+    got = {(r.vid, r.d): r.value for r in embed.laplacian_eigenmaps(pairs).collect()}
+    assert got.keys() == whole.keys()
+    for d in (1, 2):
+        a, b = (np.array([x[key] for key in sorted(got) if key[1] == d]) for x in (got, whole))
+        assert min(np.abs(a - b).max(), np.abs(a + b).max()) < 1e-3 * np.abs(b).max()
