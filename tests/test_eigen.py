@@ -79,3 +79,25 @@ def test_eigenmaps_beyond_the_dense_bound(spark, monkeypatch):
     for d in (1, 2):
         a, b = (np.array([x[key] for key in sorted(got) if key[1] == d]) for x in (got, whole))
         assert min(np.abs(a - b).max(), np.abs(a + b).max()) < 1e-3 * np.abs(b).max()
+
+
+def agree(a, b):
+    """Whether two plane maps of the same vertices differ by a turn and a mirror alone."""
+    p, q = (np.array([x[v] for v in sorted(x)]) for x in (a, b))
+    turn = np.linalg.svd(p.T @ q)
+    return a.keys() == b.keys() and np.abs(p @ (turn[0] @ turn[2]) - q).max() < 1e-3 * np.abs(q).max()
+
+
+@pytest.mark.parametrize("method", ["dncp", "scp"])
+def test_conformal_maps_beyond_the_dense_bound(spark, monkeypatch, method):
+    triangles, faces = sheet(spark, 4, 20)
+    vertices = faces.select(F.explode(F.array(*[F.struct(F.col(f"v{k}").alias("vid"), F.col(c + "x").alias("x"), F.col(c + "y").alias("y"), (F.col(c + "x") * F.col(c + "y")).alias("z")) for k, c in ((1, "a"), (2, "b"), (3, "c"))])).alias("s")).select("s.*").distinct()
+    faces = mesh.gather(triangles, vertices)  # not flat: the next eigenvalue stands apart from the null ones
+    run = lambda: {r.vid: (r.u, r.v) for r in (embed.dncp(faces, triangles, vertices) if method == "dncp" else embed.scp(faces, triangles)).collect()}
+    whole = run()
+    monkeypatch.setattr(linalg, "MOST", 159)
+    monkeypatch.setattr(linalg, "PART", 80)
+    got = run()
+    assert agree(got, whole)
+    if method == "dncp":  # pinned, so that nothing turns
+        assert all(got[v] == pytest.approx(whole[v], abs=1e-8) for v in whole)
