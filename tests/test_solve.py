@@ -38,3 +38,13 @@ def test_ids_that_do_not_part_raise(spark, small, monkeypatch):
     _, operator = banded(spark, 60, 59)
     with pytest.raises(ValueError, match="do not part"):
         linalg.solve(operator, operator.select(F.col("i").alias("vid"), F.lit(1.0).alias("u")).distinct())
+
+
+def test_conjugate_gradient_steps_do_not_grow_with_the_diagonal(spark):
+    m, operator = banded(spark, 40, 2)
+    scale = 10.0 ** np.linspace(-3, 3, 40)
+    at = lambda c: F.pow(F.lit(10.0), -3 + 6 * (F.col(c) - 3) / 7 / 39)
+    scaled = operator.select("i", "j", (F.col("w") * at("i") * at("j")).alias("w"))
+    rhs = spark.createDataFrame([(k * 7 + 3, float(scale[k])) for k in range(40)], "vid long, u double")
+    got = np.array([r.u for r in linalg.conjugate_gradient(scaled, rhs, 1e-9, most_steps=25).orderBy("vid").collect()])
+    assert got * scale == pytest.approx(np.linalg.solve(m, np.ones(40)), rel=1e-3)
