@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshspark.operators import embed, fem, linalg, mesh
+from meshspark.operators import embed, fem, graph, linalg, mesh, spatial
 
 
 def sheet(spark, wide, high):
@@ -101,3 +101,20 @@ def test_conformal_maps_beyond_the_dense_bound(spark, monkeypatch, method):
     assert agree(got, whole)
     if method == "dncp":  # pinned, so that nothing turns
         assert all(got[v] == pytest.approx(whole[v], abs=1e-8) for v in whole)
+
+
+@pytest.mark.parametrize("method", ["diffusion", "ltsa", "hlle", "lle"])
+def test_neighbourhood_embeddings_beyond_the_dense_bound(spark, monkeypatch, method):
+    r = np.random.default_rng(6)
+    points = spark.createDataFrame([(3 * k, *map(float, r.uniform(size=3) * [4, 2, 1])) for k in r.permutation(150).tolist()], "vid long, x double, y double, z double")
+    pairs = linalg.cut(spatial.knn(points, 8).select("i", "j", "d"))
+    make = {"ltsa": embed.ltsa, "hlle": embed.hessian_lle, "lle": embed.lle}.get(method)
+    run = lambda: {(x.vid, x.d): x.value for x in (make(pairs, points) if make else embed.diffusion_map(pairs, 0.05, points=points)).collect()}
+    whole = run()
+    monkeypatch.setattr(linalg, "MOST", 100)
+    monkeypatch.setattr(graph, "PART", 40)
+    got = run()
+    assert got.keys() == whole.keys()
+    for d in (1, 2):
+        a, b = (np.array([x[key] for key in sorted(got) if key[1] == d]) for x in (got, whole))
+        assert np.linalg.norm(a - b) < 0.05 * np.linalg.norm(b)
